@@ -210,6 +210,32 @@ class LineStore:
         return joined.mapInArrow(_drop, "doc_id long, text string, n_lines long, n_dropped long, kept string")
 
 
+    def clean_rows(self, docs: DataFrame) -> DataFrame:
+        """docs (any columns, among them doc_id and text) with common lines gone from text, and n_chars, if there, brought up to date. A null text stays null."""
+        drops = self.common_lines(docs).select(F.col("doc_id").alias("cw__id"), F.col("th").alias("cw__th"), F.col("drops").alias("cw__drops"))
+        joined = docs.join(drops, docs.doc_id.eqNullSafe(drops.cw__id) & (F.unhex(F.md5(as_bytes())) == drops.cw__th), "left").drop("cw__id", "cw__th")
+        schema, names = docs.schema, docs.columns
+        at = {n: i for i, n in enumerate(names)}
+
+        def run(batches):
+            for b in batches:
+                arrays = [b.column(i) for i in range(len(names))]
+                texts = [_without(t, d) for t, d in zip(arrays[at["text"]].to_pylist(), b.column(len(names)).to_pylist())]
+                if "n_chars" in at:
+                    arrays[at["n_chars"]] = pa.array([old if t is None else len(t) for t, old in zip(texts, arrays[at["n_chars"]].to_pylist())], arrays[at["n_chars"]].type)
+                arrays[at["text"]] = pa.array(texts, arrays[at["text"]].type)
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+        return joined.mapInArrow(run, schema)
+
+
+def _without(text: str | None, drops: list[int] | None) -> str | None:
+    if not drops or text is None:
+        return text
+    gone = set(drops)
+    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+
+
 def _built(key, table: pa.Table, most: int) -> pa.Table:
     hi, lo = (table.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
     made = CuckooFilter.sized(len(hi))
@@ -268,11 +294,9 @@ def _drop(batches):
     for batch in batches:
         n_lines, n_dropped, kept = [], [], []
         for text, drops in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            lines = (text or "").split("\n")
-            gone = set(drops or ())
-            n_lines.append(len(lines))
-            n_dropped.append(len(gone))
-            kept.append("\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else (text or ""))
+            n_lines.append((text or "").count("\n") + 1)
+            n_dropped.append(len(set(drops or ())))
+            kept.append(_without(text, drops) or "")
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "text", "n_lines", "n_dropped", "kept"])
 
 

@@ -112,6 +112,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     return rounded.unionByName(whole).select("doc_id", "row", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 5) -> DataFrame:
+    """The rows of docs (any columns, among them doc_id, source and text), each as often as the mix takes it."""
+    keyed = docs.withColumn("cw__row", F.xxhash64("doc_id", "text"))
+    taken = mix(keyed.select("doc_id", F.col("cw__row").alias("row"), "source", "text"), weights, share, most, seed)
+    times = taken.groupBy(F.col("row").alias("cw__key")).agg(F.sort_array(F.collect_list("copies")).alias("cw__times"))  # more than one only for repeated rows
+    joined = keyed.join(times, keyed.cw__row == times.cw__key)
+    nth = F.row_number().over(Window.partitionBy("cw__row").orderBy(F.lit(0)))
+    copies = joined.withColumn("cw__n", F.element_at("cw__times", nth.cast("int")))
+    return copies.where("cw__n > 0").withColumn("cw__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cw__n")))).select(*docs.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("row", F.xxhash64("text"))
     return mix(docs.select("doc_id", "row", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "copies")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, lines, mixing, packing, sharding, tokens, topk, warc
+from cellweave.llm import bpe, jaccard, lines, mixing, packing, quality, sharding, tokens, topk, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
     "op2_token_file": packing.op2_token_file,
+    "op3_quality": quality.op3_quality,
+    "op4_ngram_jaccard": jaccard.op4_ngram_jaccard,
     "op5_mixing": mixing.op5_mixing,
     "op6_topk": topk.op6_topk,
     "op7_line_dedup": lines.op7_line_dedup,
