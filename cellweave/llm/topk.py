@@ -197,7 +197,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int =
     packed = "block long, ids binary, width int, size int, vals binary"
     index = materialize(number(vectors, blocks).groupBy("block").applyInArrow(lambda key, t: _pack(key, t), packed), "slices")
     asks = number(queries, q_blocks).groupBy("block").applyInArrow(lambda key, t: _pack(key, t), packed)
-    asks = asks.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("size").alias("q_size"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
+    asks = asks.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("size").alias("q_size"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
     met = asks.join(index.hint("shuffle_hash"), "block").select("q_ids", "q_width", "q_size", "q_vals", "block", "ids", "width", "size", "vals")
     found = met.repartition(max(1, min(q_blocks * blocks, 100_000)), F.xxhash64("q_ids", "block")).mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -210,8 +210,8 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_OP6 = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
