@@ -18,8 +18,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: What str.split() splits at besides the ASCII blanks.
 _OTHER_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 _BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
-#: Words that a worker remembers, and words that the library gets in one text.
-REMEMBER = 600_000
+#: Words in each of the two generations that a worker remembers, and words that the library gets in one text.
+REMEMBER = 500_000
 JOINED = 500
 
 
@@ -40,6 +40,7 @@ class WordEncoder:
         self.sep, self.sep_id = (special[-1]["content"], special[-1]["id"]) if special and len(special) == len(spec["added_tokens"]) else (None, None)
         self.safe = self.sep is not None and not re.search(r"\s", "".join(t["content"] for t in special)) and self._drops_blanks(spec)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -86,10 +87,16 @@ class WordEncoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """After this, known has these words (those before may be gone)."""
+        """After this, known has these words. What it had before moves to the older generation when it grows too large, and comes back when met again."""
         if len(self.known) > REMEMBER:
-            self.known = {}
-        new = list(words.difference(self.known)) if self.known else list(words)
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known) if self.known else words
+        if self.older:
+            older = self.older
+            again = new.intersection(older)
+            self.known.update((w, older[w]) for w in again)
+            new = new.difference(again)
+        new = list(new)
         self.known.update(zip(new, self.encode_many(new)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
