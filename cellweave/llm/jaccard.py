@@ -4,12 +4,13 @@ Texts become sets of word shingles; texts with equal sets are one class. Two cla
 threshold, i.e. when their distance is at most tau = 1 - threshold.
 
 Unrelated texts all lie at distance 1 from each other and from any pivot, where no triangle inequality can tell them apart, so
-pivots are found through shared shingles: two linked sets must share one of the first few of their shingles in any common order
-(with m shingles, the first m - ceil(threshold * m) + 1). Shingles known to be frequent come last in that order, which keeps
-passages that many texts share out of the way. All classes with the same early shingle belong to the region of the smallest class
-among them, their pivot. A large region is dealt into a grid of blocks, so that it meets itself in many tasks.
+pivots are found through shared shingles: two linked sets must share l of the first few of their shingles in any common order
+(with m shingles, l of the first m - ceil(threshold * m) + l). Shingles known to be frequent come last in that order, which keeps
+passages that many texts share out of the way. All classes with the same early shingle and sizes without a gap that no link can
+span belong to the region of the smallest class among them, their pivot. A large region is dealt into a grid of blocks, so that it meets itself in many tasks. There, first the
+early shingles alone part a block into groups that share l of them; only these groups get whole sets, equal groups once.
 
-Within a task a region is joined recursively: pivots (farthest first) split it into Voronoi cells by exact distance; a set y of
+Within a task a group is joined recursively: pivots (farthest first) split it into Voronoi cells by exact distance; a set y of
 another cell q goes into the cell of p too, if d(y, p) - d(y, q) <= 2 tau, which by the triangle inequality holds for every y
 within tau of a set of p's cell; cells that are small, or that windows fill up again, are compared exactly by counting common
 shingles. Every task gives the links of a spanning forest, and components are found by large-star and small-star steps over tables.
@@ -39,6 +40,8 @@ BLOCK = 128
 GRID = 16
 LEAF = 64
 PIVOTS = 4
+#: Bits of the bitmap that tells which texts are still needed.
+MARKS = 1 << 23
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -68,8 +71,14 @@ def class_of(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
 
 
+def early_common(m: int) -> int:
+    """How many early shingles a set of m must share with whatever it links to."""
+    return 1 + m // 40
+
+
 def prefix_length(m: int, percent: int) -> int:
-    return m - -(-percent * m // 100) + 1
+    """With the first so many shingles of both, linked sets share early_common of the smaller one at least."""
+    return min(m, m - -(-percent * m // 100) + early_common(m))
 
 
 class UnionFind:
@@ -213,13 +222,13 @@ def _survey(k: int):
 
 
 def _prefixes(k: int, percent: int, heavy):
-    """(h, hi, lo): the early shingles of each class once a task, frequent ones last in the order."""
+    """(h, hi, lo, n): the early shingles of each class of n shingles once a task, frequent ones last in the order."""
 
     def run(batches):
         names, ranks = heavy.value
         seen: set[tuple[int, int]] = set()
         for b in batches:
-            out_h, out_c, lengths = [], [], []
+            out_h, out_c, lengths, sizes = [], [], [], []
             for raw in b.column(0).to_pylist():
                 s = shingles(raw, k)
                 c = class_of(s)
@@ -231,24 +240,73 @@ def _prefixes(k: int, percent: int, heavy):
                     at = np.minimum(np.searchsorted(names, s), len(names) - 1)
                     rank = np.where(names[at] == s, ranks[at], 0)
                     s = s[np.lexsort((s, rank))]
+                sizes.append(len(s))
                 s = s[: prefix_length(len(s), percent)]
                 out_h.append(s)
                 out_c.append(c)
                 lengths.append(len(s))
             if out_h:
                 c = np.repeat(np.array(out_c, np.int64), lengths, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).view(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], ["h", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).view(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(np.repeat(np.array(sizes, np.int32), lengths))], ["h", "hi", "lo", "n"])
 
     return run
 
 
-def _join_cell(percent: int):
+def _mark(col: str):
+    return F.pmod(F.xxhash64(col), F.lit(MARKS))
+
+
+def _marks(homes: DataFrame) -> np.ndarray:
+    """A bitmap of MARKS bits over hashes of the documents whose text is still needed; the others need not be moved. Bits shared by chance only move more."""
+    at = _mark("rep")
+    words = homes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(rep), {MARKS}) % 64 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(MARKS // 64, np.int64)
+    for r in words.collect():  # at most MARKS / 64 rows
+        out[r.w] = r.bits
+    return out.view(np.uint64)
+
+
+def _meet(percent: int):
+    """Of a block of a region, the groups of classes that share enough early shingles to link; a group is named by its members."""
+
     def run(key, table):
         i, j = key[2].as_py(), key[3].as_py()
+        side = table.column("side").to_numpy()
+        names = [np.array(x, np.int64).view(np.uint64) for x in table.column("hs").to_pylist()]
+        need = 1 + table.column("n").to_numpy().astype(np.int64) // 40
+        region, found = Region(names, percent), UnionFind(len(names))
+        left, right = (np.arange(len(names)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            if len(right):
+                a, b = np.nonzero(region.common(some, right) >= np.minimum(need[some][:, None], need[right][None, :]))
+                for x, y in zip(some[a].tolist(), right[b].tolist()):
+                    found.join(x, y)
+        groups: dict[int, list[int]] = {}
+        for x in range(len(names)):
+            groups.setdefault(found.root(x), []).append(x)
+        hi, lo = table.column("hi").to_numpy(), table.column("lo").to_numpy()
+        out: list[tuple] = []
+        for members in groups.values():
+            if len(members) > 1:
+                who = np.array(sorted((int(hi[x]), int(lo[x]), int(side[x])) for x in members), np.int64)
+                k = np.frombuffer(xxhash.xxh3_128_digest(who.tobytes()), np.int64).tolist()
+                out += [(*k, *row) for row in who.tolist()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["k_hi", "k_lo", "hi", "lo", "side"])
+
+    return run
+
+
+def _join_cell(percent: int):
+    def run(key, table):
         ids, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
         order = np.arange(len(sets))
-        edges = forest(sets, order, None, percent) if i == j else forest(sets, order[side == 0], order[side == 1], percent) if (side == 0).any() and (side == 1).any() else []
+        if not side.any():
+            edges = forest(sets, order, None, percent)
+        else:
+            edges = forest(sets, order[side == 0], order[side == 1], percent) if not side.all() else []
         a, b = ([int(ids[e[x]]) for e in edges] for x in (0, 1))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -269,41 +327,59 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     most.sort(key=lambda r: r.hi & (1 << 64) - 1)
     heavy = spark.sparkContext.broadcast((np.array([r.hi for r in most], np.int64).view(np.uint64), np.array([r.n for r in most], np.int64)))
 
-    early = rows.select("b").mapInArrow(_prefixes(k, percent, heavy), "h long, hi long, lo long")
+    early = rows.select("b").mapInArrow(_prefixes(k, percent, heavy), "h long, hi long, lo long, n int")
     name = F.struct("hi", "lo")
-    by_shingle = Window.partitionBy("h")
-    met = early.repartition(n, "h").dropDuplicates(["h", "hi", "lo"])
-    met = met.withColumn("pivot", F.min(name).over(by_shingle)).withColumn("c", F.count(F.lit(1)).over(by_shingle)).where("c > 1")
-    members = materialize(met.select(F.col("pivot.hi").alias("p_hi"), F.col("pivot.lo").alias("p_lo"), "hi", "lo").distinct(), "members")
-
+    met = early.repartition(n, "h").distinct()
+    by_size = Window.partitionBy("h").orderBy("n")
+    gap = (100 * F.lag("n").over(by_size).cast("long") < percent * F.col("n").cast("long")).cast("int")  # no two sets across such a gap can link
+    met = met.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(by_size))
+    region = Window.partitionBy("h", "run")
+    met = met.withColumn("pivot", F.min(name).over(region)).withColumn("c", F.count(F.lit(1)).over(region)).where("c > 1")
+    met = materialize(met.select("h", "hi", "lo", "n", F.col("pivot.hi").alias("p_hi"), F.col("pivot.lo").alias("p_lo")), "met")
+    early_of = met.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs"))  # at most a prefix each
+    members = met.select("p_hi", "p_lo", "hi", "lo").distinct()
     sizes = members.groupBy("p_hi", "p_lo").agg(F.count(F.lit(1)).alias("m"))
-    placed = members.join(sizes, ["p_hi", "p_lo"]).join(classes, ["hi", "lo"]).where("rep is not null")
+    placed = members.join(sizes, ["p_hi", "p_lo"]).join(early_of, ["hi", "lo"])
     blocks = F.least(F.lit(GRID), F.ceil(F.col("m") / BLOCK)).cast("int")
-    placed = placed.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("hi", "lo"), F.col("nb")).cast("int"))
-    homes = placed.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("p_hi", "p_lo", "nb", "i")).alias("homes"))
+    placed = placed.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("hi", "lo"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    placed = placed.select("p_hi", "p_lo", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "hi", "lo", "n", "hs")
+    groups = placed.groupBy("p_hi", "p_lo", "i", "j").applyInArrow(_meet(percent), "k_hi long, k_lo long, hi long, lo long, side int").distinct()
+    named = groups.join(classes, ["hi", "lo"]).where("rep is not null")
+    homes = named.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("k_hi", "k_lo", "side")).alias("homes"))
+    homes = materialize(homes, "homes")
+
+    wanted = spark.sparkContext.broadcast(_marks(homes))
+
+    def sift(batches):
+        marks = wanted.value
+        for b in batches:
+            at = b.column(2).to_numpy()
+            yield b.filter(pa.array((marks[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1)).select(["rep", "b"])
 
-    text = rows.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "b").join(homes, "rep")
+    texts = rows.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "b", _mark("doc_id").alias("at")).mapInArrow(sift, "rep long, b binary")
+    text = texts.hint("merge").join(homes, "rep")
 
     def spread(batches):
         for b in batches:
-            out = []
+            out, size = [], 0
             for rep, raw, hi, lo, homes_of in zip(*(b.column(c).to_pylist() for c in ("rep", "b", "hi", "lo", "homes"))):
                 s = shingles(raw, k)
                 if class_of(s) == (hi, lo):
                     data = s.tobytes()
-                    out += [(rep, h["p_hi"], h["p_lo"], min(h["i"], j), max(h["i"], j), int(h["i"] > j), data) for h in homes_of for j in range(h["nb"])]
-                    if len(out) * len(data) > 4 << 20:
+                    out += [(rep, h["k_hi"], h["k_lo"], h["side"], data) for h in homes_of]
+                    size += len(data) * len(homes_of)
+                    if size > 4 << 20:
                         yield table(out)
-                        out = []
+                        out, size = [], 0
             if out:
                 yield table(out)
 
     def table(out):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["rep", "p_hi", "p_lo", "i", "j", "side", "names"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["rep", "k_hi", "k_lo", "side", "names"])
 
-    cells = text.mapInArrow(spread, "rep long, p_hi long, p_lo long, i int, j int, side int, names binary")
-    links = cells.groupBy("p_hi", "p_lo", "i", "j").applyInArrow(_join_cell(percent), "a long, b long")
+    cells = text.mapInArrow(spread, "rep long, k_hi long, k_lo long, side int, names binary")
+    links = cells.groupBy("k_hi", "k_lo").applyInArrow(_join_cell(percent), "a long, b long")
     return own, classes, materialize(links.where("a <> b").distinct(), "links")
 
 
