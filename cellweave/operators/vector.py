@@ -218,3 +218,20 @@ def resample(cells: DataFrame, target: DataFrame, v: str, row: Column, col: Colu
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key, the first in the order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def touched(lines: DataFrame, x0: float, y0: float, res: float, w: int, h: int) -> DataFrame:
+    """(id, r, c): every cell that a line (id, ring) touches. Each segment is cut at the columns it crosses; within a column it covers one run of rows."""
+    ring = F.col("ring")
+    s = lines.select("id", F.explode(F.arrays_zip(F.slice(ring, F.lit(1), F.size(ring) - 1).alias("a"), F.slice(ring, F.lit(2), F.size(ring) - 1).alias("b"))).alias("s"))
+    u = lambda p: (F.col(f"s.{p}.x") - x0) / res
+    v = lambda p: (F.lit(y0) - F.col(f"s.{p}.y")) / res
+    s = s.select("id", u("a").alias("u1"), v("a").alias("v1"), u("b").alias("u2"), v("b").alias("v2"))
+    flip = F.col("u1") > F.col("u2")
+    pick = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
+    s = s.select("id", pick("u1", "u2").alias("u1"), pick("v1", "v2").alias("v1"), pick("u2", "u1").alias("u2"), pick("v2", "v1").alias("v2"))
+    s = s.withColumn("c", F.explode(F.sequence(F.floor("u1").cast("int"), F.floor("u2").cast("int"))))
+    at = lambda x: F.col("v1") + (x - F.col("u1")) * (F.col("v2") - F.col("v1")) / F.when(F.col("u2") > F.col("u1"), F.col("u2") - F.col("u1"))
+    lo, hi = F.coalesce(at(F.greatest("u1", F.col("c"))), F.col("v1")), F.coalesce(at(F.least("u2", F.col("c") + 1)), F.col("v2"))
+    s = s.withColumns({"a": F.least(lo, hi), "b": F.greatest(lo, hi)}).withColumn("r", F.explode(F.sequence(F.floor("a").cast("int"), F.floor("b").cast("int"))))
+    return s.where((F.col("r") >= 0) & (F.col("r") < h) & (F.col("c") >= 0) & (F.col("c") < w)).select("id", "r", "c").distinct()
