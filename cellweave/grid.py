@@ -84,9 +84,9 @@ def resolution(half_width: Column, base: Column, asked: Column | None = None) ->
 def mirrored(cells: DataFrame, axis: str, size: int, reach_low: int, reach_high: int) -> DataFrame:
     """cells with a halo along axis by reflection (c b a | a b c): positions below 0 and from size on. reach must not exceed size."""
     x = F.col(axis)
-    low = cells.where(x < reach_low).withColumn(axis, (-1 - x).cast("int"))
-    high = cells.where(x >= size - reach_high).withColumn(axis, (2 * size - 1 - x).cast("int"))
-    return cells.unionByName(low).unionByName(high)
+    places = F.array(x, F.when(x < reach_low, -1 - x), F.when(x >= size - reach_high, 2 * size - 1 - x))
+    spread = cells.withColumn("_at", F.explode(F.filter(places, lambda p: p.isNotNull())))  # one pass over the cells, no union of copies
+    return spread.withColumn(axis, F.col("_at").cast("int")).drop("_at")
 
 
 def inside(cells: DataFrame, axis: str, size: int) -> DataFrame:
