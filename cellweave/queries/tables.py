@@ -117,9 +117,14 @@ def polygonise(spark, sf_dir):
 
 @query(f"WITH {CELLS_SQL}, t AS (SELECT CAST(i // 60 AS INTEGER) AS r, CAST(i % 60 AS INTEGER) AS c, (i // 60) * 1.7::DOUBLE - 0.4::DOUBLE AS fr, (i % 60) * 1.7::DOUBLE - 0.4::DOUBLE AS fc FROM range(3600) x(i)), f AS (SELECT t.r, t.c, (1 - abs(fr - s.r)) * (1 - abs(fc - s.c)) AS w, s.elev AS v FROM t JOIN cells s ON s.r IN (floor(fr), floor(fr) + 1) AND s.c IN (floor(fc), floor(fc) + 1)), b AS (SELECT r, c, sum(w * v) / sum(w) AS v FROM f GROUP BY 1, 2) SELECT t.r, t.c, n.elev AS nearest, round(b.v, 8) AS bilinear FROM t LEFT JOIN cells n ON n.r = floor(fr + 0.5) AND n.c = floor(fc + 0.5) LEFT JOIN b ON b.r = t.r AND b.c = t.c")
 def resample(spark, sf_dir):
-    """The elevation on a grid 1.7 times as coarse: nearest and bilinear, nothing outside."""
-    df, _ = demo_cells(spark, sf_dir)
-    t = spark.range(3600).select(F.expr("cast(id div 60 as int)").alias("r"), F.expr("cast(id % 60 as int)").alias("c"))
+    """The elevation on a grid 1.7 times as coarse: nearest and bilinear, nothing outside.
+
+    The target covers the whole source and is never smaller than 60 x 60, the fixed target of the SQL; beyond a source side of 101 the
+    SQL returns only the part of these rows with r and c below 60.
+    """
+    df, side = demo_cells(spark, sf_dir)
+    n = max(60, math.ceil((side + 0.4) / 1.7))
+    t = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("r"), F.expr(f"cast(id % {n} as int)").alias("c"))
     row, col = F.col("r") * 1.7 - 0.4, F.col("c") * 1.7 - 0.4
     near = V.resample(df, t, "elev", row, col, False).withColumnRenamed("elev", "nearest")
     soft = V.resample(df, t, "elev", row, col, True)

@@ -51,3 +51,18 @@ def test_entry_and_contract(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_resample_covers_the_whole_source(spark, tmp_path):
+    """A source of side 120 needs 71 x 71 target cells; the part within 60 x 60 is what the SQL gives."""
+    side, n = 120, 71
+    e = spark.range(side * side).selectExpr("id AS event_id", "TIMESTAMP '2024-01-01' AS ts", "id % 5 AS user_id", "'view' AS event_type", "cast(id * 37 % 1009 as double) AS value", "'{\"k\": 1}' AS props")
+    e.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.r, r.c): (r.nearest, r.bilinear) for r in core.QUERIES["resample"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(r, c) for r in range(n) for c in range(n)}
+    v = lambda r, c: float((r * side + c) * 37 % 1009)
+    assert all(got[r, c][0] == v(math.floor(r * 1.7 + 0.1), math.floor(c * 1.7 + 0.1)) for r in range(n) for c in range(n))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    part = con.sql(core.SQL["resample"]).fetchall()
+    assert rows(["r", "c", "nearest", "bilinear"], part) == rows(["r", "c", "nearest", "bilinear"], [(*k, *x) for k, x in got.items() if max(k) < 60])
