@@ -210,8 +210,11 @@ class LineStore:
         return joined.mapInArrow(_drop, "doc_id long, text string, n_lines long, n_dropped long, kept string")
 
 
-    def clean_rows(self, docs: DataFrame) -> DataFrame:
-        """docs (any columns, among them doc_id and text) with common lines gone from text, and n_chars, if there, brought up to date. A null text stays null."""
+    def clean_rows(self, docs: DataFrame, spare_emptied: bool = False) -> DataFrame:
+        """docs (any columns, among them doc_id and text) with common lines gone from text, and n_chars, if there, brought up to date. A null text stays null.
+
+        With spare_emptied a document of common lines only, such as one of min_docs copies, keeps its text: else nothing of it would stay anywhere.
+        """
         drops = self.common_lines(docs).select(F.col("doc_id").alias("cw__id"), F.col("th").alias("cw__th"), F.col("drops").alias("cw__drops"))
         joined = docs.join(drops, docs.doc_id.eqNullSafe(drops.cw__id) & (F.unhex(F.md5(as_bytes())) == drops.cw__th), "left").drop("cw__id", "cw__th")
         schema, names = docs.schema, docs.columns
@@ -220,7 +223,7 @@ class LineStore:
         def run(batches):
             for b in batches:
                 arrays = [b.column(i) for i in range(len(names))]
-                texts = [_without(t, d) for t, d in zip(arrays[at["text"]].to_pylist(), b.column(len(names)).to_pylist())]
+                texts = [_without(t, d, spare_emptied) for t, d in zip(arrays[at["text"]].to_pylist(), b.column(len(names)).to_pylist())]
                 if "n_chars" in at:
                     arrays[at["n_chars"]] = pa.array([old if t is None else len(t) for t, old in zip(texts, arrays[at["n_chars"]].to_pylist())], arrays[at["n_chars"]].type)
                 arrays[at["text"]] = pa.array(texts, arrays[at["text"]].type)
@@ -229,11 +232,12 @@ class LineStore:
         return joined.mapInArrow(run, schema)
 
 
-def _without(text: str | None, drops: list[int] | None) -> str | None:
+def _without(text: str | None, drops: list[int] | None, spare_emptied: bool = False) -> str | None:
     if not drops or text is None:
         return text
     gone = set(drops)
-    return "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    kept = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone)
+    return text if spare_emptied and not kept.encode().strip(BLANKS) else kept
 
 
 def _built(key, table: pa.Table, most: int) -> pa.Table:

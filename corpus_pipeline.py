@@ -17,7 +17,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lines.LineStore(spark, min_docs=10).insert(docs).clean_rows(docs)
+    return lines.LineStore(spark, min_docs=10).insert(docs).clean_rows(docs, spare_emptied=True)  # copies are for the next stage, which keeps one
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,18 @@ def test_last_stage(stages):
     rows = [(r.doc_id, r.text) for r in stages[4].collect()]
     ids, _ = whole_ids([t for _, t in rows])
     assert Counter((i, len(x)) for (i, _), x in zip(rows, ids)) == Counter((r.doc_id, r.n_tokens) for r in stages[5].collect())
+
+
+def test_one_of_many_copies_stays_whole(spark):
+    """Line dedup and near-duplicate removal together keep the text of one of 12 exact copies, and no emptied rows."""
+    copy = "\n".join(" ".join(f"w{7 * i + j}" for j in range(7)) for i in range(6))
+    other = {i: "share this page\n" + " ".join(f"own{i}x{j}" for j in range(20)) for i in range(100, 103)}
+    rows = [(i, copy, "en", "src1", len(copy)) for i in range(20, 32)] + [(i, t, "en", "src2", len(t)) for i, t in other.items()]
+    rows += [(i, "share this page\n" + " ".join(f"more{i}x{j}" for j in range(20)), "en", "src3", None) for i in range(200, 209)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, f in corpus_pipeline.STAGES[1:3]:
+        docs = materialize(f(spark, docs, SF), name)
+    out = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+    assert out.pop(20) == (copy, len(copy))
+    assert sorted(out) == [*range(100, 103), *range(200, 209)]  # the common line is gone from all that have more
+    assert all(out[i][0] == t.split("\n")[1] for i, t in other.items())
