@@ -19,6 +19,8 @@ from cellweave.core import materialize
 from cellweave.functions.algebra import WALL
 
 TILE = 128
+#: How far a vehicle works its way off the network, in metres, and what a cell of that costs (fixed values).
+SPUR_M, SPUR_COST = 1500.0, 0.50
 _STEPS = [(a, b, math.hypot(a, b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
@@ -108,20 +110,51 @@ def least_cost_path(cells: DataFrame, cost: str, start: Column, end: Column) ->
 
 
 def transfer(ride: DataFrame, walk: DataFrame) -> DataFrame:
-    """(r, c, total): where to leave the vehicle, i.e. the cell of the network with the least ride + walk."""
+    """(r, c, total, ride): where to leave the vehicle, i.e. the cell of the network with the least ride + walk."""
     both = ride.join(walk, ["r", "c"]).where("ride is not null and walk is not null")
-    best = F.min_by(F.struct("r", "c"), F.struct((F.col("ride") + F.col("walk")).alias("t"), "r", "c"))
-    return both.agg(best.alias("at"), F.min(F.col("ride") + F.col("walk")).alias("total")).select("at.r", "at.c", "total")
+    best = F.min_by(F.struct("r", "c", "ride"), F.struct((F.col("ride") + F.col("walk")).alias("t"), "r", "c"))
+    return both.agg(best.alias("at"), F.min(F.col("ride") + F.col("walk")).alias("total")).select("at.r", "at.c", "total", "at.ride")
 
 
-def mode_route(cells: DataFrame, walk_cost: str, net: Column, ride_cost: float, start: Column, end: Column) -> DataFrame:
+def around(anchors: DataFrame, reach: float) -> DataFrame:
+    """(r, c): every place within reach, in cells, of one of the anchors (r, c)."""
+    rows = anchors.select("r", "c", F.explode(F.sequence(F.lit(-math.floor(reach)), F.lit(math.floor(reach)))).alias("dr"))
+    half = F.floor(F.sqrt(F.lit(float(reach) ** 2) - F.col("dr") * F.col("dr"))).cast("int")
+    return rows.select((F.col("r") + F.col("dr")).alias("r"), F.explode(F.sequence(F.col("c") - half, F.col("c") + half)).alias("c")).distinct()
+
+
+def mode_route(
+    cells: DataFrame, walk_cost: str, net: Column, ride_cost: float, start: Column, end: Column, *, res: float = 40.0, end_drivable: bool = False, launch: Column | None = None, spur_m: float = SPUR_M, spur_cost: float = SPUR_COST
+) -> DataFrame:
     """(mode, r, c, total, walk_only): one vehicle leg from the start over the network, then on foot; on foot all the way unless riding is cheaper.
 
     Both are geometric costs. r, c is where the vehicle stays behind, null on foot.
+
+    The vehicle is at the start. From a start off the network it works its way over any cell within spur_m metres (res metres a cell) at
+    spur_cost, but it stays behind on the network only. With end_drivable the end is a place to drive to: it has a spur as well, and a
+    ride all the way is taken if it is cheaper than walking.
+
+    With launch the vehicle is a boat: no spur and no drivable end. From a start off the water it is put in at the cells of the network
+    where launch holds, at no cost of the way there, which total leaves out; where the best place to leave it is where it is put in, one walks.
     """
-    ride = cost_field(cells.withColumn("_ride", F.when(net, F.lit(ride_cost))), "_ride", start, "ride")
+    flag = lambda x: F.coalesce(x, F.lit(False))
+    marked = cells.withColumns({"_net": flag(net), "_start": flag(start), "_end": flag(end), "_launch": flag(F.lit(False) if launch is None else launch)}).select("r", "c", "_net", "_start", "_end", "_launch")
+    marked, seeds, price = materialize(marked, "marked"), F.col("_start"), F.when(F.col("_net"), F.lit(ride_cost))
+    if launch is not None:
+        if marked.where("_start and _net").isEmpty():
+            seeds = F.col("_launch") & F.col("_net")
+    else:
+        off = marked.where((F.col("_start") | (F.col("_end") & F.lit(end_drivable))) & ~F.col("_net")).select("r", "c")
+        if not off.isEmpty():
+            marked = marked.join(around(off, spur_m / res).withColumn("_near", F.lit(True)), ["r", "c"], "left")
+            price = price.otherwise(F.when(F.col("_near"), F.lit(spur_cost)))
+    ride = materialize(cost_field(marked.withColumn("_ride", price), "_ride", seeds, "ride"), "ride").join(marked.select("r", "c", "_net", "_end"), ["r", "c"])
     walk = materialize(cost_field(cells, walk_cost, end, "walk"), "walk")
     on_foot = walk.join(cells.where(start).select("r", "c"), ["r", "c"]).agg(F.min("walk").alias("walk_only"))
-    best = transfer(ride, walk)
-    helps = F.coalesce(F.col("total") < F.col("walk_only"), F.col("total").isNotNull())
-    return best.crossJoin(on_foot).select(F.when(helps, "vehicle").otherwise("foot").alias("mode"), F.when(helps, F.col("r")).alias("r"), F.when(helps, F.col("c")).alias("c"), F.when(helps, F.col("total")).otherwise(F.col("walk_only")).alias("total"), "walk_only")
+    whole = F.struct(F.col("ride").alias("total"), "r", "c")
+    drivable = ride.where(F.col("_end") & F.lit(end_drivable and launch is None) & F.col("ride").isNotNull()).agg(F.min(whole).alias("w"))
+    best = transfer(ride.where("_net").select("r", "c", "ride"), walk).crossJoin(on_foot).crossJoin(drivable)  # one row each
+    cheaper = lambda x: F.coalesce(x < F.col("walk_only"), x.isNotNull())
+    out = F.when(cheaper(F.col("w.total")), F.col("w")).when(cheaper(F.col("total")) & (F.col("ride") > 0), F.struct("total", "r", "c"))
+    best = best.select(out.alias("v"), "walk_only")
+    return best.select(F.when(F.col("v").isNotNull(), "vehicle").otherwise("foot").alias("mode"), "v.r", "v.c", F.coalesce("v.total", "walk_only").alias("total"), "walk_only")

@@ -181,6 +181,45 @@ def test_travel_modes(spark):
     assert all(max(abs(a[1] - b[1]), abs(a[2] - b[2])) == 1 for a, b in zip(steps, steps[1:]))
 
 
+def test_travel_modes_off_the_network(spark):
+    """A spur to the network, its bound, a ride all the way, and boats put in at launches: the total of each by brute force."""
+    at = lambda r, c: (F.col("r") == r) & (F.col("c") == c)
+    foot, net = np.full((60, 60), 1.14), np.zeros((60, 60), bool)
+    net[10] = True
+    df = lattice(spark, False)
+
+    def want(start, end, anchors, seeds=None, water=None, ride=0.010):
+        rr, cc = np.indices(foot.shape)
+        on = net if water is None else water
+        cost = np.where(on, ride, np.inf)
+        for a, b in anchors:
+            cost = np.where(~on & (np.hypot(rr - a, cc - b) * 40 <= 1500), 0.50, cost)
+        there = dijkstra(cost, seeds or [start])
+        both = np.where(on, there + dijkstra(foot, [end]), np.inf)
+        return float(both.min()), np.unravel_index(int(both.argmin()), both.shape), there[end]
+
+    camp = K.mode_route(df, "walk", F.col("net"), 0.010, at(14, 2), at(10, 55)).head()  # 160 m off the network
+    total, place, _ = want((14, 2), (10, 55), [(14, 2)])
+    assert (camp["mode"], camp.r, camp.c) == ("vehicle", *place) and abs(camp.total - total) < 1e-9
+    far = K.mode_route(df, "walk", F.col("net"), 0.010, at(53, 2), at(53, 55)).head()  # 43 cells off, the spur ends at 37.5
+    assert far["mode"] == "foot" and far.r is None and abs(far.total - 53 * 1.14) < 1e-9
+    near = K.mode_route(df, "walk", F.col("net"), 0.010, at(47, 2), at(10, 55)).head()  # 37 cells
+    assert near["mode"] == "vehicle" and abs(near.total - want((47, 2), (10, 55), [(47, 2)])[0]) < 1e-9
+
+    ends = K.mode_route(df, "walk", F.col("net"), 0.010, at(13, 4), at(13, 12), end_drivable=True).head()
+    assert (ends["mode"], ends.r, ends.c) == ("vehicle", 13, 12) and abs(ends.total - want((13, 4), (13, 12), [(13, 4), (13, 12)])[2]) < 1e-9
+
+    water = np.zeros((60, 60), bool)
+    water[30:40] = True
+    lake = grid(spark, foot, "walk").withColumn("net", F.col("r").between(30, 39))
+    boat = lambda launch: K.mode_route(lake, "walk", F.col("net"), 0.012, at(28, 3), at(42, 55), launch=launch).head()
+    total, place, _ = want((28, 3), (42, 55), [], [(30, 2), (30, 3)], water, 0.012)
+    put_in = boat(F.col("c").isin(2, 3) & (F.col("r") <= 30))  # cells off the water are no launches
+    assert (put_in["mode"], put_in.r, put_in.c) == ("vehicle", *place) and abs(put_in.total - total) < 1e-9
+    assert boat(F.lit(False))["mode"] == "foot"
+    assert boat(at(39, 55))["mode"] == "foot"  # best left where it is put in
+
+
 def test_isthmus_and_peninsula(spark):
     for spit, kept in ((False, True), (True, False)):
         ground = np.ones((60, 60), bool)
