@@ -20,9 +20,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or on a local master one of our own where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         base = _own_dirs.setdefault(app, "file://" + tempfile.mkdtemp(prefix="cellweave-"))
     return base.rstrip("/")
@@ -40,10 +42,30 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: str = "16m") -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's own file systems."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Steps:
+    """The intermediate tables of one run, each written and read again; those that nothing reads any more are dropped by name."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder = spark, new_path(spark, tag)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete_path(self.spark, f"{self.folder}/{name}")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch holds, by rows and by bytes. The session's settings are the same for all operators, so that lazy frames of one are not changed by another."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:
@@ -82,3 +104,16 @@ def open_shared(path: str):
     system, inside = fs.FileSystem.from_uri(path)
     system.create_dir(posixpath.dirname(inside), recursive=True)
     return system.open_output_stream(inside)
+
+
+def read_shared(path: str) -> bytes:
+    """The content of a file in the shared folder, whatever file system that is in."""
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        with open(where.path, "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(inside) as f:
+        return f.read()

@@ -4,11 +4,14 @@ A file holds documents in ascending doc_id order: a header, the packed ids in bl
 then the index: doc_ids, starts of documents (in ids), byte offsets of blocks, and a footer with the lengths. Because the width is
 fixed and blocks start at known bytes, any range of ids is found by arithmetic and unpacked by numpy at once.
 
-Files are written by the tasks of a range partitioning; a manifest row counts only when its task attempt is committed, so lost
-executors leave no doubles. The start of a file in the whole corpus is the sum over the files before it.
-
-Defined results: null text is the empty text and has the end id alone; null doc_ids come first; rows with equal doc_ids are in the
-order of a hash of their texts; a table without rows gives no file and no rows.
+Files are written by the tasks of a range partitioning; a manifest row counts only when its task attempt is committed, and only
+files of the manifest are ever opened, so that what lost executors left half-written changes nothing. The start of a file in the
+whole corpus is the sum over the files before it.
+
+Defined results: null text is the empty text and has the end id alone; texts of any length are encoded whole (a file holds one
+document at least, so that one of more than FILE_IDS ids has a file of its own); null doc_ids come first; rows with equal doc_ids
+are in the order of a hash of their texts; a table without rows gives no file and no rows; columns other than doc_id and text,
+whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize, new_path, open_shared, parts, small_batches
+from cellweave.llm.common import materialize, new_path, open_shared, parts, read_shared, small_batches
 from cellweave.llm.words import WordEncoder
 
 MAGIC = b"CWTOKS01"
@@ -137,25 +140,26 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder
     return folder, materialize(manifest, "manifest", f"{folder}/manifest")
 
 
-def _reader(batches):
-    for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            t = TokenFile(content)
-            whole = t.ids(0, t.n_ids).astype("<u4")
-            bounds = t.starts.astype(np.int64)
-            crc = [zlib.crc32(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([file] * t.n_docs), pa.array(t.doc_ids, mask=t.doc_ids == NO_ID), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["file", "doc_id", "inside", "n_tokens", "ids_crc32"]
-            )
+def _reader(folder: str):
+    def run(batches):
+        for batch in batches:
+            for file, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = TokenFile(read_shared(f"{folder}/files/{file}"))
+                whole = t.ids(0, t.n_ids).astype("<u4")
+                bounds = t.starts.astype(np.int64)
+                crc = [zlib.crc32(whole[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(t.doc_ids, mask=t.doc_ids == NO_ID), pa.array(bounds[:-1] + begin), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
+                )
+
+    return run
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of the manifest."""
-    files = spark.read.format("binaryFile").load(f"{folder}/files").select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    docs = files.mapInArrow(_reader, "file string, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the files of the manifest. A task opens one file at a time."""
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-    starts = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("begin"))
-    return docs.join(starts, "file").select("doc_id", (F.col("begin") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    starts = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("begin"))
+    return starts.repartition(parts(spark), "file").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,6 +117,11 @@ def test_token_file_nulls(spark):
     d = spark.createDataFrame([(None, "b"), (2, None), (2, None)], "doc_id long, text string")
     folder, manifest = packing.write_tokens(d, WORD, 1)
     assert sorted((r.start, r.n_tokens) for r in packing.read_tokens(spark, folder, manifest).collect()) == [(0, 2), (2, 1), (3, 1)]
+    with open(f"{folder.removeprefix('file://')}/files/000000-00000-lost.tok", "wb") as f:
+        f.write(packing.MAGIC + b"a task attempt that never ended")
+    assert packing.read_tokens(spark, folder, manifest).count() == 3
+    folder, manifest = packing.write_tokens(d.limit(0), WORD, 1)
+    assert packing.read_tokens(spark, folder, manifest).count() == 0
 
 
 def test_chunks(spark, docs):
