@@ -1,18 +1,22 @@
 """Exact top-k by inner product over a bit-sliced index.
 
 Vectors are quantised to integers and stored by blocks of rows. A block keeps, for every attribute, one bitmap a binary digit over
-its rows (two's complement, so that the last slice counts negatively). A query adds the slices of all attributes, weighted by its
-own digits, with bitmap arithmetic: a carry-save adder takes three bitmaps of equal weight to one of that weight and one of the
-next, until each weight has one bitmap left. These are the slices of the score. The top rows are then selected from the most
-significant slice downward: rows with the digit set that fit into k are in, rows without it drop out once k others have it. Where
-rows stay tied at the boundary, the smaller vec_ids win (rows of a block are in vec_id order), so that the result is exact.
-
-Queries meet every block (a grid of query blocks and row blocks, joined on the row block's number), each meeting leaves at most
-k rows a query, and those are ranked per query in turn.
-
-Defined results: vectors null or with null or non-finite components, or with a null vec_id, take no part; rows with the query's
-vec_id are not its candidates; vectors of another length than the query's are padded with zeros; repeated vec_ids each count;
-an empty table gives no rows.
+its rows (two's complement, so that the last slice counts negatively); these slices are the table that is written, once. A query adds
+the slices of all attributes, weighted by its own digits, with bitmap arithmetic: a carry-save adder takes three bitmaps of equal
+weight to one of that weight and one of the next, until each weight has one bitmap left. These are the slices of the score. The top
+rows are then selected from the most significant slice downward: rows with the digit set that fit into k are in, rows without it drop
+out once k others have it. Where rows stay tied at the boundary, the smaller vec_ids win (rows of a block are in vec_id order), so
+that the result is exact.
+
+Queries travel to the stored slices: a task reads one block's slices and lets a share of the queries pass by, a few hundred in
+memory at a time. A block goes to several tasks only as far as the cluster would otherwise stand idle or a task would see more than
+TASK_QUERIES. Each meeting leaves at most k rows a query; a task keeps the best k of its own before they move, and the rest is
+ranked per query.
+
+Defined results: vectors null or with null or non-finite components, or with a null vec_id, take no part; nor do vectors with a
+component of |scale * x| >= 2**24, whose scores might leave 64 bits; rows with the query's vec_id are not its candidates; vectors of
+another length than the query's are padded with zeros, and any length up to 16384 is taken; repeated vec_ids each count; an empty
+table gives no rows; columns other than vec_id and embedding, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -22,10 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import materialize
+from cellweave.llm.common import materialize, parts, small_batches
 
+#: Rows of a block at most, and components of a block at most while it is built.
 BLOCK_ROWS = 1 << 16
-QUERY_ROWS = 128
+BLOCK_VALUES = 1 << 23
+#: Queries that travel together, and that one task lets pass a block at most.
+QUERY_ROWS = 512
+TASK_QUERIES = 1 << 16
+#: Quantised components stay below this.
+LARGEST = 1 << 24
 
 
 class BitSlices:
@@ -51,6 +61,18 @@ class BitSlices:
             slices.append(own)
         return cls(ids, values.shape[1], slices)
 
+    def to_bytes(self) -> tuple[bytes, bytes]:
+        """The number of slices of each attribute, and all slices in order."""
+        flat = [x for own in self.slices for x in own]
+        return bytes(map(len, self.slices)), np.concatenate(flat).tobytes() if flat else b""
+
+    @classmethod
+    def from_bytes(cls, ids: np.ndarray, digits: bytes, data: bytes) -> BitSlices:
+        words = (len(ids) + 63) // 64
+        flat = np.frombuffer(data, np.uint64).reshape(-1, words) if words else np.zeros((0, 0), np.uint64)
+        bounds = np.cumsum([0, *digits]).tolist()
+        return cls(ids, len(digits), [list(flat[a:b]) for a, b in zip(bounds, bounds[1:])])
+
     def scores(self, query: np.ndarray) -> list[np.ndarray]:
         """Slices of score + offset, least significant first; offset makes all values non-negative and equals what _offset gives."""
         columns: dict[int, list[np.ndarray]] = {}
@@ -139,42 +161,52 @@ def _positions(bitmap: np.ndarray, most: int | None = None) -> np.ndarray:
     return found if most is None else found[:most]
 
 
-def _pack(key, table: pa.Table) -> pa.Table:
-    """A block's rows as one row: ids and values in vec_id order."""
+def _gathered(table) -> tuple[np.ndarray, np.ndarray]:
+    """vec_ids and values (rows, attributes) of a group, in vec_id order."""
     ids = table.column("vec_id").to_numpy()
     lists = table.column("v").combine_chunks()
     lengths = np.diff(lists.offsets.to_numpy())
-    wide = int(lengths.max()) if len(lengths) else 0
+    wide = max(1, int(lengths.max(initial=0)))
     flat = lists.flatten().to_numpy()
     values = np.zeros((len(ids), wide), np.int64)
     values[np.repeat(np.arange(len(ids)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-    order = np.lexsort((*values.T[::-1], ids)) if wide else np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    small = values.astype(np.int32) if abs(values).max(initial=0) < 1 << 31 else values
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": [ids.astype("<i8").tobytes()], "width": pa.array([wide], pa.int32()), "size": pa.array([small.itemsize], pa.int32()), "vals": pa.array([small.tobytes()], pa.binary())})
+    order = np.lexsort((*values.T[::-1], ids))
+    return ids[order].astype("<i8"), values[order]
+
 
+_PACKED = "block long, ids binary, digits binary, data binary"
 
-def _values(data: bytes, width: int, size: int) -> np.ndarray:
-    v = np.frombuffer(data, np.int32 if size == 4 else np.int64)
-    return (v.reshape(-1, width) if width else v.reshape(0, 0)).astype(np.int64)
+
+def _row(key, ids: np.ndarray, digits: bytes, data: bytes):
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([ids.tobytes()], pa.binary()), "digits": pa.array([digits], pa.binary()), "data": pa.array([data], pa.binary())})
+
+
+def _sliced(key, table):
+    """A block's rows as one row with its slices."""
+    ids, values = _gathered(table)
+    return _row(key, ids, *BitSlices.build(ids, values).to_bytes())
+
+
+def _asked(key, table):
+    """A group of queries as one row with their values."""
+    ids, values = _gathered(table)
+    return _row(key, ids, b"", values.astype("<i4").tobytes())
 
 
 def _meet(k: int):
+    """Rows sorted by block, part and kind: the slices of a block (kind 0), then the queries that it meets."""
+
     def run(batches):
+        index = None
         for batch in batches:
-            for q_ids, q_width, q_size, q_vals, block, ids, width, size, vals in zip(*(c.to_pylist() for c in batch.columns)):
+            for kind, ids, digits, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "ids", "digits", "data"))):
                 rows = np.frombuffer(ids, "<i8")
-                values = _values(vals, width, size)
-                if not width:
-                    values = np.zeros((len(rows), 1), np.int64)
-                index = BitSlices.build(rows, values)
-                queries = np.frombuffer(q_ids, "<i8")
-                wanted = _values(q_vals, q_width, q_size)
-                if not q_width:
-                    wanted = np.zeros((len(queries), 1), np.int64)
+                if kind == 0:
+                    index = BitSlices.from_bytes(rows, digits, data)
+                    continue
                 out = []
-                for q, vec in zip(queries.tolist(), wanted):
-                    a, b = np.searchsorted(rows, q, "left"), np.searchsorted(rows, q, "right")
+                for q, vec in zip(rows.tolist(), np.frombuffer(data, "<i4").reshape(len(rows), -1).astype(np.int64)):
+                    a, b = np.searchsorted(index.ids, q, "left"), np.searchsorted(index.ids, q, "right")
                     found, score = index.top(vec, k, np.arange(a, b) if b > a else None)
                     out.append((np.full(len(found), q), found, score))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(3)], ["query_id", "vec_id", "score"])
@@ -184,22 +216,30 @@ def _meet(k: int):
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """(vec_id, v): integer vectors floor(scale * x); rows without a sound vector are left out."""
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(scale)) < float(LARGEST))
+    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", fits)
     return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) for vectors and queries (vec_id, v: array of long)."""
+    """(query_id, rank, vec_id, score) for vectors and queries (vec_id, v: array of long below LARGEST)."""
+    spark = vectors.sparkSession
+    small_batches(spark)
     vectors = materialize(vectors, "vectors")
-    total, asked = vectors.count(), queries.count()
-    blocks, q_blocks = max(1, -(-total // block_rows)), max(1, -(-asked // QUERY_ROWS))
-    number = lambda df, n: df.withColumn("block", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(n)))
-    packed = "block long, ids binary, width int, size int, vals binary"
-    index = materialize(number(vectors, blocks).groupBy("block").applyInArrow(lambda key, t: _pack(key, t), packed), "slices")
-    asks = number(queries, q_blocks).groupBy("block").applyInArrow(lambda key, t: _pack(key, t), packed)
-    asks = asks.select(F.col("ids").alias("q_ids"), F.col("width").alias("q_width"), F.col("size").alias("q_size"), F.col("vals").alias("q_vals"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    met = asks.join(index.hint("shuffle_hash"), "block").select("q_ids", "q_width", "q_size", "q_vals", "block", "ids", "width", "size", "vals")
-    found = met.repartition(max(1, min(q_blocks * blocks, 100_000)), F.xxhash64("q_ids", "block")).mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    total, wide = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
+    asked, n = queries.count(), parts(spark)
+    block_rows = min(block_rows, max(1024, BLOCK_VALUES // max(1, wide or 1)))
+    blocks, groups = max(1, -(-total // block_rows)), max(1, -(-asked // QUERY_ROWS))
+    ways = max(1, -(-asked // TASK_QUERIES), min(-(-n // blocks), groups))  # tasks that a block's slices go to
+    number = lambda df, m: df.withColumn("block", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(m)))
+    index = materialize(number(vectors, blocks).groupBy("block").applyInArrow(_sliced, _PACKED), "slices")
+    asks = number(queries, groups).groupBy("block").applyInArrow(_asked, _PACKED)
+    every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    slices = index.select("block", every(ways).alias("way"), F.lit(0).alias("kind"), "ids", "digits", "data")
+    passing = asks.select(every(blocks).alias("block"), F.pmod("block", F.lit(ways)).alias("way"), F.lit(1).alias("kind"), "ids", "digits", "data")
+    tasks = max(1, min(blocks * ways, 100_000))
+    met = slices.unionByName(passing).repartition(tasks, "block", "way").sortWithinPartitions("block", "way", "kind")
+    found = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
