@@ -5,12 +5,15 @@ chunks wherever it stands. Documents are sent to the task of their least chunk h
 together; a chunk is encoded once in a task and its ids and decoded text are used again. A hash that too many documents share is
 dealt out to several tasks.
 
-Joins of chunks are then repaired: the words around a join are encoded together, and if the ids differ from those of the two
-chunks there, the stretch grows on both sides until ids at its edges agree, and replaces what the chunks had. So the ids are
-those of the whole text whatever the cuts.
-
-Defined results: null is the empty text, with no ids and an empty decoded text; a text without blanks is one chunk; repeated rows
-are encoded each (from the same chunks); other columns do not matter.
+Joins of chunks are then repaired: the words around a join are encoded together, and where the ids differ from those of the two
+chunks, or where the tokenizer may look beyond blanks, the stretch between the nearest blanks on both sides is encoded anew. It
+counts when the ids at its edges agree, that is, when each chunk's ids are those of its parts put together; chunks that do not agree
+are joined to their neighbours and encoded again, until all agree or one chunk is left. So the ids are those of the whole text
+whatever the cuts, and the work is linear but for texts that never agree (n log n).
+
+Defined results: null is the empty text, with no ids and an empty decoded text; texts of any length are encoded whole, a text without
+blanks as one chunk; repeated rows are encoded each (from the same chunks); a null doc_id stays null; a table without rows gives
+none; columns other than doc_id and text, whatever their names, do not matter.
 """
 
 from __future__ import annotations
@@ -115,9 +118,11 @@ class ChunkCoder:
                 if k not in self.kept:
                     new[k] = c
         self._encode(new)
+        if not (self.enc.joins_with_space and self.enc.safe):
+            return [self._repaired(cs, ks) for ks, cs in zip(keys, docs)]
         joins = {(self.kept[a][3], self.kept[b][2]) for ks in keys for a, b in zip(ks, ks[1:])}
         self._judge([j for j in joins if j not in self.agreed])
-        return [self._whole(t, ks, cs) for t, ks, cs in zip(texts, keys, docs)]
+        return [self._whole(ks, cs) for ks, cs in zip(keys, docs)]
 
     def _encode(self, new: dict[bytes, bytes]) -> None:
         texts = [c.decode() for c in new.values()]
@@ -136,38 +141,49 @@ class ChunkCoder:
         for n, j in enumerate(joins):
             self.agreed[j] = both[n] == one[2 * n] + one[2 * n + 1]
 
-    def _whole(self, text: str, keys: list[bytes], chunks: list[bytes]) -> tuple[bytes, str]:
+    def _whole(self, keys: list[bytes], chunks: list[bytes]) -> tuple[bytes, str]:
         held = [self.kept[k] for k in keys]
-        sound = all(self.agreed[(a[3], b[2])] for a, b in zip(held, held[1:]))
-        if sound and self.enc.joins_with_space and self.enc.safe:
+        if all(self.agreed[(a[3], b[2])] for a, b in zip(held, held[1:])):
             return b"".join(x[0] for x in held), " ".join(x[1] for x in held if x[1])
-        ids = repaired(self.enc, chunks, [x[0] for x in held])
+        return self._repaired(chunks, keys)
+
+    def _repaired(self, chunks: list[bytes], keys: list[bytes]) -> tuple[bytes, str]:
+        ids = repaired(self.enc, chunks, [self.kept[k][0] for k in keys])
         return ids, self.enc.tok.decode(self.enc.ids(ids).tolist(), skip_special_tokens=False)
 
 
+def _edges(text: str) -> tuple[int, int]:
+    """The first and the last position where a blank follows another character; (0, 0) if there is none."""
+    first = next((i for i in range(1, len(text)) if text[i].isspace() and not text[i - 1].isspace()), 0)
+    last = next((i for i in range(len(text) - 1, 0, -1) if text[i].isspace() and not text[i - 1].isspace()), 0)
+    return first, last
+
+
 def repaired(enc: WordEncoder, chunks: list[bytes], ids: list[bytes]) -> bytes:
-    """Ids of the joined chunks: each join is encoded anew over a growing stretch until the ids at its edges agree."""
-    if not chunks:
-        return b""
-    text, done = chunks[0].decode(), ids[0]
-    for c, i in zip(chunks[1:], ids[1:]):
-        right, reach = c.decode(), 16
-        while True:
-            a, b = max(0, len(text) - reach), min(len(right), reach)
-            # an edge inside a word would cut it, so edges move out to the next blank
-            while a > 0 and not text[a].isspace():
-                a -= 1
-            while b < len(right) and not right[b].isspace():
-                b += 1
-            stretch, = enc.encode_many([text[a:] + right[:b]])
-            tail, head, over_l, over_r = enc.encode_many([text[a:], right[:b], text[:a], right[b:]])
-            whole = a == 0 and b == len(right)
-            if whole or enc.safe and done == over_l + tail and i == head + over_r:
-                done = (over_l + stretch + over_r) if not whole else stretch
-                break
-            reach *= 4
-        text += right
-    return done
+    """Ids of the joined chunks. The stretch over each join, between the nearest blanks, is encoded anew and counts when the ids at its edges agree with those of the chunks; other chunks grow by their neighbours."""
+    pieces, known = [c.decode() for c in chunks], list(ids)
+    while len(pieces) > 1:
+        last = len(pieces) - 1
+        spans = [_edges(t) for t in pieces]
+        spans = [(0 if n == 0 else a, len(t) if n == last else b) for n, ((a, b), t) in enumerate(zip(spans, pieces))]
+        parts = enc.encode_many([x for (a, b), t in zip(spans, pieces) for x in (t[:a], t[a:b], t[b:])])
+        bad = [(n > 0 and not a) or (n < last and not b) or known[n] != b"".join(parts[3 * n : 3 * n + 3]) for n, (a, b) in enumerate(spans)]
+        if not any(bad):
+            stretches = enc.encode_many([s[b:] + t[:a] for s, t, (_, b), (a, _) in zip(pieces, pieces[1:], spans, spans[1:])])
+            return b"".join(parts[3 * n + 1] + (stretches[n] if n < last else b"") for n in range(last + 1))
+        grown, fresh, n = [], [], 0
+        while n <= last:
+            if n < last and (bad[n] or bad[n + 1] and n + 1 == last):
+                grown.append(pieces[n] + pieces[n + 1])
+                fresh.append(None)
+                n += 2
+            else:
+                grown.append(pieces[n])
+                fresh.append(known[n])
+                n += 1
+        again = iter(enc.encode_many([t for t, x in zip(grown, fresh) if x is None]))
+        pieces, known = grown, [next(again) if x is None else x for x in fresh]
+    return known[0] if known else b""
 
 
 def _coder(tokenizer: str):
