@@ -9,7 +9,8 @@ between documents of like size, and no task sees more than a bounded block. Rand
 meet and the seed, so that reruns agree for any partitioning.
 
 Defined results: null or empty text has size 0 and takes 0 words; a null source is a source of its own, last in order; a source of
-size 0 has target 0; repeated rows are documents of their own; a table without rows gives none.
+size 0 has target 0; texts of any length count whole, and one that exceeds its source's target is taken or not as the dice fall;
+repeated rows are documents of their own; a table without rows gives none; other columns, whatever their names, do not matter.
 """
 
 from __future__ import annotations

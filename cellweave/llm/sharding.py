@@ -2,14 +2,16 @@
 
 The heap runs on the driver over a bounded table whatever the input: every group above total / (shards * FINE) stands alone
 (there are at most shards * FINE of these) and the smaller groups are pre-aggregated into shards * FINE bundles by a hash of
-their key. Groups never split, bundles are smaller than the fair share of one shard by a factor of FINE, so that loads end
-within a bundle of each other unless a single group exceeds a shard's share.
+their key. Groups never split. A group in a bundle is at most 1 / FINE of a shard's fair share, a bundle holds the same on average,
+but by chance of the hash several of the larger groups can meet in one; so loads end within the largest bundle or group of each
+other. A single group above a shard's share makes its shard larger than the others.
 
 Slots are dense within a shard: counts per (shard, bucket) are summed up, then rows are numbered within a bucket, so that a
 shard with most of the rows is numbered by many tasks.
 
-Defined results: null texts form one group of empty content; equal texts share a shard; a table without rows gives none; rows
-with equal doc_id and text are numbered in an arbitrary but gapless order.
+Defined results: null texts form one group of empty content; texts of any length are weighed whole; equal texts share a shard; a
+table without rows gives none; rows with equal doc_id and text are numbered in an arbitrary but gapless order; a null doc_id stays
+null; columns other than doc_id and text, whatever their names, do not matter.
 """
 
 from __future__ import annotations

@@ -52,6 +52,62 @@ def test_judge(spark):
     assert quality.judge(docs.limit(0)).count() == 0 and quality.keep_good(docs.limit(0)).count() == 0
 
 
+def em_by_hand(patterns, rounds=100):
+    """Posterior of each vote pattern {votes: documents} by the textbook loop over documents, with the operator's start, smoothing and clip."""
+    n, kinds = len(next(iter(patterns))), ("bad", "good")
+    total = sum(patterns.values())
+    share = [[1 + sum(w for v, w in patterns.items() if v[r] == x) for x in range(3)] for r in range(n)]
+    share = [[x / sum(row) for x in row] for row in share]
+    start = [[[0.0] * 3 for _ in kinds] for _ in range(n)]
+    for r in range(n):
+        for c in (0, 1):
+            start[r][c] = [(1 - share[r][2]) * (0.8 if x == c else 0.2) for x in (0, 1)] + [share[r][2]]
+    table, prior = start, 0.8
+
+    def post(v):
+        good, bad = prior, 1 - prior
+        for r in range(n):
+            good, bad = good * table[r][1][v[r]], bad * table[r][0][v[r]]
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        p = {v: post(v) for v in patterns}
+        fresh = []
+        for r in range(n):
+            rows = [[3 * start[r][c][x] + sum(w * (p[v] if c else 1 - p[v]) for v, w in patterns.items() if v[r] == x) for x in range(3)] for c in (0, 1)]
+            rows = [[x / sum(row) for x in row] for row in rows]
+            for c in (0, 1):
+                if rows[c][c] < rows[1 - c][c]:
+                    rows[0][c] = rows[1][c] = (rows[0][c] + rows[1][c]) / 2
+            fresh.append([[x / sum(row) for x in row] for row in rows])
+        prior = min(0.99, max(0.01, (sum(w * p[v] for v, w in patterns.items()) + 0.8) / (total + 1)))
+        table = fresh
+    return {v: post(v) for v in patterns}
+
+
+def test_verdicts_against_em_by_hand(spark):
+    """kept and quality of every document against votes by plain conditions and an EM without numpy."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    # name: value of (count, by), good bound, bad bound
+    bounds = [("n_symbols", "n_words", 0.03, 0.15), ("n_marks", "n_words", 0.05, 0.2), ("n_upper", "n_letters", 0.15, 0.3), ("n_bare", "n_words", 0.02, 0.1), ("n_ends", "n_words", 0.04, 0.005), ("word_chars", "n_words", 9.0, 14.0), ("n_dup_lines", "n_lines", 0.05, 0.3), ("n_repeat_words", "n_words", 0.1, 0.35)]
+    votes, base_of = {}, {}
+    for r in docs.collect():
+        c = dict(zip(quality.COUNTS, quality.counts_of(r.text)))
+        base_of[r.doc_id] = c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+        vote = []
+        for a, by, good, bad in bounds:
+            x = c[a] / c[by] if c[by] else None
+            up = bad > good
+            vote.append(2 if x is None else 0 if (x >= bad if up else x <= bad) else 1 if (x <= good if up else x >= good) else 2)
+        votes[r.doc_id] = tuple(vote)
+    post = em_by_hand(Counter(v for i, v in votes.items() if not base_of[i]))
+    rows = quality.judge(docs).collect()
+    assert len(rows) == len(votes) and any(not r.kept and not r.base_failed for r in rows)
+    for r in rows:
+        if not r.base_failed:
+            assert abs(r.quality - post[votes[r.doc_id]]) < 1e-4 and r.kept == (post[votes[r.doc_id]] >= 0.5)
+
+
 def test_held_out_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

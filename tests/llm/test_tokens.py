@@ -155,3 +155,49 @@ def test_repair_of_bad_cuts():
     for n in (3, 5, 11):
         pieces = [raw[i : i + n] for i in range(0, len(raw), n)]
         assert bpe.repaired(enc, pieces, enc.encode([p.decode() for p in pieces])) == enc.encode([text])[0]
+
+
+def test_repair_acts_for_other_tokenizers():
+    """A byte-level tokenizer looks at runs of blanks as a whole; cuts inside them must be repaired, and long texts take linear time."""
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc = WordEncoder.at(path)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh\u00e9\u4e16") for _ in range(rng.randrange(1, 9)))
+    texts = ["".join(word() + rng.choice([" ", " ", "  ", "\n\n\n", " \t \n", "   "]) for _ in range(n)) for n in (0, 1, 5, 40, 400)] + ["x" * 3000, " " * 500, "<|endoftext|> a  <|endoftext|>" * 30]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for one_in in (1, 4, 64):
+        coder = bpe.ChunkCoder(enc, one_in=one_in)
+        got = coder.code(texts)
+        assert [enc.ids(i).tolist() for i, _ in got] == want
+        assert [d for _, d in got] == [enc.tok.decode(i, skip_special_tokens=False) for i in want]
+    cuts = [b"a  ", b"  b c\n", b"\n\nd e"]
+    plain = b"".join(enc.encode([c.decode() for c in cuts]))
+    assert bpe.repaired(enc, cuts, enc.encode([c.decode() for c in cuts])) == enc.encode(["a    b c\n\n\nd e"])[0] != plain
+    took = []
+    for n in (30_000, 240_000):
+        text = " ".join(word() for _ in range(n))
+        began = time.time()
+        (ids, _), = bpe.ChunkCoder(enc).code([text])
+        took.append(time.time() - began)
+        assert ids == enc.encode([text])[0]
+    assert took[1] < 30 * max(took[0], 0.05)  # eight times the text; the square would be 64
+
+
+def test_long_parts_are_split_between_safe_characters(monkeypatch):
+    c = tokens.PieceCounter(PIECE)
+    assert c.apart
+    rng = random.Random(9)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "\u4e16\u754c\u4f60\u597d\u6211\u4eec\u662f\u7684", "aA1,.-_/\u00e9\u0301\ufb01\U0001f600\u00df\t\n", "xyz0123456789", "\ud55c\uad6d\uc5b4\u1100\u1161", "=-"]
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (1, 7, 400, 3000)]
+    texts += [t + " " + u for t in texts[-6:] for u in texts[:3]] + ["\n" * 900, "=" * 900, "\U0001f600" * 900]
+    want = [len(c.sp.encode(t)) for t in texts]
+    for long in (1, 2, 50, 2000):
+        monkeypatch.setattr(tokens, "LONG", long)
+        assert tokens.PieceCounter(PIECE).counts(texts) == want
+    monkeypatch.setattr(tokens, "LONG", 50)
+    assert len(c.cuts(texts[3])) > 5
+    huge = "".join(rng.choice(alphabets[1] + alphabets[2]) for _ in range(3_000_000))
+    monkeypatch.setattr(tokens, "LONG", 2000)
+    assert c.counts([huge]) == [len(c.sp.encode(huge))]
