@@ -61,6 +61,9 @@ class Steps:
         for name in names:
             delete_path(self.spark, f"{self.folder}/{name}")
 
+    def close(self) -> None:
+        delete_path(self.spark, self.folder)
+
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, by rows and by bytes. The session's settings are the same for all operators, so that lazy frames of one are not changed by another."""
@@ -72,6 +75,21 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A key with more rows than this share of a task's fair number is hot.
+HOT_SHARE = 0.25
+
+
+def join_spread(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows joined with table, a written table of one row a key, by keys; weight names its column that says how many of the rows have the key.
+
+    Hot keys (at most tasks / HOT_SHARE) are broadcast and meet their rows where they are, so that no task gets all rows of one key.
+    """
+    fair = max(1, int(HOT_SHARE * (table.agg(F.sum(weight)).head()[0] or 0) / parts(rows.sparkSession)))
+    hot = table.where(F.col(weight) > fair)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) <= fair), keys)
+    return rest.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def as_bytes(col: str = "text"):
     """UTF-8 bytes of a string column, null as empty."""
     return F.encode(F.coalesce(F.col(col), F.lit("")), "UTF-8")

@@ -4,23 +4,33 @@ Texts become sets of word shingles; texts with equal sets are one class. Two cla
 threshold, i.e. when their distance is at most tau = 1 - threshold.
 
 Unrelated texts all lie at distance 1 from each other and from any pivot, where no triangle inequality can tell them apart, so
-pivots are found through shared shingles: two linked sets must share l of the first few of their shingles in any common order
+regions are found through shared shingles first: two linked sets must share l of the first few of their shingles in any common order
 (with m shingles, l of the first m - ceil(threshold * m) + l). Shingles known to be frequent come last in that order, which keeps
 passages that many texts share out of the way. All classes with the same early shingle and sizes without a gap that no link can
-span belong to the region of the smallest class among them, their pivot. A large region is dealt into a grid of blocks, so that it meets itself in many tasks. There, first the
-early shingles alone part a block into groups that share l of them; only these groups get whole sets, equal groups once.
-
-Within a task a group is joined recursively: pivots (farthest first) split it into Voronoi cells by exact distance; a set y of
-another cell q goes into the cell of p too, if d(y, p) - d(y, q) <= 2 tau, which by the triangle inequality holds for every y
-within tau of a set of p's cell; cells that are small, or that windows fill up again, are compared exactly by counting common
-shingles. Every task gives the links of a spanning forest, and components are found by large-star and small-star steps over tables.
-
-Order and frequency table only decide where sets meet, never whether they link; every pair that can link meets, whatever
+span belong to the region of the smallest class among them.
+
+A region of at most BLOCK classes is joined by one task: the early shingles part it into groups that share l of them, and only these
+get whole sets, equal groups once. A larger region is split over tables until its parts are that small. A round draws up to
+SPLIT_PIVOTS of its classes and takes the exact distance of every member to each, in tasks of CHUNK members. Members within R of a
+pivot form its Voronoi cell; a set y of another cell q goes into the cell of p too, if d(y, p) - d(y, q) <= 2 tau and d(y, p) <=
+R + tau, which by the triangle inequality hold for every y within tau of a set of p's cell. Members beyond R of all pivots are the
+remainder, which takes the members beyond R - tau of their pivot too. Each of these is a region of the next round. Members within tau
+of a pivot are linked to it, and pivots that share such members, or members of an earlier round's group, make one group: pairs inside a group are connected already
+and need no comparison, and a region that is one group is finished. Where cells hardly shrink, because all members are near each
+other, the region stays whole, and the next round draws its pivots from members without a group; after ROUNDS of these, what is still
+without the largest group is compared with the whole region in blocks, as many as it takes.
+
+Within a task a group is joined in the same way: pivots (farthest first), cells with windows, recursively, and what no window and no
+group decides is compared exactly by counting common shingles. Every task gives the links of a spanning forest, and how many pairs
+were decided by windows, by groups and by comparison. Components are found by large-star and small-star steps over tables.
+
+Order, frequency table and pivots only decide where sets meet, never whether they link; every pair that can link meets, whatever
 its partners, so that no link between different texts is lost.
 
 Defined results: null or blank texts have the empty set and link with nothing; texts below k words have one shingle, the whole
-sequence; a null doc_id joins no component (component_id null); rows that share a doc_id count as one vertex; repeated rows are given
-each; an empty table gives no rows.
+sequence; texts of any length are taken whole; a null doc_id joins no component (component_id null); rows that share a doc_id count
+as one vertex; repeated rows are given each; an empty table gives no rows; columns other than doc_id and text, whatever their names,
+do not matter.
 """
 
 from __future__ import annotations
@@ -31,13 +41,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import as_bytes, materialize, parts, small_batches
+from cellweave.llm.common import Steps, as_bytes, join_spread, materialize, parts, small_batches
 
 #: Frequent shingles that the order knows at most; eight bytes each are broadcast.
 HEAVY = 1 << 18
-#: Members of a region that one task compares, and into how many blocks a larger one is dealt at most.
+#: Members of a region that one task compares; larger regions are split.
 BLOCK = 128
-GRID = 16
+#: Pivots of a split at most, members that a task measures against them, the reach R of a pivot in tau,
+#: a part's largest share of its region that is worth a split, and rounds without one before blocks.
+SPLIT_PIVOTS = 64
+CHUNK = 1024
+REACH = 3
+SHRINK = 0.7
+ROUNDS = 3
+#: Within a task: members that are compared at once, and pivots of a step.
 LEAF = 64
 PIVOTS = 4
 #: Bits of the bitmap that tells which texts are still needed.
@@ -98,7 +115,7 @@ class UnionFind:
 
 
 class Region:
-    """Sets of a task, joined recursively."""
+    """Sets of a task, joined recursively. met counts pairs to decide, by_window, by_group and compared how they were decided."""
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.tau = percent, 1 - percent / 100
@@ -110,7 +127,7 @@ class Region:
         col = column[inverse[keep]]
         self.columns, bounds = int((counts > 1).sum()), np.searchsorted(row, np.arange(len(sets) + 1))
         self.of = [col[a:b] for a, b in zip(bounds, bounds[1:])]
-        self.compared = 0
+        self.met = self.by_window = self.by_group = self.compared = 0
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common shingles of each of a with each of b."""
@@ -118,7 +135,6 @@ class Region:
         where = np.full(self.columns + 1, -1, np.int64)
         where[used] = np.arange(len(used))
         total = np.zeros((len(a), len(b)), np.float32)
-        self.compared += len(a) * len(b)
         step = max(256, (8 << 20) // max(1, len(a) + len(b)))
         left, right = [where[self.of[i]] for i in a], [x[x >= 0] for x in (where[self.of[i]] for i in b)]
         for at in range(0, len(used), step):
@@ -134,75 +150,94 @@ class Region:
             out[i, x - at] = 1
         return out
 
-    def linked(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a and b that link."""
+    def measure(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of each of a to each of b, and which of these pairs link."""
         both = self.common(a, b)
         union = self.size[a][:, None] + self.size[b][None, :] - both
-        i, j = np.nonzero(100 * both >= self.percent * union)
-        return a[i], b[j]
-
-    def distances(self, p: int, of: np.ndarray) -> np.ndarray:
-        both = self.common(np.array([p]), of)[0]
-        return 1 - both / (self.size[p] + self.size[of] - both)
-
-    def join(self, core: np.ndarray, window: np.ndarray, found: UnionFind) -> None:
-        """Links between core and core or window."""
-        everyone = np.concatenate([core, window])
-        if len(everyone) <= LEAF or len(core) <= PIVOTS:
-            for i, j in zip(*(x.tolist() for x in self.linked(core, everyone))):
-                if i != j:
-                    found.join(i, j)
+        return 1 - both / union, 100 * both >= self.percent * union
+
+    def join(self, core: np.ndarray, window: np.ndarray, found: UnionFind, inner: bool = True) -> None:
+        """Links between core and window and, if inner, between core and core."""
+        everyone, n = np.concatenate([core, window]), len(core)
+        self.met += n * len(window) + (n * (n - 1) // 2 if inner else 0)
+        self._join(core, window, found, inner)
+
+    def _join(self, core: np.ndarray, window: np.ndarray, found: UnionFind, inner: bool) -> None:
+        everyone, n = np.concatenate([core, window]), len(core)
+        pairs = n * len(window) + (n * (n - 1) // 2 if inner else 0)
+        if not pairs:
             return
-        pivots, dist = [int(core[0])], [self.distances(int(core[0]), everyone)]
-        while len(pivots) < PIVOTS:
-            far = np.min(dist, 0)[: len(core)]
-            pivots.append(int(core[int(far.argmax())]))
-            dist.append(self.distances(pivots[-1], everyone))
-        d = np.array(dist)
-        home = d.argmin(0)
-        near = d.min(0)
-        is_core = np.arange(len(everyone)) < len(core)
-        cells = []
-        for p in range(len(pivots)):
-            own = is_core & (home == p)
-            # of two cells the first takes the other's boundary; window members meet cores of any cell
-            edge = (d[p] - near <= 2 * self.tau + 1e-9) & ~own & (~is_core | (home > p))
-            cells.append((everyone[own], everyone[edge]))
-        if max(len(a) + len(b) for a, b in cells) > 0.8 * len(everyone):
-            for i, j in zip(*(x.tolist() for x in self.linked(core, everyone))):
-                if i != j:
-                    found.join(i, j)
+        if len({found.root(i) for i in everyone.tolist()}) == 1:
+            self.by_group += pairs
             return
-        for a, b in cells:
-            if len(a):
-                self.join(a, b, found)
-
-    def join_across(self, left: np.ndarray, right: np.ndarray, found: UnionFind) -> None:
-        """Links between two blocks: the distance to one pivot bounds who can link (|d(x, p) - d(y, p)| <= tau)."""
-        p = int(left[0])
-        dl, dr = self.distances(p, left), self.distances(p, right)
-        left, right, dl, dr = left[np.argsort(dl)], right[np.argsort(dr)], np.sort(dl), np.sort(dr)
-        for at in range(0, len(left), LEAF):
-            some = left[at : at + LEAF]
-            a = np.searchsorted(dr, dl[at] - self.tau - 1e-9, "left")
-            b = np.searchsorted(dr, dl[min(at + LEAF, len(left)) - 1] + self.tau + 1e-9, "right")
-            if b > a:
-                for i, j in zip(*(x.tolist() for x in self.linked(some, right[a:b]))):
-                    found.join(i, j)
-
-
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Edges (i, root) that connect what links: within left, or between left and right where right is given."""
-    region, found = Region(sets, percent), UnionFind(len(sets))
-    if right is None:
-        region.join(left, left[:0], found)
+        pivots, dist = [], []
+        far = np.full(n, np.inf)
+        while len(pivots) < min(PIVOTS, n):
+            p = core[int(far.argmax())]
+            d, linked = self.measure(np.array([p]), everyone)
+            for i in everyone[linked[0]].tolist():
+                found.join(int(p), i)
+            pivots.append(p)
+            dist.append(d[0])
+            far = np.minimum(far, d[0][:n])
+        d = np.array(dist)
+        if len(everyone) > LEAF and n > PIVOTS:
+            home, near, is_core = d.argmin(0), d.min(0), np.arange(len(everyone)) < n
+            cells = []
+            for p in range(len(pivots)):
+                own = is_core & (home == p)
+                # of two cells the first takes the other's boundary; window members meet cores of any cell
+                edge = (d[p] - near <= 2 * self.tau + 1e-9) & ~own & (~is_core | (inner & (home > p)))
+                cells.append((everyone[own], everyone[edge]))
+            left = sum(len(a) * len(b) + (len(a) * (len(a) - 1) // 2 if inner else 0) for a, b in cells)
+            if left <= 0.7 * pairs:
+                self.by_window += pairs - left
+                for a, b in cells:
+                    self._join(a, b, found, inner)
+                return
+        for at in range(0, n, 512):
+            self._compare(everyone, at, min(n, at + 512), n, d, found, inner)
+
+    def _compare(self, everyone: np.ndarray, first: int, stop: int, n: int, d: np.ndarray, found: UnionFind, inner: bool) -> None:
+        """Exactly those pairs of everyone[first:stop] with later members that neither distances to pivots nor groups decide."""
+        i, j = np.arange(first, stop)[:, None], np.arange(len(everyone))[None, :]
+        mine = (j > i) if inner else (j >= n) & (i < n)
+        near = np.ones(mine.shape, bool)
+        for row in d:
+            near &= abs(row[first:stop, None] - row[None, :]) <= self.tau + 1e-9
+        root = np.array([found.root(x) for x in everyone.tolist()])
+        differ = root[first:stop, None] != root[None, :]
+        self.by_window += int((mine & ~near).sum())
+        self.by_group += int((mine & near & ~differ).sum())
+        todo = mine & near & differ
+        self.compared += int(todo.sum())
+        rows, cols = np.flatnonzero(todo.any(1)), np.flatnonzero(todo.any(0))
+        if len(rows):
+            a, b = np.nonzero(self.measure(everyone[rows + first], everyone[cols])[1] & todo[np.ix_(rows, cols)])
+            for x, y in zip(everyone[rows + first][a].tolist(), everyone[cols][b].tolist()):
+                found.join(x, y)
+
+
+def forest(sets: list[np.ndarray], core: np.ndarray, labels: list[int | None], percent: int, inner: bool = True) -> tuple[list[tuple[int, int]], tuple[int, int, int, int]]:
+    """Edges (i, root) that connect what links within core, if inner, and between core and the others, and the four counts of Region. Sets with equal labels are connected already."""
+    found, first = UnionFind(len(sets)), {}
+    for i, label in enumerate(labels):
+        if label is not None:
+            found.join(first.setdefault(label, i), i)
+    if len(sets) == 2 and inner and core.all():
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
+            found.join(0, 1)
+        counts = (1, 0, 0, 1)
     else:
-        region.join_across(left, right, found)
-    return [(i, r) for i in range(len(sets)) if (r := found.root(i)) != i]
+        region = Region(sets, percent)
+        region.join(np.flatnonzero(core), np.flatnonzero(~core), found, inner)
+        counts = (region.met, region.by_window, region.by_group, region.compared)
+    return [(i, r) for i in range(len(sets)) if (r := found.root(i)) != i], counts
 
 
 def _survey(k: int):
-    """Rows of kind 0: (doc_id, n_shingles, class) of each document; of kind 1: shingles that stand in several texts of a batch and in how many."""
+    """Rows of kind 0: (doc_id, th, n_shingles, class) of each document; of kind 1: shingles that stand in several texts of a batch and in how many."""
 
     def run(batches):
         for b in batches:
@@ -210,13 +245,13 @@ def _survey(k: int):
             names = [class_of(s) for s in sets]
             n = pa.array([len(s) for s in sets], pa.int64())
             hi, lo = (pa.array([c[i] for c in names], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), b.column(0), n, hi, lo], ["kind", "doc_id", "n", "hi", "lo"])
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), b.column(0), b.column(2), n, hi, lo], ["kind", "doc_id", "th", "n", "hi", "lo"])
             once = list({c: s for c, s in zip(names, sets)}.values())
             found, counts = np.unique(np.concatenate(once) if once else np.zeros(0, np.uint64), return_counts=True)
             found, counts = found[counts > 1], counts[counts > 1]
             if len(found):
                 zero = np.zeros(len(found), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(zero), pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64)), pa.array(zero)], ["kind", "doc_id", "n", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(zero.astype(np.int32) + 1), pa.array(zero), pa.array(zero), pa.array(counts.astype(np.int64)), pa.array(found.view(np.int64)), pa.array(zero)], ["kind", "doc_id", "th", "n", "hi", "lo"])
 
     return run
 
@@ -267,21 +302,15 @@ def _marks(homes: DataFrame) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Of a block of a region, the groups of classes that share enough early shingles to link; a group is named by its members."""
+    """Of a region, the groups of classes that share enough early shingles to link; a group is named by its members."""
 
     def run(key, table):
-        i, j = key[2].as_py(), key[3].as_py()
-        side = table.column("side").to_numpy()
         names = [np.array(x, np.int64).view(np.uint64) for x in table.column("hs").to_pylist()]
         need = 1 + table.column("n").to_numpy().astype(np.int64) // 40
-        region, found = Region(names, percent), UnionFind(len(names))
-        left, right = (np.arange(len(names)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        for at in range(0, len(left), 512):
-            some = left[at : at + 512]
-            if len(right):
-                a, b = np.nonzero(region.common(some, right) >= np.minimum(need[some][:, None], need[right][None, :]))
-                for x, y in zip(some[a].tolist(), right[b].tolist()):
-                    found.join(x, y)
+        region, found, every = Region(names, percent), UnionFind(len(names)), np.arange(len(names))
+        a, b = np.nonzero(region.common(every, every) >= np.minimum(need[:, None], need[None, :]))
+        for x, y in zip(a.tolist(), b.tolist()):
+            found.join(x, y)
         groups: dict[int, list[int]] = {}
         for x in range(len(names)):
             groups.setdefault(found.root(x), []).append(x)
@@ -289,39 +318,172 @@ def _meet(percent: int):
         out: list[tuple] = []
         for members in groups.values():
             if len(members) > 1:
-                who = np.array(sorted((int(hi[x]), int(lo[x]), int(side[x])) for x in members), np.int64)
+                who = np.array(sorted((int(hi[x]), int(lo[x])) for x in members), np.int64)
                 k = np.frombuffer(xxhash.xxh3_128_digest(who.tobytes()), np.int64).tolist()
                 out += [(*k, *row) for row in who.tolist()]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["k_hi", "k_lo", "hi", "lo", "side"])
+        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["k_hi", "k_lo", "hi", "lo"])
 
     return run
 
 
+_FOUND = "a long, b long, met long, by_window long, by_group long, compared long"
+
+
 def _join_cell(percent: int):
+    """A row an edge, and one with the counts and no edge."""
+
     def run(key, table):
-        ids, side = table.column("rep").to_numpy(), table.column("side").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
-        order = np.arange(len(sets))
-        if not side.any():
-            edges = forest(sets, order, None, percent)
-        else:
-            edges = forest(sets, order[side == 0], order[side == 1], percent) if not side.all() else []
-        a, b = ([int(ids[e[x]]) for e in edges] for x in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ids, core = table.column("rep").to_numpy(), table.column("core").to_numpy(zero_copy_only=False).astype(bool)
+        inner = table.column("inner")[0].as_py()
+        edges, counts = [], (0, 0, 0, 0)
+        if len(ids) > 1 and core.any():
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("names").to_pylist()]
+            edges, counts = forest(sets, core, table.column("label").to_pylist(), percent, inner)
+        pick = lambda x: [None, *(int(ids[e[x]]) for e in edges)]
+        return pa.table({"a": pa.array(pick(0), pa.int64()), "b": pa.array(pick(1), pa.int64()), **{c: pa.array([v] + [0] * len(edges), pa.int64()) for c, v in zip(("met", "by_window", "by_group", "compared"), counts)}})
+
+    return run
+
+
+_PLACED = "k_hi long, k_lo long, rep long, core boolean, label long, names binary, salt int, near array<long>, cells array<int>, home int"
+
+
+def _place(percent: int):
+    """Members of a region beside its pivots: the pivots that each links to (near), the cells that it goes to, and which of these is its Voronoi cell (home)."""
+
+    def run(key, members, pivots):
+        order = np.argsort(pivots.column("rep").to_numpy())
+        ids, names = pivots.column("rep").to_numpy()[order], pivots.column("names").take(pa.array(order)).to_pylist()
+        n, near, cells, homes = len(ids), [], [], []
+        if members.num_rows:
+            sets = [np.frombuffer(x, np.uint64) for x in [*names, *members.column("names").to_pylist()]]
+            region = Region(sets, percent)
+            d, linked = region.measure(np.arange(n, len(sets)), np.arange(n))
+            least, tau, reach = d.min(1), region.tau + 1e-9, REACH * region.tau
+            homes = np.where(least <= reach, d.argmin(1), n)  # cell n is the remainder
+            core = members.column("core").to_numpy(zero_copy_only=False).astype(bool)
+            edge = (d - least[:, None] <= 2 * tau) & (d <= reach + tau)
+            # of two cells the first takes the other's boundary; members that are no core meet cores of any cell
+            edge &= ~core[:, None] | (np.arange(n)[None, :] <= homes[:, None])
+            edge &= ~core[:, None] | (homes[:, None] < n)  # the remainder's own members meet the cells there
+            cells = [np.flatnonzero(e).tolist() for e in np.c_[edge, least > reach - tau]]
+            near = [ids[x].tolist() for x in linked]
+        kept = {c: members.column(c) for c in ("k_hi", "k_lo", "rep", "core", "label", "names", "salt")}
+        return pa.table({**kept, "near": pa.array(near, pa.list_(pa.int64())), "cells": pa.array(cells, pa.list_(pa.int32())), "home": pa.array(homes, pa.int32())})
 
     return run
 
 
+def _grouped(key, table):
+    """(k_hi, k_lo, pivot, group): groups that the pivots of a region form through members they share, named by the least label in them, or else the least pivot."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    rows = list(zip(table.column("near").to_pylist(), table.column("label").to_pylist()))
+    for near, _ in rows:
+        for p in near[1:]:
+            a, b = root(near[0]), root(p)
+            up[max(a, b)] = min(a, b)
+        root(near[0])
+    label: dict[int, int] = {}
+    for near, x in rows:
+        if x is not None:
+            label[root(near[0])] = min(x, label.get(root(near[0]), x))
+    pivots, (hi, lo) = list(up), (x.as_py() for x in key[:2])
+    return pa.table({"k_hi": pa.array([hi] * len(pivots), pa.int64()), "k_lo": pa.array([lo] * len(pivots), pa.int64()), "pivot": pa.array(pivots, pa.int64()), "group": pa.array([label.get(root(p), root(p)) for p in pivots], pa.int64())})
+
+
+_KEY = ["k_hi", "k_lo"]
+_CELL = [*_KEY, "rep", "core", "label", "names"]
+
+
+def _named(*by):
+    """The key of a part of a region."""
+    return [F.xxhash64(*_KEY, *by).alias("k_hi"), F.xxhash64(*by, *_KEY[::-1]).alias("k_lo")]
+
+
+def _upto(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _in_blocks(level: DataFrame, steps: Steps, turn: int) -> DataFrame:
+    """Regions that no pivots part: what is without the largest group, in blocks, beside all other members, in chunks of BLOCK."""
+    free = F.col("label").isNull() | F.col("most").isNull() | (F.col("label") != F.col("most"))
+    level = level.withColumn("free", free)
+    dealt = level.groupBy(*_KEY).agg(F.ceil(F.count_if("free") / BLOCK).cast("int").alias("nb"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nc"), F.count(F.lit(1)).alias("rows"))
+    level = join_spread(level, steps.table(dealt, f"dealt{turn}"), _KEY, "rows")
+    level = level.withColumn("b", F.when(F.col("free"), F.pmod(F.xxhash64("rep"), "nb")).otherwise(F.col("nb")).cast("int")).withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), "nc").cast("int"))
+    rest = ["rep", "label", "names"]
+    cores = level.where("free").select(*_KEY, *rest, "b", _upto("nc").alias("c"), F.lit(True).alias("core"))
+    others = level.where("b > 0").select(*_KEY, *rest, _upto("b").alias("b"), "c", F.lit(False).alias("core"))
+    return cores.unionByName(others).select(*_named("b", "c"), *rest, "core", (F.col("c") == 0).alias("inner"))
+
+
+def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Regions (k_hi, k_lo, rep, core, label, names), split by pivots over tables until one task can join a part.
+
+    Gives tables of links (a, b) to pivots, and of cells (k_hi, k_lo, rep, core, label, names, inner) for one task each.
+    """
+    links, ready, turn = [], [], 0
+    level = level.select(*_CELL, F.lit(0).alias("tries"))
+    while True:
+        # a region is finished without cores or as one group, and small enough, stuck or to be split otherwise
+        sizes = level.groupBy(*_KEY).agg(
+            F.count(F.lit(1)).alias("m"), F.count_if("core").alias("cores"), F.count("label").alias("labelled"), F.min("label").alias("least"), F.max("label").alias("greatest"), F.mode("label", True).alias("most"),
+            F.max("tries").alias("turns"))
+        one = (F.col("labelled") == F.col("m")) & (F.col("least") == F.col("greatest"))
+        kind = F.when(F.col("m") <= BLOCK, "ready").when(F.col("turns") >= ROUNDS, "blocks").otherwise("split")
+        sizes = steps.table(sizes.where((F.col("cores") > 0) & ~F.coalesce(one, F.lit(False))).select(*_KEY, "m", "most", "turns", F.ceil(F.col("m") / CHUNK).cast("int").alias("ways"), kind.alias("kind")), f"sizes{turn}")
+        kinds = {r.kind for r in sizes.select("kind").distinct().collect()}
+        of = lambda kind: join_spread(level, sizes.where(F.col("kind") == kind), _KEY, "m")  # noqa: B023, E731
+        if "ready" in kinds:
+            ready.append(steps.table(of("ready").select(*_CELL, F.lit(True).alias("inner")), f"ready{turn}"))
+        if "blocks" in kinds:
+            ready.append(steps.table(_in_blocks(of("blocks").select(*_CELL, "most"), steps, turn), f"blocks{turn}"))
+        if "split" not in kinds:
+            return links, ready
+        parted = of("split")
+        draw = Window.partitionBy(*_KEY).orderBy(F.col("label").isNotNull(), F.xxhash64("rep", F.lit(turn)), "rep")
+        pivots = parted.where("core").select(*_KEY, "rep", "label", "names", "ways").withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= SPLIT_PIVOTS)
+        pivots = steps.table(pivots.select(*_KEY, "rep", "names", "ways"), f"pivots{turn}")
+        salted = parted.withColumn("salt", F.pmod(F.xxhash64("rep"), "ways").cast("int")).groupBy(*_KEY, "salt")
+        placed = salted.cogroup(pivots.withColumn("salt", _upto("ways")).groupBy(*_KEY, "salt")).applyInArrow(_place(percent), _PLACED)
+        placed = steps.table(placed, f"placed{turn}")
+        links.append(steps.table(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"), f"near{turn}"))
+        groups = placed.where(F.size("near") > 0).groupBy(*_KEY, "near").agg(F.min("label").alias("label")).groupBy(*_KEY).applyInArrow(_grouped, "k_hi long, k_lo long, pivot long, group long")
+        ways = sizes.select(*_KEY, "ways", "m", "turns")
+        groups = groups.join(ways, _KEY).select(*_KEY, "pivot", "group", _upto("ways").alias("salt"))
+        widest = placed.select(*_KEY, F.explode("cells").alias("cell")).groupBy(*_KEY, "cell").agg(F.count(F.lit(1)).alias("n")).groupBy(*_KEY).agg(F.max("n").alias("n"))
+        control = widest.join(ways, _KEY).select(*_KEY, (F.col("n") <= SHRINK * F.col("m")).alias("parts"), "turns", _upto("ways").alias("salt"))
+        marked = placed.withColumn("pivot", F.try_element_at("near", F.lit(1))).join(groups, [*_KEY, "pivot", "salt"], "left").withColumn("label", F.coalesce("group", "label")).join(control, [*_KEY, "salt"])
+        marked = steps.table(marked, f"marked{turn}")
+        cells = marked.where("parts").withColumn("cell", F.explode("cells"))
+        cells = cells.select(*_named("cell", F.lit(turn)), "rep", (F.col("core") & (F.col("cell") == F.col("home"))).alias("core"), "label", "names", F.lit(0).alias("tries"))
+        stay = marked.where("not parts").select(*_CELL, (F.col("turns") + 1).alias("tries"))
+        level = steps.table(cells.unionByName(stay), f"level{turn}")
+        steps.drop(f"pivots{turn}", f"placed{turn}", f"marked{turn}", f"sizes{turn}", *([f"level{turn - 1}"] if turn else []))
+        turn += 1
+
+
 def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, links): rows (doc_id, n, hi, lo) of docs (doc_id, text), classes (hi, lo, rep) with rep the smallest doc_id, links (a, b) between reps."""
+    """(rows, classes, links): rows (doc_id, th, n, hi, lo) of docs (doc_id, text), th being a hash of the text, classes (hi, lo, rep) with rep the smallest doc_id, links (a, b) between reps.
+
+    links also has a row with null a and b for each joined region, in which met counts its pairs and by_window, by_group and compared how they were decided.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    steps = Steps(spark, "jaccard")
     n = parts(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"))
-    survey = materialize(rows.mapInArrow(_survey(k), "kind int, doc_id long, n long, hi long, lo long"), "survey")
-    own = survey.where("kind = 0").select("doc_id", "n", "hi", "lo")
-    classes = materialize(own.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"), F.xxhash64("text").alias("th"))
+    survey = steps.table(rows.mapInArrow(_survey(k), "kind int, doc_id long, th long, n long, hi long, lo long"), "survey")
+    own = survey.where("kind = 0").select("doc_id", "th", "n", "hi", "lo")
+    classes = steps.table(own.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
 
     most = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "hi").limit(HEAVY).collect()  # at most HEAVY rows
     most.sort(key=lambda r: r.hi & (1 << 64) - 1)
@@ -334,19 +496,17 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     gap = (100 * F.lag("n").over(by_size).cast("long") < percent * F.col("n").cast("long")).cast("int")  # no two sets across such a gap can link
     met = met.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(by_size))
     region = Window.partitionBy("h", "run")
-    met = met.withColumn("pivot", F.min(name).over(region)).withColumn("c", F.count(F.lit(1)).over(region)).where("c > 1")
-    met = materialize(met.select("h", "hi", "lo", "n", F.col("pivot.hi").alias("p_hi"), F.col("pivot.lo").alias("p_lo")), "met")
+    met = met.withColumn("first", F.min(name).over(region)).withColumn("c", F.count(F.lit(1)).over(region)).where("c > 1")
+    met = steps.table(met.select("h", "hi", "lo", "n", F.col("first.hi").alias("k_hi"), F.col("first.lo").alias("k_lo")), "met")
     early_of = met.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs"))  # at most a prefix each
-    members = met.select("p_hi", "p_lo", "hi", "lo").distinct()
-    sizes = members.groupBy("p_hi", "p_lo").agg(F.count(F.lit(1)).alias("m"))
-    placed = members.join(sizes, ["p_hi", "p_lo"]).join(early_of, ["hi", "lo"])
-    blocks = F.least(F.lit(GRID), F.ceil(F.col("m") / BLOCK)).cast("int")
-    placed = placed.withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("hi", "lo"), F.col("nb")).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    placed = placed.select("p_hi", "p_lo", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), (F.col("own") > F.col("to")).cast("int").alias("side"), "hi", "lo", "n", "hs")
-    groups = placed.groupBy("p_hi", "p_lo", "i", "j").applyInArrow(_meet(percent), "k_hi long, k_lo long, hi long, lo long, side int").distinct()
-    named = groups.join(classes, ["hi", "lo"]).where("rep is not null")
-    homes = named.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct("k_hi", "k_lo", "side")).alias("homes"))
-    homes = materialize(homes, "homes")
+    members = steps.table(met.select(*_KEY, "hi", "lo").distinct(), "members")
+    sizes = steps.table(members.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("m")), "sizes")
+    small = members.join(sizes.where(F.col("m") <= BLOCK), _KEY).join(early_of, ["hi", "lo"])
+    groups = small.groupBy(*_KEY).applyInArrow(_meet(percent), "k_hi long, k_lo long, hi long, lo long").distinct().withColumn("large", F.lit(False))
+    large = join_spread(members, sizes.where(F.col("m") > BLOCK), _KEY, "m").select(*_KEY, "hi", "lo", F.lit(True).alias("large"))
+    named = groups.unionByName(large).join(classes, ["hi", "lo"]).where("rep is not null")
+    homes = steps.table(named.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct(*_KEY, "large")).alias("homes")), "homes")
+    steps.drop("met", "members", "sizes")
 
     wanted = spark.sparkContext.broadcast(_marks(homes))
 
@@ -360,13 +520,15 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     text = texts.hint("merge").join(homes, "rep")
 
     def spread(batches):
+        last = None
         for b in batches:
             out, size = [], 0
             for rep, raw, hi, lo, homes_of in zip(*(b.column(c).to_pylist() for c in ("rep", "b", "hi", "lo", "homes"))):
                 s = shingles(raw, k)
-                if class_of(s) == (hi, lo):
+                if class_of(s) == (hi, lo) and last != (rep, hi, lo):  # repeated rows stand together
+                    last = (rep, hi, lo)
                     data = s.tobytes()
-                    out += [(rep, h["k_hi"], h["k_lo"], h["side"], data) for h in homes_of]
+                    out += [(rep, h["k_hi"], h["k_lo"], h["large"], data) for h in homes_of]
                     size += len(data) * len(homes_of)
                     if size > 4 << 20:
                         yield table(out)
@@ -375,28 +537,44 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
                 yield table(out)
 
     def table(out):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["rep", "k_hi", "k_lo", "side", "names"])
-
-    cells = text.mapInArrow(spread, "rep long, k_hi long, k_lo long, side int, names binary")
-    links = cells.groupBy("k_hi", "k_lo").applyInArrow(_join_cell(percent), "a long, b long")
-    return own, classes, materialize(links.where("a <> b").distinct(), "links")
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["rep", *_KEY, "large", "names"])
+
+    cells = steps.table(text.mapInArrow(spread, "rep long, k_hi long, k_lo long, large boolean, names binary"), "cells")
+    cells = cells.withColumn("core", F.lit(True)).withColumn("label", F.lit(None).cast("long")).withColumn("inner", F.lit(True))
+    regions = Steps(spark, "regions")
+    todo, near = [cells.where("not large").select(*_CELL, "inner")], []
+    if not homes.where(F.exists("homes", lambda h: h["large"])).isEmpty():
+        near, more = split_regions(cells.where("large").select(*_CELL), percent, regions)
+        todo += more
+    everything = todo[0]
+    for t in todo[1:]:
+        everything = everything.unionByName(t)
+    links = everything.groupBy(*_KEY).applyInArrow(_join_cell(percent), _FOUND)
+    for t in near:
+        links = links.unionByName(t, True)
+    links = materialize(links, "links")
+    steps.drop("homes", "cells")
+    regions.close()
+    return own, classes, links
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(v, component): the smallest vertex that each vertex of links (a, b) reaches, by large-star and small-star rounds."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    """(v, component): the smallest vertex that each vertex of links (a, b) reaches, by large-star and small-star rounds. Edges of a hub are met where they are."""
+    steps = Steps(links.sparkSession, "components")
+    edges = steps.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-    before = mark(edges)
-    for _ in range(most_rounds):
+    before, last = mark(edges), "edges"
+    for turn in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "small")
-        after = mark(edges)
+        least = steps.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"least{turn}")
+        large = join_spread(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = steps.table(large, f"large{turn}")
+        low = steps.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"low{turn}")
+        small = join_spread(large, low, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        edges = steps.table(small, f"small{turn}")
+        steps.drop(f"least{turn}", f"large{turn}", f"low{turn}", last)
+        last, after = f"small{turn}", mark(edges)
         if after == before:
             break
         before = after
@@ -405,23 +583,54 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) of docs (doc_id, text): class_id is the smallest doc_id with the same set."""
+def _judged(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, th, n, rep, component) of each row of docs (doc_id, text)."""
     rows, classes, links = class_links(docs, k, percent)
-    found = components(links)
+    found = components(links.where("a is not null").select("a", "b"))
     named = classes.join(found, classes.rep == found.v, "left").select("hi", "lo", "rep", F.coalesce("component", "rep").alias("component"))
-    out = rows.join(named, ["hi", "lo"], "left")
     own = F.col("doc_id").isNotNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.coalesce("rep", "doc_id")).alias("class_id"), F.when(own, F.coalesce("component", "doc_id")).alias("component_id"))
+    return rows.join(named, ["hi", "lo"], "left").select("doc_id", "th", "n", F.when(own, F.coalesce("rep", "doc_id")).alias("rep"), F.when(own, F.coalesce("component", "doc_id")).alias("component"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) of docs (doc_id, text): class_id is the smallest doc_id with the same set."""
+    return _judged(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs (any columns, among them doc_id and text) that stay when each component keeps its smallest doc_id; rows without doc_id stay."""
-    near = near_duplicates(docs.select("doc_id", "text"), k, percent)
-    gone = materialize(near.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs (any columns, among them doc_id and text) that stay when each component keeps its smallest doc_id.
+
+    Of rows with equal doc_id and text, words in it, one stays; rows without doc_id or without words stay. A doc_id with two texts
+    loses only that which has a near copy of smaller doc_id.
+    """
+    near = materialize(_judged(docs.select("doc_id", "text"), k, percent).where("doc_id is not null and n > 0"), "judged")
+    th = F.xxhash64("text")
+    gone = near.where("component <> doc_id").select("doc_id", F.col("th").alias("cw__th")).distinct()
+    stay = docs.withColumn("cw__th", th).join(gone, ["doc_id", "cw__th"], "left_anti")
+    again = near.where("component = doc_id").groupBy("doc_id", F.col("th").alias("cw__th")).agg(F.count(F.lit(1)).alias("cw__n")).where("cw__n > 1")
+    if not again.isEmpty():
+        again = again.select("doc_id", "cw__th")
+        once = stay.join(again, ["doc_id", "cw__th"], "left_semi").dropDuplicates(["doc_id", "cw__th"])
+        stay = stay.join(again, ["doc_id", "cw__th"], "left_anti").unionByName(once)
+    return stay.select(*docs.columns)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, 4, 85)
+    return near_duplicates(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE_OP4 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+  ELSE [array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)] END)) AS sh FROM w),
+c AS (SELECT md5(array_to_string(sh, chr(10))) AS name, min(doc_id) AS rep, any_value(sh) AS sh, len(any_value(sh)) AS n FROM s WHERE len(sh) > 0 GROUP BY name),
+x AS (SELECT rep, n, unnest(sh) AS g FROM c),
+e AS (SELECT a.rep AS a, b.rep AS b FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(rep, component_id) USING KEY (rep) AS (SELECT rep, rep FROM c
+  UNION SELECT b.b, min(r.component_id) FROM reach r JOIN both_ways b ON b.a = r.rep JOIN recurring.reach t ON t.rep = b.b WHERE r.component_id < t.component_id GROUP BY b.b)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(reach.component_id, s.doc_id) AS component_id
+FROM s LEFT JOIN c ON len(s.sh) > 0 AND c.name = md5(array_to_string(s.sh, chr(10))) LEFT JOIN reach ON reach.rep = c.rep
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_bpe_chunks": bpe.op10_bpe_chunks,
 }
 
-ORACLE_SQL = {"op6_topk": topk.ORACLE_OP6, "op7_line_dedup": lines.ORACLE_OP7, "op8_warc": warc.ORACLE_OP8}
+ORACLE_SQL = {"op4_ngram_jaccard": jaccard.ORACLE_OP4, "op6_topk": topk.ORACLE_OP6, "op7_line_dedup": lines.ORACLE_OP7, "op8_warc": warc.ORACLE_OP8}

@@ -180,10 +180,12 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80)])
-def test_near_duplicates(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(jaccard, "BLOCK", 40)
-    monkeypatch.setattr(jaccard, "LEAF", 16)
+@pytest.mark.parametrize("k, percent, block, rounds", [(4, 85, 128, 3), (5, 80, 12, 2), (4, 85, 5, 0)])
+def test_near_duplicates(spark, monkeypatch, k, percent, block, rounds):
+    """Regions joined by one task each, split by pivots over tables, and compared in blocks: always the links of brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "SPLIT_PIVOTS", 4)
     rows = near_rows()
     df = spark.createDataFrame([(a, b, 1, "x") for a, b in rows] + [(None, "w1 w2 w3 w4 w5", 1, "x")], "doc_id long, text string, n int, component_id string").repartition(7)
     got = jaccard.near_duplicates(df, k, percent).collect()
@@ -194,42 +196,112 @@ def test_near_duplicates(spark, monkeypatch, k, percent):
     assert jaccard.near_duplicates(df.limit(0), k, percent).count() == 0
 
 
+def test_keep_one_of_repeated_rows(spark):
+    text = lambda x: " ".join(f"{x}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("a")), (5, text("a")), (5, text("b")), (6, text("b")), (7, None), (7, None), (None, text("a")), (8, " ")]
+    df = spark.createDataFrame([(t, i, "x") for i, t in rows], "text string, doc_id long, cw__n string")
+    assert sorted((r.doc_id or -1, (r.text or "-")[0]) for r in jaccard.keep_one(df).collect()) == [(-1, "a"), (1, "a"), (5, "b"), (7, "-"), (7, "-"), (8, " ")]
+    assert jaccard.keep_one(df).columns == df.columns
+
+
 def test_real_documents(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df, 4, 85).collect()) == brute(rows, 4, 85)
 
 
-def test_recursive_region_is_exact(monkeypatch):
-    monkeypatch.setattr(jaccard, "LEAF", 8)
-    rng = np.random.default_rng(3)
-    bases = [rng.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(12)]
-    sets = []
-    for b in bases:
-        for _ in range(rng.integers(5, 30)):
+def spread_sets(rng, groups=12, most=30, edits=14):
+    """Sets around shared bases, which themselves share a third of their names."""
+    shared, sets = rng.integers(0, 1 << 60, 30).astype(np.uint64), []
+    for _ in range(groups):
+        b = np.concatenate([shared, rng.integers(0, 1 << 60, 50).astype(np.uint64)])
+        for _ in range(rng.integers(5, most)):
             s = b.copy()
-            at = rng.integers(0, 80, rng.integers(0, 14))
+            at = rng.integers(0, 80, rng.integers(0, edits))
             s[at] = rng.integers(0, 1 << 60, len(at)).astype(np.uint64)
             sets.append(np.unique(s))
-    order = np.arange(len(sets))
+    return sets
+
+
+def linked_by_hand(sets, percent, pairs):
     up = jaccard.UnionFind(len(sets))
-    for i in range(len(sets)):
-        for j in range(i):
-            c = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * c >= 85 * (len(sets[i]) + len(sets[j]) - c):
-                up.join(i, j)
-    mine = jaccard.UnionFind(len(sets))
-    for i, r in jaccard.forest(sets, order, None, 85):
+    for i, j in pairs:
+        c = len(np.intersect1d(sets[i], sets[j]))
+        if percent * (len(sets[i]) + len(sets[j]) - c) <= 100 * c:
+            up.join(i, j)
+    return [up.root(i) for i in range(len(sets))]
+
+
+def test_windows_and_groups_decide_pairs_within_a_task():
+    """All pairs are accounted for, few are compared, and the links are those of all pairs."""
+    sets = spread_sets(np.random.default_rng(3))
+    n = len(sets)
+    edges, (met, by_window, by_group, compared) = jaccard.forest(sets, np.ones(n, bool), [None] * n, 85)
+    mine = jaccard.UnionFind(n)
+    for i, r in edges:
         mine.join(i, r)
-    assert [mine.root(i) for i in order] == [up.root(i) for i in order]
-    region, found = jaccard.Region(sets, 85), jaccard.UnionFind(len(sets))
-    region.join(order, order[:0], found)
-    assert region.compared < len(sets) ** 2 / 2
-    half = len(sets) // 2
-    for part in (forest for forest in ([order[:half], None], [order[half:], None], [order[:half], order[half:]])):
-        for i, r in jaccard.forest(sets, part[0], part[1], 85):
-            mine.join(i, r)
-    assert [mine.root(i) for i in order] == [up.root(i) for i in order]
+    assert [mine.root(i) for i in range(n)] == linked_by_hand(sets, 85, [(i, j) for i in range(n) for j in range(i)])
+    assert met == n * (n - 1) // 2 == by_window + by_group + compared
+    assert by_window > 0.5 * met and compared < 0.25 * met
+
+
+def test_core_and_window_of_a_task():
+    """Links between core and the others, with and without those inside core, and with members that are connected already."""
+    rng = np.random.default_rng(4)
+    sets = spread_sets(rng, 6, 20)
+    n = len(sets)
+    for part in (0.1, 0.5, 0.9):
+        core = rng.random(n) < part
+        for inner in (True, False):
+            pairs = [(i, j) for i in range(n) for j in range(i) if core[i] != core[j] or inner and core[i]]
+            for labels in ([None] * n, [7 if i < n // 8 else None for i in range(n)]):
+                edges, _ = jaccard.forest(sets, core, labels, 85, inner)
+                mine = jaccard.UnionFind(n)
+                for i, r in edges:
+                    mine.join(i, r)
+                want = jaccard.UnionFind(n)
+                for i, r in enumerate(linked_by_hand(sets, 85, pairs)):
+                    want.join(i, r)
+                first = next((i for i, x in enumerate(labels) if x), 0)
+                for i, x in enumerate(labels):
+                    if x:
+                        want.join(first, i)
+                got, expected = [mine.root(i) for i in range(n)], [want.root(i) for i in range(n)]
+                if inner:
+                    assert got == expected
+                else:  # links to pivots inside core may be found as well; no wanted link is lost and no wrong one made
+                    whole = linked_by_hand(sets, 85, [(i, j) for i in range(n) for j in range(i)])
+                    assert all(got[i] == got[r] for i, r in enumerate(expected))
+                    if not any(labels):
+                        assert all(whole[i] == whole[r] for i, r in enumerate(got))
+
+
+def test_windows_between_tasks(spark, monkeypatch):
+    """A large region is split by pivots: cells with their windows hold every link and far fewer pairs than the region; a dense one is finished by groups."""
+    from cellweave.llm.common import Steps
+
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    monkeypatch.setattr(jaccard, "SPLIT_PIVOTS", 8)
+    rng = np.random.default_rng(5)
+    sparse = spread_sets(rng, 20, 40)
+    base = np.sort(rng.integers(0, 1 << 60, 200).astype(np.uint64))
+    dense = [np.unique(np.r_[base[rng.random(200) > 0.02], rng.integers(0, 1 << 60, 2).astype(np.uint64)]) for _ in range(300)]
+    for sets, share in ((sparse, 0.4), (dense, 0.05)):
+        n = len(sets)
+        level = spark.createDataFrame([(1, 2, i, True, None, x.tobytes()) for i, x in enumerate(sets)], "k_hi long, k_lo long, rep long, core boolean, label long, names binary")
+        near, ready = jaccard.split_regions(level, 85, Steps(spark, "test"))
+        assert near and all(t.groupBy("k_hi", "k_lo").count().where("count > 80").isEmpty() for t in ready)
+        mine, pairs = jaccard.UnionFind(n), 0
+        for t in near:
+            for r in t.collect():
+                mine.join(r.a, r.b)
+        for t in ready:
+            for r in t.groupBy("k_hi", "k_lo").applyInArrow(jaccard._join_cell(85), jaccard._FOUND).collect():
+                pairs += r.met
+                if r.a is not None:
+                    mine.join(r.a, r.b)
+        assert [mine.root(i) for i in range(n)] == linked_by_hand(sets, 85, [(i, j) for i in range(n) for j in range(i)])
+        assert pairs < share * n * (n - 1) / 2, (pairs, n)
 
 
 def test_components(spark):
