@@ -66,9 +66,10 @@ class Steps:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes. The session's settings are the same for all operators, so that lazy frames of one are not changed by another."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Bound what one batch of long texts holds, in Arrow by rows and bytes and in the Parquet reader by rows. The session's settings are the same for all operators, so that lazy frames of one are not changed by another."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 512)
 
 
 def parts(spark: SparkSession, least: int = 1) -> int:

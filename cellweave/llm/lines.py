@@ -41,7 +41,7 @@ HOT_SHARE = 0.25
 SLOTS = 4
 KICKS = 200
 #: Distinct keys a task counts in memory before it passes them on.
-FLUSH = 400_000
+FLUSH = 100_000
 
 
 class CuckooFilter:
@@ -202,8 +202,8 @@ class LineStore:
         changed = materialize(merged, "refs", f"{self.path}/refs-{version}")
         common = F.col("refs") >= self.min_docs
         hot = changed.where(common)
-        shards = self.least
-        while hot.count() > shards * SHARD_KEYS:
+        shards, keys = self.least, hot.count()
+        while keys > shards * SHARD_KEYS:
             shards *= 2
         again = before is None or shards != self.shards
         self.shards = shards
