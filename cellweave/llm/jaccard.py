@@ -53,7 +53,7 @@ SPLIT_PIVOTS = 64
 CHUNK = 1024
 REACH = 3
 SHRINK = 0.7
-ROUNDS = 3
+ROUNDS = 2
 #: Within a task: members that are compared at once, and pivots of a step.
 LEAF = 64
 PIVOTS = 4
@@ -455,19 +455,21 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
         salted = parted.withColumn("salt", F.pmod(F.xxhash64("rep"), "ways").cast("int")).groupBy(*_KEY, "salt")
         placed = salted.cogroup(pivots.withColumn("salt", _upto("ways")).groupBy(*_KEY, "salt")).applyInArrow(_place(percent), _PLACED)
         placed = steps.table(placed, f"placed{turn}")
-        links.append(steps.table(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"), f"near{turn}"))
+        links.append(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"))
         groups = placed.where(F.size("near") > 0).groupBy(*_KEY, "near").agg(F.min("label").alias("label")).groupBy(*_KEY).applyInArrow(_grouped, "k_hi long, k_lo long, pivot long, group long")
         ways = sizes.select(*_KEY, "ways", "m", "turns")
         groups = groups.join(ways, _KEY).select(*_KEY, "pivot", "group", _upto("ways").alias("salt"))
         widest = placed.select(*_KEY, F.explode("cells").alias("cell")).groupBy(*_KEY, "cell").agg(F.count(F.lit(1)).alias("n")).groupBy(*_KEY).agg(F.max("n").alias("n"))
         control = widest.join(ways, _KEY).select(*_KEY, (F.col("n") <= SHRINK * F.col("m")).alias("parts"), "turns", _upto("ways").alias("salt"))
         marked = placed.withColumn("pivot", F.try_element_at("near", F.lit(1))).join(groups, [*_KEY, "pivot", "salt"], "left").withColumn("label", F.coalesce("group", "label")).join(control, [*_KEY, "salt"])
-        marked = steps.table(marked, f"marked{turn}")
-        cells = marked.where("parts").withColumn("cell", F.explode("cells"))
-        cells = cells.select(*_named("cell", F.lit(turn)), "rep", (F.col("core") & (F.col("cell") == F.col("home"))).alias("core"), "label", "names", F.lit(0).alias("tries"))
-        stay = marked.where("not parts").select(*_CELL, (F.col("turns") + 1).alias("tries"))
-        level = steps.table(cells.unionByName(stay), f"level{turn}")
-        steps.drop(f"pivots{turn}", f"placed{turn}", f"marked{turn}", f"sizes{turn}", *([f"level{turn - 1}"] if turn else []))
+        # a region that the pivots part goes on as its cells, another one whole
+        marked = marked.withColumn("cell", F.explode(F.when(F.col("parts"), F.col("cells")).otherwise(F.array(F.lit(-1)))))
+        part = lambda by, whole: F.when(F.col("parts"), by).otherwise(whole)
+        names = [part(x, F.col(k)).alias(k) for x, k in zip(_named("cell", F.lit(turn)), _KEY)]
+        core = F.col("core") & (~F.col("parts") | (F.col("cell") == F.col("home")))
+        before = f"level{turn - 1}"
+        level = steps.table(marked.select(*names, "rep", core.alias("core"), "label", "names", part(F.lit(0), F.col("turns") + 1).alias("tries")), f"level{turn}")
+        steps.drop(f"pivots{turn}", *([before] if turn else []))
         turn += 1
 
 
