@@ -54,8 +54,9 @@ class Steps:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.folder = spark, new_path(spark, tag)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        return materialize(df, name, f"{self.folder}/{name}")
+    def table(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """df written and read again, in so many files at most, where the caller knows how much there is."""
+        return materialize(df.coalesce(files) if files else df, name, f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -54,6 +54,9 @@ CHUNK = 1024
 REACH = 3
 SHRINK = 0.7
 ROUNDS = 2
+#: Rows of sets and of numbers that a file of an intermediate table holds.
+SET_ROWS = 2000
+PAIR_ROWS = 100_000
 #: Within a task: members that are compared at once, and pivots of a step.
 LEAF = 64
 PIVOTS = 4
@@ -412,12 +415,12 @@ def _upto(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
 
-def _in_blocks(level: DataFrame, steps: Steps, turn: int) -> DataFrame:
+def _in_blocks(level: DataFrame, steps: Steps, turn: int, files: int) -> DataFrame:
     """Regions that no pivots part: what is without the largest group, in blocks, beside all other members, in chunks of BLOCK."""
     free = F.col("label").isNull() | F.col("most").isNull() | (F.col("label") != F.col("most"))
     level = level.withColumn("free", free)
     dealt = level.groupBy(*_KEY).agg(F.ceil(F.count_if("free") / BLOCK).cast("int").alias("nb"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("nc"), F.count(F.lit(1)).alias("rows"))
-    level = join_spread(level, steps.table(dealt, f"dealt{turn}"), _KEY, "rows")
+    level = join_spread(level, steps.table(dealt, f"dealt{turn}", files), _KEY, "rows")
     level = level.withColumn("b", F.when(F.col("free"), F.pmod(F.xxhash64("rep"), "nb")).otherwise(F.col("nb")).cast("int")).withColumn("c", F.pmod(F.xxhash64("rep", F.lit(1)), "nc").cast("int"))
     rest = ["rep", "label", "names"]
     cores = level.where("free").select(*_KEY, *rest, "b", _upto("nc").alias("c"), F.lit(True).alias("core"))
@@ -432,29 +435,33 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
     """
     links, ready, turn = [], [], 0
     level = level.select(*_CELL, F.lit(0).alias("tries"))
+    rows = level.count()
     while True:
+        files, few = 1 + rows // SET_ROWS, 1 + rows // PAIR_ROWS
         # a region is finished without cores or as one group, and small enough, stuck or to be split otherwise
         sizes = level.groupBy(*_KEY).agg(
             F.count(F.lit(1)).alias("m"), F.count_if("core").alias("cores"), F.count("label").alias("labelled"), F.min("label").alias("least"), F.max("label").alias("greatest"), F.mode("label", True).alias("most"),
             F.max("tries").alias("turns"))
         one = (F.col("labelled") == F.col("m")) & (F.col("least") == F.col("greatest"))
         kind = F.when(F.col("m") <= BLOCK, "ready").when(F.col("turns") >= ROUNDS, "blocks").otherwise("split")
-        sizes = steps.table(sizes.where((F.col("cores") > 0) & ~F.coalesce(one, F.lit(False))).select(*_KEY, "m", "most", "turns", F.ceil(F.col("m") / CHUNK).cast("int").alias("ways"), kind.alias("kind")), f"sizes{turn}")
+        sizes = steps.table(sizes.where((F.col("cores") > 0) & ~F.coalesce(one, F.lit(False))).select(*_KEY, "m", "most", "turns", F.ceil(F.col("m") / CHUNK).cast("int").alias("ways"), kind.alias("kind")), f"sizes{turn}", few)
         kinds = {r.kind for r in sizes.select("kind").distinct().collect()}
         of = lambda kind: join_spread(level, sizes.where(F.col("kind") == kind), _KEY, "m")  # noqa: B023, E731
         if "ready" in kinds:
-            ready.append(steps.table(of("ready").select(*_CELL, F.lit(True).alias("inner")), f"ready{turn}"))
+            ready.append(steps.table(of("ready").select(*_CELL, F.lit(True).alias("inner")), f"ready{turn}", files))
         if "blocks" in kinds:
-            ready.append(steps.table(_in_blocks(of("blocks").select(*_CELL, "most"), steps, turn), f"blocks{turn}"))
+            ready.append(steps.table(_in_blocks(of("blocks").select(*_CELL, "most"), steps, turn, few), f"blocks{turn}", 4 * files))
         if "split" not in kinds:
             return links, ready
         parted = of("split")
-        draw = Window.partitionBy(*_KEY).orderBy(F.col("label").isNotNull(), F.xxhash64("rep", F.lit(turn)), "rep")
-        pivots = parted.where("core").select(*_KEY, "rep", "label", "names", "ways").withColumn("rank", F.row_number().over(draw)).where(F.col("rank") <= SPLIT_PIVOTS)
-        pivots = steps.table(pivots.select(*_KEY, "rep", "names", "ways"), f"pivots{turn}")
+        first = (F.col("label").isNotNull(), F.xxhash64("rep", F.lit(turn)), F.col("rep"))
+        pivots = parted.where("core").select(*_KEY, "rep", "label", "names", "ways").withColumn("salt", F.pmod(F.xxhash64("rep"), "ways"))
+        for by in ([*_KEY, "salt"], _KEY):  # of each share of a region first, so that no task sees a whole region
+            pivots = pivots.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*first))).where(F.col("rank") <= SPLIT_PIVOTS)
+        pivots = steps.table(pivots.select(*_KEY, "rep", "names", "ways"), f"pivots{turn}", files)
         salted = parted.withColumn("salt", F.pmod(F.xxhash64("rep"), "ways").cast("int")).groupBy(*_KEY, "salt")
         placed = salted.cogroup(pivots.withColumn("salt", _upto("ways")).groupBy(*_KEY, "salt")).applyInArrow(_place(percent), _PLACED)
-        placed = steps.table(placed, f"placed{turn}")
+        placed = steps.table(placed, f"placed{turn}", files)
         links.append(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"))
         groups = placed.where(F.size("near") > 0).groupBy(*_KEY, "near").agg(F.min("label").alias("label")).groupBy(*_KEY).applyInArrow(_grouped, "k_hi long, k_lo long, pivot long, group long")
         ways = sizes.select(*_KEY, "ways", "m", "turns")
@@ -468,7 +475,8 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
         names = [part(x, F.col(k)).alias(k) for x, k in zip(_named("cell", F.lit(turn)), _KEY)]
         core = F.col("core") & (~F.col("parts") | (F.col("cell") == F.col("home")))
         before = f"level{turn - 1}"
-        level = steps.table(marked.select(*names, "rep", core.alias("core"), "label", "names", part(F.lit(0), F.col("turns") + 1).alias("tries")), f"level{turn}")
+        level = steps.table(marked.select(*names, "rep", core.alias("core"), "label", "names", part(F.lit(0), F.col("turns") + 1).alias("tries")), f"level{turn}", 2 * files)
+        rows = level.count()
         steps.drop(f"pivots{turn}", *([before] if turn else []))
         turn += 1
 
@@ -568,13 +576,14 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
     before, last = mark(edges), "edges"
     for turn in range(most_rounds):
+        files = 1 + 2 * before[0] // PAIR_ROWS  # no table of a round is larger than both directions of the edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = steps.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"least{turn}")
+        least = steps.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n")), f"least{turn}", files)
         large = join_spread(both, least, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = steps.table(large, f"large{turn}")
-        low = steps.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"low{turn}")
+        large = steps.table(large, f"large{turn}", files)
+        low = steps.table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"low{turn}", files)
         small = join_spread(large, low, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = steps.table(small, f"small{turn}")
+        edges = steps.table(small, f"small{turn}", files)
         steps.drop(f"least{turn}", f"large{turn}", f"low{turn}", last)
         last, after = f"small{turn}", mark(edges)
         if after == before:
