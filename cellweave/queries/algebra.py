@@ -19,7 +19,7 @@ def grid_build(spark, sf_dir):
     return demo_cells(spark, sf_dir)[0].select("r", "c", "elev", "cls", "k", "zone")
 
 
-@query("""WITH g AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM events)
+@query("""WITH g AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w FROM events)
 SELECT CAST(i // w AS INTEGER) AS r, CAST(i % w AS INTEGER) AS c, round(1000 + (i % w + 0.5) * 40, 3) AS x, round(9000 - (i // w + 0.5) * 40, 3) AS y FROM g, range((SELECT w * w FROM g)) t(i)""")
 def grid_coordinates(spark, sf_dir):
     side = demo_cells(spark, sf_dir)[1]

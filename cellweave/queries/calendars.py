@@ -104,18 +104,18 @@ _STANDS = "s AS (SELECT s_suppkey % 12 AS area, s_suppkey, (s_suppkey * 37 % 360
 
 
 def stands(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % 12).alias("area"), "s_suppkey", (F.col("s_suppkey") * 37 % 360).cast("double").alias("deg")).where("s_suppkey % 3 = 0")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") % 12).alias("area"), "s_suppkey", (F.col("s_suppkey") * 37 % 360).cast("double").alias("deg"))
 
 
-@query(f"WITH {_DAYS}, {_STANDS}, f AS (SELECT d, area, min({_DIFF('deg', 'wind')}) AS off FROM d, s WHERE s_suppkey % 3 = 0 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY off, area) AS n FROM f) SELECT CAST(d AS VARCHAR) AS day, area, round(off, 6) AS off, off <= 45 AS suits FROM r WHERE n = 1")
+@query(f"WITH {_DAYS}, {_STANDS}, f AS (SELECT d, area, min({_DIFF('deg', 'wind')}) AS off FROM d, s GROUP BY 1, 2) SELECT CAST(d AS VARCHAR) AS day, area, round(off, 6) AS off, row_number() OVER (PARTITION BY d ORDER BY off, area) AS place FROM f WHERE off <= 45")
 def wind_rotation(spark, sf_dir):
-    """The area that suits each day's wind best."""
+    """The areas that suit each day's wind, the best first."""
     f = days(spark, sf_dir).select("d", "wind").crossJoin(stands(spark, sf_dir)).groupBy("d", "area").agg(F.min(G.angle_between(F.col("deg"), F.col("wind"))).alias("off"))  # a month of days
-    best = f.groupBy("d").agg(F.min(F.struct("off", "area")).alias("b"))
-    return best.select(F.col("d").cast("string").alias("day"), "b.area", F.round("b.off", 6).alias("off"), (F.col("b.off") <= 45).alias("suits"))
+    place = F.row_number().over(Window.partitionBy("d").orderBy("off", "area")).cast("long")
+    return f.where("off <= 45").select(F.col("d").cast("string").alias("day"), "area", F.round("off", 6).alias("off"), place.alias("place"))
 
 
-@query(f"WITH {_STANDS}, o AS (SELECT unnest([0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]) AS oct), w AS (SELECT area, oct, bool_or({_DIFF('deg', 'oct')} <= 45) AS ok FROM s, o WHERE s_suppkey % 3 = 0 GROUP BY 1, 2) SELECT area, count(*) FILTER (WHERE ok) AS octants, array_to_string(list(CAST(CAST(oct AS BIGINT) AS VARCHAR) ORDER BY oct) FILTER (WHERE ok), ',') AS winds FROM w GROUP BY 1")
+@query(f"WITH {_STANDS}, o AS (SELECT unnest([0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]) AS oct), w AS (SELECT area, oct, bool_or({_DIFF('deg', 'oct')} <= 45) AS ok FROM s, o GROUP BY 1, 2) SELECT area, count(*) FILTER (WHERE ok) AS octants, array_to_string(list(CAST(CAST(oct AS BIGINT) AS VARCHAR) ORDER BY oct) FILTER (WHERE ok), ',') AS winds FROM w GROUP BY 1")
 def wind_robustness(spark, sf_dir):
     """On how many of eight winds an area works."""
     o = F.explode(F.array(*[F.lit(45.0 * i) for i in range(8)]))
@@ -154,13 +154,13 @@ def last_n_years(spark, sf_dir):
     return topk(z, ["zone"], [F.desc("y")], 5, "k").select(F.lpad(F.col("zone").cast("string"), 2, "0").alias("zone"), "y", "n", "males")
 
 
-@query(f"""WITH {_DAYS}, want AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 3 DAY)) AS DATE) AS d)
-SELECT CAST(w.d AS VARCHAR) AS day, round(a.t, 6) AS t, a.d IS NULL AS missing, round(b.t, 6) AS proxy FROM want w LEFT JOIN d a ON a.d = w.d LEFT JOIN d b ON b.d = w.d - 14 AND a.d IS NULL""")
+@query(f"""WITH {_DAYS}, want AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2025-02-10', INTERVAL 3 DAY)) AS DATE) AS d)
+SELECT CAST(w.d AS VARCHAR) AS day, round(a.t, 6) AS t, a.d IS NULL AS missing, round(b.t, 6) AS proxy FROM want w LEFT JOIN d a ON a.d = w.d LEFT JOIN d b ON b.d = CAST(w.d - INTERVAL 1 YEAR AS DATE) AND a.d IS NULL""")
 def weather_lookup(spark, sf_dir):
-    """Target dates against the daily series; an earlier day stands in where there is none."""
+    """Target dates against the daily series; the day a year earlier stands in where there is none."""
     d = days(spark, sf_dir)
-    w = spark.sql("SELECT explode(sequence(DATE '2024-01-05', DATE '2024-02-10', INTERVAL 3 DAYS)) AS w")
+    w = spark.sql("SELECT explode(sequence(DATE '2024-01-05', DATE '2025-02-10', INTERVAL 3 DAYS)) AS w")
     a = d.select(F.col("d").alias("a_d"), F.col("t").alias("a_t"))
     b = d.select(F.col("d").alias("b_d"), F.col("t").alias("b_t"))
-    j = w.join(a, F.col("w") == F.col("a_d"), "left").join(b, (F.date_sub("w", 14) == F.col("b_d")) & F.col("a_d").isNull(), "left")
+    j = w.join(a, F.col("w") == F.col("a_d"), "left").join(b, (F.add_months("w", -12) == F.col("b_d")) & F.col("a_d").isNull(), "left")
     return j.select(F.col("w").cast("string").alias("day"), F.round("a_t", 6).alias("t"), F.col("a_d").isNull().alias("missing"), F.round("b_t", 6).alias("proxy"))

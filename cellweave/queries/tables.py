@@ -115,15 +115,11 @@ def polygonise(spark, sf_dir):
     return p.groupBy("label").agg(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("cells"), F.sum(length).alias("perimeter"))
 
 
-@query(f"WITH {CELLS_SQL}, t AS (SELECT CAST(i // 60 AS INTEGER) AS r, CAST(i % 60 AS INTEGER) AS c, (i // 60) * 1.7::DOUBLE - 0.4::DOUBLE AS fr, (i % 60) * 1.7::DOUBLE - 0.4::DOUBLE AS fc FROM range(3600) x(i)), f AS (SELECT t.r, t.c, (1 - abs(fr - s.r)) * (1 - abs(fc - s.c)) AS w, s.elev AS v FROM t JOIN cells s ON s.r IN (floor(fr), floor(fr) + 1) AND s.c IN (floor(fc), floor(fc) + 1)), b AS (SELECT r, c, sum(w * v) / sum(w) AS v FROM f GROUP BY 1, 2) SELECT t.r, t.c, n.elev AS nearest, round(b.v, 8) AS bilinear FROM t LEFT JOIN cells n ON n.r = floor(fr + 0.5) AND n.c = floor(fc + 0.5) LEFT JOIN b ON b.r = t.r AND b.c = t.c")
+@query(f"WITH {CELLS_SQL}, u AS (SELECT n, unnest(range(n * n)) AS i FROM (SELECT CAST(ceil((w + 0.4) / 1.7) AS BIGINT) AS n FROM g)), t AS (SELECT CAST(i // n AS INTEGER) AS r, CAST(i % n AS INTEGER) AS c, (i // n) * 1.7::DOUBLE - 0.4::DOUBLE AS fr, (i % n) * 1.7::DOUBLE - 0.4::DOUBLE AS fc FROM u), f AS (SELECT t.r, t.c, (1 - abs(fr - s.r)) * (1 - abs(fc - s.c)) AS w, s.elev AS v FROM t JOIN cells s ON s.r IN (floor(fr), floor(fr) + 1) AND s.c IN (floor(fc), floor(fc) + 1)), b AS (SELECT r, c, sum(w * v) / sum(w) AS v FROM f GROUP BY 1, 2) SELECT t.r, t.c, n.elev AS nearest, round(b.v, 8) AS bilinear FROM t LEFT JOIN cells n ON n.r = floor(fr + 0.5) AND n.c = floor(fc + 0.5) LEFT JOIN b ON b.r = t.r AND b.c = t.c")
 def resample(spark, sf_dir):
-    """The elevation on a grid 1.7 times as coarse: nearest and bilinear, nothing outside.
-
-    The target covers the whole source and is never smaller than 60 x 60, the fixed target of the SQL; beyond a source side of 101 the
-    SQL returns only the part of these rows with r and c below 60.
-    """
+    """The elevation on a grid 1.7 times as coarse: nearest and bilinear, nothing outside. The target covers the whole source."""
     df, side = demo_cells(spark, sf_dir)
-    n = max(60, math.ceil((side + 0.4) / 1.7))
+    n = math.ceil((side + 0.4) / 1.7)
     t = spark.range(n * n).select(F.expr(f"cast(id div {n} as int)").alias("r"), F.expr(f"cast(id % {n} as int)").alias("c"))
     row, col = F.col("r") * 1.7 - 0.4, F.col("c") * 1.7 - 0.4
     near = V.resample(df, t, "elev", row, col, False).withColumnRenamed("elev", "nearest")
@@ -174,11 +170,11 @@ def job_states(spark, sf_dir):
     return j.groupBy(F.when((F.col("status") == "running") & ~F.col("alive"), "interrupted").otherwise(F.col("status")).alias("effective")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("status") != "running") & (F.col("age") > 48), 1)).alias("pruned"))
 
 
-@query("""SELECT p_partkey, md5(concat_ws('|', CAST(p_partkey * 25 AS VARCHAR), CAST(p_size AS VARCHAR), 'EPSG:32198', '40'))[1:16] AS key FROM part""")
+@query("""SELECT p_partkey, sha1(concat_ws('|', CAST(p_partkey * 25 AS VARCHAR), CAST(p_size AS VARCHAR), 'EPSG:32198', '40'))[1:16] AS key FROM part""")
 def cache_key(spark, sf_dir):
     """A content address for box, system and resolution."""
     parts = F.concat_ws("|", (F.col("p_partkey") * 25).cast("string"), F.col("p_size").cast("string"), F.lit("EPSG:32198"), F.lit("40"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.substring(F.md5(parts.cast("binary")), 1, 16).alias("key"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.substring(F.sha1(parts.cast("binary")), 1, 16).alias("key"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) SELECT l_partkey, l_suppkey, l_orderkey, l_linenumber FROM r WHERE n = 1""")

@@ -191,11 +191,11 @@ def tile_means(spark, sf_dir):
     return t.select("tr", "zone", r9(F.col("m"), "mean"), "n")
 
 
-@query(f"{L}, f AS (SELECT r // 10 AS br, c // 10 AS bc, avg(coalesce(ndvi, -1)) AS v FROM l GROUP BY 1, 2) SELECT string_agg(CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY br, bc) AS flat, count(*) AS n FROM f")
+@query(f"{L}, f AS (SELECT r // 10 AS br, c // 10 AS bc, avg(ndvi) AS v FROM l GROUP BY 1, 2) SELECT br, string_agg(CAST(CAST(coalesce(round(v * 1000), -1) AS BIGINT) AS VARCHAR), ',' ORDER BY bc) AS flat, count(*) AS n FROM f GROUP BY 1")
 def flat_grid(spark, sf_dir):
-    """A resampled grid flattened row by row, -1 for nodata."""
-    b = Z.blocks(layers(spark, sf_dir)[0], 10).groupBy("br", "bc").agg(F.avg(F.coalesce("ndvi", F.lit(-1.0))).alias("v"))
-    rows = F.array_sort(F.collect_list(F.struct("br", "bc", F.round(F.col("v") * 1000).cast("long").cast("string").alias("t"))))
-    return b.agg(F.array_join(F.transform(rows, lambda x: x["t"]), ",").alias("flat"), F.count(F.lit(1)).alias("n"))
+    """A resampled grid, a line of text a row of it: what is there is averaged, -1 where nothing is."""
+    b = Z.blocks(layers(spark, sf_dir)[0], 10).groupBy("br", "bc").agg(F.avg("ndvi").alias("v"))
+    rows = F.array_sort(F.collect_list(F.struct("bc", F.coalesce(F.round(F.col("v") * 1000), F.lit(-1)).cast("long").cast("string").alias("t"))))
+    return b.groupBy("br").agg(F.array_join(F.transform(rows, lambda x: x["t"]), ",").alias("flat"), F.count(F.lit(1)).alias("n"))
 
 
