@@ -82,10 +82,15 @@ def resolution(half_width: Column, base: Column, asked: Column | None = None) ->
 
 
 def mirrored(cells: DataFrame, axis: str, size: int, reach_low: int, reach_high: int) -> DataFrame:
-    """cells with a halo along axis by reflection (c b a | a b c): positions below 0 and from size on. reach must not exceed size."""
-    x = F.col(axis)
-    places = F.array(x, F.when(x < reach_low, -1 - x), F.when(x >= size - reach_high, 2 * size - 1 - x))
-    spread = cells.withColumn("_at", F.explode(F.filter(places, lambda p: p.isNotNull())))  # one pass over the cells, no union of copies
+    """cells with a halo along axis by reflection (c b a | a b c): positions below 0 and from size on, reflected again where the reach exceeds size."""
+    x, reach = F.col(axis), max(reach_low, reach_high)
+    if reach <= size:
+        places = F.filter(F.array(x, F.when(x < reach_low, -1 - x), F.when(x >= size - reach_high, 2 * size - 1 - x)), lambda p: p.isNotNull())
+    else:
+        turns = reach // (2 * size) + 1
+        every = F.array(*[p for k in range(-turns, turns + 1) for p in (2 * k * size + x, 2 * k * size - 1 - x)])
+        places = F.filter(every, lambda p: (p >= -reach_low) & (p < size + reach_high))
+    spread = cells.withColumn("_at", F.explode(places))  # one pass over the cells, no union of copies
     return spread.withColumn(axis, F.col("_at").cast("int")).drop("_at")
 
 
@@ -104,11 +109,16 @@ RING8 = (*CROSS, (-1, -1), (-1, 1), (1, -1), (1, 1))
 
 
 def demo_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """A square grid laid over the events table, and its side: elevation from value, class from type, k from props, zone from user."""
+    """A square grid laid over the events table, and its side: elevation from value, class from type, k from props, zone from user.
+
+    Every event is a cell; what is left of the last rows is filled from the first events again.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    side = math.isqrt(events.count())
+    n = events.count()
+    side = math.isqrt(n - 1) + 1 if n else 0
     code = F.when(F.col("event_type") == "view", 10).when(F.col("event_type") == "click", 20).when(F.col("event_type") == "purchase", 30).when(F.col("event_type") == "signup", 80).otherwise(90)
-    cells = events.where(F.col("event_id") < side * side).select(
+    twice = F.when(F.col("event_id") < side * side - n, F.array("event_id", F.col("event_id") + n)).otherwise(F.array("event_id"))
+    cells = events.withColumn("event_id", F.explode(twice)).select(
         F.expr(f"cast(event_id div {side} as int)").alias("r"), F.expr(f"cast(event_id % {side} as int)").alias("c"), F.col("value").alias("elev"), code.cast("int").alias("cls"),
         F.get_json_object("props", "$.k").cast("int").alias("k"), F.col("user_id").alias("zone"), F.to_date("ts").alias("d"),
     )
@@ -116,7 +126,8 @@ def demo_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 
 
 #: The same table as a SQL prefix: g(w), cells.
-CELLS_SQL = """g AS (SELECT CAST(floor(sqrt(count(*))) AS INTEGER) AS w FROM events),
-cells AS (SELECT CAST(event_id // w AS INTEGER) AS r, CAST(event_id % w AS INTEGER) AS c, value AS elev,
+CELLS_SQL = """g AS (SELECT CAST(ceil(sqrt(count(*))) AS INTEGER) AS w, count(*) AS n FROM events),
+ev AS (SELECT event_id AS i, * FROM events UNION ALL SELECT event_id + n, events.* FROM events, g WHERE event_id < w * w - n),
+cells AS (SELECT CAST(i // w AS INTEGER) AS r, CAST(i % w AS INTEGER) AS c, value AS elev,
   CAST(CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 20 WHEN 'purchase' THEN 30 WHEN 'signup' THEN 80 ELSE 90 END AS INTEGER) AS cls,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id AS zone, CAST(ts AS DATE) AS d FROM events, g WHERE event_id < w * w)"""
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id AS zone, CAST(ts AS DATE) AS d FROM ev, g)"""
