@@ -57,10 +57,10 @@ def _tile(key, t: pa.Table) -> pa.Table:
     return pa.table({"r": pa.array(r[at]), "c": pa.array(c[at]), "cost": pa.array(cost[at]), "dist": pa.array(new[at], mask=~np.isfinite(new[at])), "better": pa.array(better)})
 
 
-def cost_field(cells: DataFrame, cost: str, seeds: Column, out: str, tile: int = TILE, most_rounds: int = 500) -> DataFrame:
-    """(r, c, out): least cost from the nearest seed; null where no route leads. Cells without cost or at WALL are closed."""
+def cost_field(cells: DataFrame, cost: str, seeds: Column, out: str, tile: int = TILE) -> DataFrame:
+    """(r, c, out): least cost from the nearest seed; null where no route leads. Cells without cost or at WALL are closed. Rounds end when no border improves, which distances that only fall reach."""
     state = cells.where(F.col(cost).isNotNull() & (F.col(cost) < WALL)).select("r", "c", F.col(cost).cast("double").alias("cost"), F.when(seeds, F.lit(0.0)).alias("dist"))
-    for _ in range(most_rounds):
+    while True:
         row, col = F.expr(f"cast(floor(r / {tile}) as int)"), F.expr(f"cast(floor(c / {tile}) as int)")
         near = F.array_distinct(F.array(*[F.struct(F.floor((F.col("r") + a) / tile).cast("int").alias("tr"), F.floor((F.col("c") + b) / tile).cast("int").alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
         spread = state.withColumns({"_r": row, "_c": col}).withColumn("t", F.explode(near))
@@ -70,8 +70,6 @@ def cost_field(cells: DataFrame, cost: str, seeds: Column, out: str, tile: int =
         changed, tiles = done.agg(F.sum(F.col("better").cast("int")), F.countDistinct(row, col)).head()
         if not changed or tiles <= 1:
             break
-    else:
-        raise RuntimeError("cost field did not settle")
     return state.select("r", "c", F.col("dist").alias(out))
 
 

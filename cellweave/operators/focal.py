@@ -71,10 +71,11 @@ def gaussian_present(cells: DataFrame, v: str, out: str, sides: tuple[int, int],
 
 
 def derivative(cells: DataFrame, v: str, out: str, axis: str, res: float = 1.0) -> DataFrame:
-    """Central differences, one-sided at the edges."""
-    w = Window.partitionBy("c" if axis == "r" else "r").orderBy(axis)
-    before, after, x = F.lag(v).over(w), F.lead(v).over(w), F.col(v)
-    return cells.withColumn(out, F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2) / res)
+    """Central differences, one-sided at the edges of the grid; null beside a cell that is null or missing."""
+    w, at, x = Window.partitionBy("c" if axis == "r" else "r").orderBy(axis), F.col(axis), F.col(v)
+    first, last = F.lag(axis).over(w).isNull(), F.lead(axis).over(w).isNull()
+    before, after = F.when(F.lag(axis).over(w) == at - 1, F.lag(v).over(w)), F.when(F.lead(axis).over(w) == at + 1, F.lead(v).over(w))
+    return cells.withColumn(out, F.when(first, after - x).when(last, x - before).otherwise((after - before) / 2) / res)
 
 
 def slope_aspect(cells: DataFrame, v: str, res: float) -> DataFrame:

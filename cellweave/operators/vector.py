@@ -59,7 +59,7 @@ def within(a: DataFrame, b: DataFrame, d: float) -> DataFrame:
     return pairs.where(F.col("dist") <= d).select("a", "b", "dist")
 
 
-def nearest(points: DataFrame, targets: DataFrame, start: float, most_rounds: int = 40) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, start: float) -> DataFrame:
     """(id, target, dist) for points (id, x, y): the nearest target (id, x, y), ties to the smaller id.
 
     The reach doubles from `start`; a point is done when its best target lies within the reach, so dense ground never looks far.
@@ -68,7 +68,7 @@ def nearest(points: DataFrame, targets: DataFrame, start: float, most_rounds: in
     targets = materialize(targets.select("id", "x", "y"), "targets")
     if targets.isEmpty():
         return todo.select("id", F.lit(None).cast(targets.schema["id"].dataType).alias("target"), F.lit(None).cast("double").alias("dist"))
-    for _ in range(most_rounds):
+    while True:
         best = within(todo, targets, reach).groupBy("a").agg(F.min(F.struct("dist", "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("target"), F.col("m.dist").alias("dist"))
         best = materialize(best, "nearest")
         out = best if out is None else out.unionByName(best)
@@ -76,7 +76,6 @@ def nearest(points: DataFrame, targets: DataFrame, start: float, most_rounds: in
         if todo.isEmpty():
             return out
         reach *= 2
-    raise RuntimeError("targets lie too far away")
 
 
 def cluster(points: DataFrame, d: float) -> DataFrame:

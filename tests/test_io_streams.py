@@ -36,8 +36,9 @@ def test_clip_is_pushed_down(spark, tmp_path):
 
 
 def test_csv_text_and_columns(spark, tmp_path):
-    (tmp_path / "h.csv").write_text("﻿Zone,Annee,Engins,Total_general\n9,2019,Tous,5\n09,2020,Tous,6\n09,2021,Arc,7\n09,2022,,8\n10,2022,Tous,9\n", encoding="utf-8")
+    (tmp_path / "h.csv").write_text("﻿Zone,Annee,Engins,Total_general\n9,2019,Tous,5\n09,2020,Tous,6\n09,2021,Arc,7\n09,2022,,8\n10,2022,Tous,9\n12E,2022,Tous,4\n12,2022,Tous,3\n", encoding="utf-8")
     assert [(r.Annee, r.total) for r in R.harvest(spark, str(tmp_path / "h.csv"), "9", 2).collect()] == [("2022", 8), ("2020", 6)]
+    assert [r.total for z in ("12", "12E") for r in R.harvest(spark, str(tmp_path / "h.csv"), z, 9).collect()] == [3, 4]
     text = "Le succès de chasse  global est de 12 %. On compte 1 234 chasseurs. Densité de 0,6 orignal"
     got = spark.range(1).select(*R.effort(F.lit(text))).head()
     assert (got.success_pct, got.hunters, got.density) == (12, 1234, 0.6)

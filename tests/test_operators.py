@@ -320,3 +320,35 @@ def test_partitioning_does_not_matter(spark):
     rows = [(r, c, rng.random()) for r in range(15) for c in range(15)]
     outs = [sorted(tuple(x) for x in O.local_peaks(spark.createDataFrame(rows, "r int, c int, v double").repartition(n), "v", (15, 15), 2, F.lit(0.5)).select("r", "c").collect()) for n in (1, 7)]
     assert outs[0] == outs[1] and outs[0]
+
+
+@pytest.mark.parametrize("size", [3, 7, 13, 31])
+def test_windows_wider_than_the_grid(spark, size):
+    """Edges are reflected again and again."""
+    a = np.random.default_rng(size).random((5, 5))
+    got = array(O.box_mean(grid(spark, a), "v", "m", (5, 5), size), "m", (5, 5))
+    k = size // 2
+    wide = np.pad(a, k, mode="symmetric")
+    want = np.array([[wide[r : r + size, c : c + size].mean() for c in range(5)] for r in range(5)])
+    assert np.allclose(got, want)
+
+
+def test_slope_beside_nodata(spark):
+    """Differences are one-sided at the edges of the grid only; beside a null or missing cell they are null."""
+    a = np.arange(25.0).reshape(5, 5) ** 1.5
+    a[2, 2] = np.nan
+    want = np.gradient(a)
+    for df in (grid(spark, a), grid(spark, a).where("v is not null")):
+        for axis, w in zip(("r", "c"), want):
+            got = array(O.derivative(df, "v", "d", axis), "d", (5, 5))
+            there = ~np.isnan(a) if df.count() < 25 else np.ones((5, 5), bool)
+            assert np.allclose(got[there], w[there], equal_nan=True)
+
+
+def test_cost_and_nearest_have_no_cap(spark):
+    """A target a thousand times as far as the first reach, and a route through many tiles, are found."""
+    near = V.nearest(spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), spark.createDataFrame([(7, 3000.0, 4000.0)], "id int, x double, y double"), 0.01).collect()
+    assert [(r.id, r.target, r.dist) for r in near] == [(1, 7, 5000.0)]
+    line = np.ones((1, 40))
+    got = array(K.cost_field(grid(spark, line), "v", F.col("c") == 0, "d", tile=4), "d", (1, 40))
+    assert np.allclose(got[0], np.arange(40.0))
