@@ -290,6 +290,45 @@ def _prefixes(k: int, percent: int, heavy):
     return run
 
 
+def _regions(percent: int):
+    """Early shingles (h, hi, lo, n) sorted by all of (h, n, hi, lo) to those of classes that are not alone, with the smallest class of the region (k_hi, k_lo): classes that share h, and whose sizes no gap parts that a link cannot span."""
+
+    def found(h, hi, lo, n):
+        keep = np.r_[True, (h[1:] != h[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]
+        h, hi, lo, n = h[keep], hi[keep], lo[keep], n[keep].astype(np.int64)
+        run = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])]) - 1
+        keep = np.bincount(run)[run] > 1
+        h, hi, lo, n, run = h[keep], hi[keep], lo[keep], n[keep], run[keep]
+        if not len(h):
+            return None
+        order = np.lexsort((lo, hi, run))
+        lead = order[np.r_[True, run[order][1:] != run[order][:-1]]]  # the smallest class of each run
+        first = lead[np.cumsum(np.r_[True, run[1:] != run[:-1]]) - 1]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, hi, lo, n.astype(np.int32), hi[first], lo[first])], ["h", "hi", "lo", "n", "k_hi", "k_lo"])
+
+    def run(batches):
+        held, rows = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in range(4)])
+            rows += b.num_rows
+            if rows < 1 << 17:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held)]
+            stop = int(np.searchsorted(columns[0], columns[0][-1]))  # what shares the last shingle may go on
+            if stop:
+                out = found(*(x[:stop] for x in columns))
+                if out is not None:
+                    yield out
+            held = [[x[stop:] for x in columns]]
+            rows = len(held[0][0])
+        if rows:
+            out = found(*(np.concatenate(x) for x in zip(*held)))
+            if out is not None:
+                yield out
+
+    return run
+
+
 def _mark(col: str):
     return F.pmod(F.xxhash64(col), F.lit(MARKS))
 
@@ -500,17 +539,12 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     heavy = spark.sparkContext.broadcast((np.array([r.hi for r in most], np.int64).view(np.uint64), np.array([r.n for r in most], np.int64)))
 
     early = rows.select("b").mapInArrow(_prefixes(k, percent, heavy), "h long, hi long, lo long, n int")
-    name = F.struct("hi", "lo")
-    met = early.repartition(n, "h").distinct()
-    by_size = Window.partitionBy("h").orderBy("n")
-    gap = (100 * F.lag("n").over(by_size).cast("long") < percent * F.col("n").cast("long")).cast("int")  # no two sets across such a gap can link
-    met = met.withColumn("gap", F.coalesce(gap, F.lit(0))).withColumn("run", F.sum("gap").over(by_size))
-    region = Window.partitionBy("h", "run")
-    met = met.withColumn("first", F.min(name).over(region)).withColumn("c", F.count(F.lit(1)).over(region)).where("c > 1")
-    met = steps.table(met.select("h", "hi", "lo", "n", F.col("first.hi").alias("k_hi"), F.col("first.lo").alias("k_lo")), "met")
+    met = early.repartition(n, "h").sortWithinPartitions("h", "n", "hi", "lo")
+    met = steps.table(met.mapInArrow(_regions(percent), "h long, hi long, lo long, n int, k_hi long, k_lo long"), "met")
+    few = 1 + met.count() // (10 * PAIR_ROWS)
     early_of = met.groupBy("hi", "lo").agg(F.max("n").alias("n"), F.collect_list("h").alias("hs"))  # at most a prefix each
-    members = steps.table(met.select(*_KEY, "hi", "lo").distinct(), "members")
-    sizes = steps.table(members.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("m")), "sizes")
+    members = steps.table(met.select(*_KEY, "hi", "lo").distinct(), "members", few)
+    sizes = steps.table(members.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("m")), "sizes", few)
     small = members.join(sizes.where(F.col("m") <= BLOCK), _KEY).join(early_of, ["hi", "lo"])
     groups = small.groupBy(*_KEY).applyInArrow(_meet(percent), "k_hi long, k_lo long, hi long, lo long").distinct().withColumn("large", F.lit(False))
     large = join_spread(members, sizes.where(F.col("m") > BLOCK), _KEY, "m").select(*_KEY, "hi", "lo", F.lit(True).alias("large"))

@@ -304,6 +304,29 @@ def test_windows_between_tasks(spark, monkeypatch):
         assert pairs < share * n * (n - 1) / 2, (pairs, n)
 
 
+def test_regions_of_shared_shingles():
+    """Streamed in batches of any size: classes that share a shingle, in runs without a gap in size, named by the smallest."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    rows = sorted({(int(h), 1 + int(c) * 13 % 59, int(c) * 7 % 50 - 20, int(c)) for h, c in zip(rng.integers(-40, 40, 900), rng.integers(0, 90, 900))})
+    rows = sorted(rows + rows[::5])
+    want = set()
+    for h in {r[0] for r in rows}:
+        of = sorted({r for r in rows if r[0] == h}, key=lambda r: (r[1], r[2], r[3]))
+        runs = [[of[0]]]
+        for a, b in zip(of, of[1:]):
+            runs.append([b]) if 100 * a[1] < 85 * b[1] else runs[-1].append(b)
+        for x in runs:
+            low = min((r[2], r[3]) for r in x)
+            want |= {(h, r[2], r[3], r[1], *low) for r in x if len(x) > 1}
+    for size in (1, 7, 2000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in p], pa.int32() if c == 1 else pa.int64()) for c in (0, 2, 3, 1)], ["h", "hi", "lo", "n"]) for p in parts]
+        got = [tuple(x[c] for c in ("h", "hi", "lo", "n", "k_hi", "k_lo")) for b in jaccard._regions(85)(iter(batches)) for x in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(180)] + [(500, x) for x in range(501, 700)] + [(7, 7)]
