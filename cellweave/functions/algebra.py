@@ -231,3 +231,8 @@ def band(x: Column, edges: Sequence[float], names: Sequence[str]) -> Column:
     for e, n in zip(edges[1:], names[1:]):
         out = out.when(x < float(e), F.lit(n))
     return F.when(x.isNotNull(), out.otherwise(F.lit(names[-1])))
+
+
+def edge_of(neighbourhood: Column, within: Column) -> Column:
+    """Interspersion of a cell: what the neighbourhood shows or, a little less, the mixture inside the cell; null only where both are."""
+    return clip(F.greatest(neighbourhood, 0.85 * within))

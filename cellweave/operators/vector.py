@@ -234,3 +234,17 @@ def touched(lines: DataFrame, x0: float, y0: float, res: float, w: int, h: int)
     lo, hi = F.coalesce(at(F.greatest("u1", F.col("c"))), F.col("v1")), F.coalesce(at(F.least("u2", F.col("c") + 1)), F.col("v2"))
     s = s.withColumns({"a": F.least(lo, hi), "b": F.greatest(lo, hi)}).withColumn("r", F.explode(F.sequence(F.floor("a").cast("int"), F.floor("b").cast("int"))))
     return s.where((F.col("r") >= 0) & (F.col("r") < h) & (F.col("c") >= 0) & (F.col("c") < w)).select("id", "r", "c").distinct()
+
+
+def exterior_rings(shapes: DataFrame, geometry: str) -> DataFrame:
+    """shapes with part and ring in place of geometry (array of polygons, each an array of rings): one row a polygon, its outer ring only; empty polygons have none."""
+    rest = [c for c in shapes.columns if c != geometry]
+    each = shapes.select(*rest, F.posexplode(geometry).alias("part", "_p")).where(F.size("_p") > 0)
+    return each.select(*rest, "part", F.col("_p")[0].alias("ring"))
+
+
+def manual_areas(cells: DataFrame, rings: DataFrame, v: str, x0: float, y0: float, res: float, w: int, h: int) -> DataFrame:
+    """(id, cells, km2, score) of drawn rings (id, ring) in place of found areas: cells with a value whose centre lies inside; rings of under three points or without such cells are left out."""
+    inside = rasterise(rings.where(F.size("ring") > 3), x0, y0, res, w, h).select("id", "r", "c")
+    found = inside.join(cells.where(F.col(v).isNotNull()).select("r", "c", v), ["r", "c"])
+    return found.groupBy("id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.count(F.lit(1)) * (res * res / 1e6), 1).alias("km2"), F.avg(v).alias("score"))

@@ -54,3 +54,34 @@ def spearman(df: DataFrame, a: str, b: str, tie: Sequence[str]) -> DataFrame:
     ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = ranked.withColumn("ra", F.row_number().over(Window.orderBy(a, *tie))).withColumn("rb", F.row_number().over(Window.orderBy(b, *tie)))
     return ranked.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
+def area_fractions(cells: DataFrame, cls: str, ratio: float, row0: float = 0.0, col0: float = 0.0, least: float = 0.01) -> DataFrame:
+    """(r, c, cls, fraction, covered) on a grid whose cells are ratio source cells wide and begin at (row0, col0), for any ratio.
+
+    A source cell gives to each target cell the part of its area that lies there, so the answer does not depend on how the source is
+    partitioned. Fractions are of the area that is covered; target cells covered by `least` of their area or less have none.
+    """
+
+    def spans(x: Column, start: float) -> Column:
+        first, last = F.floor((x - start) / ratio), F.ceil((x + 1 - start) / ratio) - 1
+        part = lambda t: F.least(x + 1, start + (t + 1) * ratio) - F.greatest(x.cast("double"), start + t * ratio)
+        return F.transform(F.sequence(first, last), lambda t: F.struct(t.cast("int").alias("i"), part(t).alias("w")))
+
+    at = cells.select(F.col(cls), F.explode(spans(F.col("r"), row0)).alias("a"), F.col("c")).select(cls, "a", F.explode(spans(F.col("c"), col0)).alias("b"))
+    sums = at.groupBy(F.col("a.i").alias("r"), F.col("b.i").alias("c"), cls).agg((F.sum(F.col("a.w") * F.col("b.w")) / ratio**2).alias("part"))
+    covered = F.sum("part").over(Window.partitionBy("r", "c"))
+    return sums.withColumn("covered", covered).where(F.col("covered") > least).select("r", "c", cls, (F.col("part") / F.col("covered")).alias("fraction"), "covered")
+
+
+def latest_values(pages: DataFrame, keys: Sequence[str], seq: str, last: Sequence[str], high: Sequence[str]) -> DataFrame:
+    """One row a key out of overlapping pages: of `last` the latest value above zero, of `high` the largest; 0 where there is none."""
+    aggs = [F.coalesce(F.max_by(v, F.when(F.col(v) > 0, F.col(seq))), F.lit(0)).alias(v) for v in last] + [F.coalesce(F.greatest(F.max(v), F.lit(0)), F.lit(0)).alias(v) for v in high]
+    return pages.groupBy(*keys).agg(*aggs)
+
+
+def member_point(cells: DataFrame, by: str) -> DataFrame:
+    """(by, r, c): the cell of each label nearest to its mean position, ties to the smaller (r, c), so that it always lies inside."""
+    mid = cells.groupBy(by).agg(F.avg("r").alias("_mr"), F.avg("c").alias("_mc"))
+    d = F.round((F.col("r") - F.col("_mr")) ** 2 + (F.col("c") - F.col("_mc")) ** 2, 9)
+    return cells.join(mid, by).groupBy(by).agg(F.min(F.struct(d.alias("d"), F.col("r"), F.col("c"))).alias("m")).select(by, "m.r", "m.c")
