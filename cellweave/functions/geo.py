@@ -111,3 +111,24 @@ def lambert_inverse(x: Column, y: Column, p1: float = 60.0, p2: float = 46.0, la
 def kml_colour(rgb: Column) -> Column:
     """#rrggbb to aabbggrr, opaque."""
     return F.lower(F.concat(F.lit("ff"), F.substring(rgb, 6, 2), F.substring(rgb, 4, 2), F.substring(rgb, 2, 2)))
+
+
+def ring_km2(ring: Column) -> Column:
+    """Area on the sphere of an open ring, an array of structs (x = lon, y = lat); 0 under three points."""
+    after = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+    sides = F.zip_with(ring, after, lambda p, q: F.radians(q["x"] - p["x"]) * (2 + F.sin(F.radians(p["y"])) + F.sin(F.radians(q["y"]))))
+    total = F.aggregate(sides, F.lit(0.0), lambda s, x: s + x)
+    return F.when(F.size(ring) < 3, 0.0).otherwise(F.abs(total) * EARTH_KM**2 / 2)
+
+
+#: Metres from a caller to the shooter and to the middle scent wick, and from that to the outer ones (fixed values).
+SHOOTER_M, WICK_M, FLANK_M = 70.0, 45.0, 25.0
+
+
+def scent_points(lat: Column, lon: Column, wind_from: Column, shooter_m: float = SHOOTER_M, wick_m: float = WICK_M, flank_m: float = FLANK_M) -> Column:
+    """Array of structs (role, lat, lon) downwind of a caller: the shooter, the wick between the two and one to either side of it; a west wind where none is known."""
+    down = F.pmod(F.coalesce(wind_from.cast("double"), F.lit(270.0)) + 180, F.lit(360.0))
+    spot = lambda role, p: F.struct(F.lit(role).alias("role"), p[0].alias("lat"), p[1].alias("lon"))
+    mid = destination(lat, lon, down, F.lit(wick_m / 1000))
+    side = lambda turn: destination(mid[0], mid[1], F.pmod(down + turn, F.lit(360.0)), F.lit(flank_m / 1000))
+    return F.array(spot("shooter", destination(lat, lon, down, F.lit(shooter_m / 1000))), spot("wick", mid), spot("right", side(90)), spot("left", side(270)))

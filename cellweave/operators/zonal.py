@@ -75,7 +75,7 @@ def area_fractions(cells: DataFrame, cls: str, ratio: float, row0: float = 0.0,
 
 
 def latest_values(pages: DataFrame, keys: Sequence[str], seq: str, last: Sequence[str], high: Sequence[str]) -> DataFrame:
-    """One row a key out of overlapping pages: of `last` the latest value above zero, of `high` the largest; 0 where there is none."""
+    """One row a key out of overlapping pages: of `last` the latest value above zero, of `high` the largest; 0 where there is none. seq orders the rows of a key without ties."""
     aggs = [F.coalesce(F.max_by(v, F.when(F.col(v) > 0, F.col(seq))), F.lit(0)).alias(v) for v in last] + [F.coalesce(F.greatest(F.max(v), F.lit(0)), F.lit(0)).alias(v) for v in high]
     return pages.groupBy(*keys).agg(*aggs)
 

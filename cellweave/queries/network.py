@@ -53,12 +53,12 @@ def legal_audit(spark, sf_dir):
     return b.groupBy("cls").agg(F.count(F.lit(1)).alias("cells"), F.round(100.0 * F.count(name) / F.count(F.lit(1)), 1).alias("blocked_pct"), F.array_join(F.array_sort(F.collect_set(name)), ",").alias("names"))
 
 
-@query("""WITH e AS (SELECT l_partkey AS cell, l_orderkey * 10 + l_linenumber AS seq, CAST(l_quantity AS INTEGER) % 8 AS stand, CAST(l_quantity AS INTEGER) * 3 % 5 AS height, l_suppkey % 4 AS age, l_discount AS closure, CASE WHEN l_linenumber % 3 = 0 THEN year(l_shipdate) END AS cut_year FROM lineitem)
+@query("""WITH e AS (SELECT l_partkey AS cell, ((l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq, CAST(l_quantity AS INTEGER) % 8 AS stand, CAST(l_quantity AS INTEGER) * 3 % 5 AS height, l_suppkey % 4 AS age, l_discount AS closure, CASE WHEN l_linenumber % 3 = 0 THEN year(l_shipdate) END AS cut_year FROM lineitem)
 SELECT cell, coalesce(arg_max(stand, seq) FILTER (WHERE stand > 0), 0) AS stand, coalesce(arg_max(height, seq) FILTER (WHERE height > 0), 0) AS height, coalesce(arg_max(age, seq) FILTER (WHERE age > 0), 0) AS age, greatest(coalesce(max(closure), 0), 0) AS closure, CAST(greatest(coalesce(max(cut_year), 0), 0) AS INTEGER) AS cut_year FROM e GROUP BY 1""")
 def page_policies(spark, sf_dir):
     """Overlapping pages merged: the latest value or the largest, by attribute."""
     q = F.col("l_quantity").cast("int")
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cell"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (q % 8).alias("stand"), (q * 3 % 5).alias("height"), (F.col("l_suppkey") % 4).alias("age"), F.col("l_discount").alias("closure"), F.when(F.col("l_linenumber") % 3 == 0, F.year("l_shipdate")).alias("cut_year"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("cell"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_suppkey")) * 100 + q).alias("seq"), (q % 8).alias("stand"), (q * 3 % 5).alias("height"), (F.col("l_suppkey") % 4).alias("age"), F.col("l_discount").alias("closure"), F.when(F.col("l_linenumber") % 3 == 0, F.year("l_shipdate")).alias("cut_year"))
     return Z.latest_values(e, ["cell"], "seq", ["stand", "height", "age"], ["closure", "cut_year"])
 
 
