@@ -146,3 +146,17 @@ def site_count(base: Column, weight: Column, cap: int) -> Column:
     """Emphasis rounds up, the opposite down, one at least."""
     n = F.when(weight > 1, F.ceil(base * weight)).otherwise(F.greatest(F.lit(1), F.floor(base * weight)))
     return F.greatest(F.lit(1), F.least(F.lit(cap), n)).cast("int")
+
+
+def sites_of(sites: Column, lat: Column, lon: Column, most: int = 4) -> Column:
+    """Array of structs (lat, lon) of a request: of its first sites (arrays of text) those that are places on earth, else its own centre."""
+    place = lambda p: F.struct(F.try_element_at(p, F.lit(1)).try_cast("double").alias("lat"), F.try_element_at(p, F.lit(2)).try_cast("double").alias("lon"))
+    good = F.filter(F.transform(F.slice(sites, 1, most), place), lambda p: p["lat"].between(-90, 90) & p["lon"].between(-180, 180))
+    return F.when(F.coalesce(F.size(good), F.lit(0)) > 0, good).otherwise(F.array(F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon"))))
+
+
+def windows_of(windows: Column, start: Column, end: Column, most: int = 4) -> Column:
+    """Array of structs (start, end) of a request: of its first windows (arrays of text) those with both ends, else its own dates."""
+    pair = lambda p: F.struct(F.try_element_at(p, F.lit(1)).alias("start"), F.try_element_at(p, F.lit(2)).alias("end"))
+    good = F.filter(F.transform(F.slice(windows, 1, most), pair), lambda p: (F.length(p["start"]) > 0) & (F.length(p["end"]) > 0))
+    return F.when(F.coalesce(F.size(good), F.lit(0)) > 0, good).otherwise(F.array(F.struct(start.alias("start"), end.alias("end"))))

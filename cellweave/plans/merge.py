@@ -65,3 +65,36 @@ def methodology(weights: DataFrame) -> DataFrame:
     """(text): terms (name, weight) by weight, largest first."""
     rows = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "name")))
     return weights.agg(F.array_join(F.transform(rows, lambda x: F.format_string("%s %d%%", x["name"], F.round(-x["w"] * 100).cast("int"))), ", ").alias("text"))
+
+
+# The lists of a document that are laid end to end when plans are folded into one.
+LIST_KEYS = (
+    "areas", "waypoints", "routes", "camps", "hunt_zones", "browse_zones", "refuge_zones", "funnel_zones", "feed_edge_zones", "burn_zones", "cut_zones", "wetland_zones", "beaver_ponds", "tenure_zones",
+    "browse_cut_zones", "browse_burn_zones", "browse_stand_zones", "browse_lc_zones",
+)
+
+
+def merge_lists(items: DataFrame, plans: DataFrame) -> DataFrame:
+    """(key, site, win, pos, json) of all plans that worked: items (site, win, key, pos, json) of LIST_KEYS, each tagged with its plan. pos counts on over the plans of a key.
+
+    Offsets come from one row a plan and key, so no list is ever in one task.
+    """
+    mine = items.where(F.col("key").isin(*LIST_KEYS)).join(plans.where("ok").select("site", "win"), ["site", "win"])
+    sizes = mine.groupBy("key", "site", "win").agg((F.max("pos") + 1).alias("_n"))
+    before = Window.partitionBy("key").orderBy("site", "win").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return mine.join(sizes, ["key", "site", "win"]).select("key", "site", "win", (F.col("pos") + F.col("_off")).alias("pos"), "json")
+
+
+def scaffolding(plans: DataFrame) -> DataFrame:
+    """(site, win) of the first plan that worked: it gives what is not a list, since verdicts of several places cannot be merged."""
+    return plans.where("ok").orderBy("site", "win").limit(1).select("site", "win")
+
+
+def brief(areas: DataFrame, sites: DataFrame) -> DataFrame:
+    """(area, lines): Markdown of areas (area, km2, score, band, reasons) with their sites (area, legend) by kind."""
+    kinds = sites.groupBy("area", "legend").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.groupBy("area").agg(F.array_sort(F.collect_list(F.format_string("- %s: %d", "legend", "n"))).alias("k"))
+    head = F.format_string("## Area %d: %.1f km2, score %.2f (%s)", "area", "km2", "score", "band")
+    rest = F.transform(F.filter("reasons", lambda x: x.isNotNull()), lambda x: F.concat(F.lit("- "), x))
+    return areas.join(kinds, "area", "left").select("area", F.array_join(F.concat(F.array(head), rest, F.coalesce("k", F.array().cast("array<string>"))), "\n").alias("lines"))

@@ -132,3 +132,69 @@ def ring_km2(spark, sf_dir):
     x, y = F.col("l_suppkey") % 90 / 10.0 - 75, 45 + F.col("l_partkey") % 90 / 10.0
     rings = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", x.alias("x"), y.alias("y")))).alias("ring"))
     return rings.select("l_orderkey", F.round(G.ring_km2(F.col("ring")), 3).alias("km2"))
+
+
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE l_suppkey % 6 WHEN 0 THEN 'x' ELSE CAST(l_partkey % 120 AS VARCHAR) END AS a, CASE WHEN l_suppkey % 7 > 0 THEN CAST(l_suppkey % 200 AS VARCHAR) END AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem),
+v AS (SELECT l_orderkey, n, try_cast(a AS DOUBLE) AS lat, try_cast(b AS DOUBLE) AS lon FROM p WHERE n <= 4), g AS (SELECT * FROM v WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180), o AS (SELECT DISTINCT l_orderkey FROM p)
+SELECT l_orderkey, coalesce(string_agg(CAST(CAST(lat AS INTEGER) AS VARCHAR) || '/' || CAST(CAST(lon AS INTEGER) AS VARCHAR), ';' ORDER BY n), '48/-78') AS sites FROM o LEFT JOIN g USING (l_orderkey) GROUP BY 1""")
+def request_sites(spark, sf_dir):
+    """Sites of requests: the good ones of the first four, else the centre."""
+    from cellweave.functions import decode as D
+
+    a = F.when(F.col("l_suppkey") % 6 == 0, "x").otherwise((F.col("l_partkey") % 120).cast("string"))
+    b = F.when(F.col("l_suppkey") % 7 > 0, (F.col("l_suppkey") % 200).cast("string"))
+    raw = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.array(a, b).alias("p")))).alias("s"))
+    sites = D.sites_of(F.transform("s", lambda x: x["p"]), F.lit(48.0), F.lit(-78.0))
+    text = F.transform(sites, lambda x: F.concat(x["lat"].cast("int").cast("string"), F.lit("/"), x["lon"].cast("int").cast("string")))
+    return raw.select("l_orderkey", F.array_join(text, ";").alias("sites"))
+
+
+_KINDS = ("roads", "trails", "rail", "waterways", "waterbodies", "builtup")
+_TAGS = {"highway": ["track", "path", None, "steps"], "railway": ["rail", None, "abandoned"], "waterway": [None, "canal", "drain"], "natural": ["wood", "water", None], "landuse": [None, "reservoir", "quarry", "forest"], "building": [None, None, "yes"], "leisure": ["park", None]}
+
+
+def _tag_sql(name):
+    v = _TAGS[name]
+    return f"([{', '.join('NULL' if x is None else repr(x) for x in v)}])[event_id // {len(name)} % {len(v)} + 1] AS {name}"
+
+
+@query(f"""WITH e AS (SELECT event_id, {', '.join(_tag_sql(n) if n != 'natural' else _tag_sql(n).replace('AS natural', 'AS nat') for n in _TAGS)} FROM events)
+SELECT event_id, coalesce(highway = 'track', FALSE) AS roads, coalesce(highway = 'path', FALSE) AS trails, coalesce(railway = 'rail', FALSE) AS rail, coalesce(waterway = 'canal', FALSE) AS waterways, coalesce(nat = 'water', FALSE) OR coalesce(landuse = 'reservoir', FALSE) AS waterbodies,
+coalesce(landuse = 'quarry', FALSE) OR building IS NOT NULL OR coalesce(leisure = 'park', FALSE) AS builtup FROM e""")
+def feature_kinds(spark, sf_dir):
+    """Kinds of mapped features by their tags."""
+    from cellweave.sources.readers import is_feature
+
+    tags = {n: F.element_at(F.array(*[F.lit(x) for x in v]), (F.expr(f"event_id div {len(n)}") % len(v)).cast("int") + 1) for n, v in _TAGS.items()}
+    return table(spark, sf_dir, "events").select("event_id", *[is_feature(k, tags.__getitem__).alias(k) for k in _KINDS])
+
+
+@query("""WITH i AS (SELECT l_suppkey % 5 AS site, l_linenumber % 3 AS win, (['areas', 'routes', 'camps', 'legend'])[l_partkey % 4 + 1] AS key, l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY site, win, l_orderkey, l_linenumber, l_partkey, l_suppkey, q) - 1 AS pos FROM i WHERE key <> 'legend' AND NOT (site = 1 AND win = 2)) SELECT key, site, win, pos, '{"q":' || CAST(q AS VARCHAR) || '}' AS json FROM n""")
+def list_merge(spark, sf_dir):
+    """Lists of all plans end to end, each item with its plan."""
+    from pyspark.sql import Window
+
+    from cellweave.plans import merge as M
+
+    key = F.element_at(F.array(*[F.lit(x) for x in ("areas", "routes", "camps", "legend")]), (F.col("l_partkey") % 4).cast("int") + 1)
+    q = F.col("l_quantity").cast("long")
+    i = table(spark, sf_dir, "lineitem").withColumns({"site": F.col("l_suppkey") % 5, "win": F.col("l_linenumber") % 3, "key": key, "q": q})
+    w = Window.partitionBy("site", "win", "key").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q")
+    items = i.select("site", "win", "key", (F.row_number().over(w) - 1).alias("pos"), F.to_json(F.struct("q")).alias("json"))
+    plans = i.select("site", "win").distinct().withColumn("ok", ~((F.col("site") == 1) & (F.col("win") == 2)))
+    return M.merge_lists(items, plans)
+
+
+@query(f"""WITH {_SITES_SQL}, k AS (SELECT area, string_agg(line, chr(10) ORDER BY line) AS lines FROM (SELECT area, '- ' || legend || ': ' || CAST(count(*) AS VARCHAR) AS line FROM s GROUP BY area, legend) GROUP BY 1),
+a AS (SELECT n_nationkey AS area, n_nationkey * 1.5::DOUBLE AS km2, n_nationkey / 30.0::DOUBLE AS score FROM nation)
+SELECT area, '## Area ' || CAST(area AS VARCHAR) || ': ' || printf('%.1f', km2) || ' km2, score ' || printf('%.2f', score) || ' (' || CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.5 THEN 'moderate' ELSE 'low' END || ')' || CASE WHEN score > 0.3 THEN chr(10) || '- strong ground' ELSE '' END || CASE WHEN area % 2 = 0 THEN chr(10) || '- far from roads' ELSE '' END || coalesce(chr(10) || lines, '') AS lines FROM a LEFT JOIN k USING (area)""")
+def brief_lines(spark, sf_dir):
+    """The brief of each area as Markdown."""
+    from cellweave.functions.decode import confidence_band
+    from cellweave.plans import merge as M
+
+    n = F.col("n_nationkey")
+    score = n / 30.0
+    areas = table(spark, sf_dir, "nation").select(n.alias("area"), (n * 1.5).alias("km2"), score.alias("score"), confidence_band(score).alias("band"), F.array(F.when(score > 0.3, "strong ground"), F.when(n % 2 == 0, "far from roads")).alias("reasons"))
+    return M.brief(areas, _sites(spark, sf_dir))

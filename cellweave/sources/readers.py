@@ -73,6 +73,10 @@ def effort(text: Column) -> list[Column]:
     return [success.try_cast("int").alias("success_pct"), hunters.try_cast("int").alias("hunters"), density.try_cast("double").alias("density")]
 
 
+class NoCoverage(Exception):
+    """A service's answer that the box lies outside what it covers."""
+
+
 class Page(InputPartition):
     def __init__(self, number: int):
         self.number = number
@@ -84,28 +88,49 @@ class PagedReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Page(i) for i in range(int(self.options["pages"]))]
+        return [Page(i) for i in range(int(self.options.get("pages") or self.options.get("lanes", "1")))]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        from importlib import import_module
-
-        module, _, name = self.options["fetch"].rpartition(".")
-        fetch: Callable[[int, int], list[dict]] = getattr(import_module(module), name)
+    def _fetched(self, fetch: Callable[[int, int], list[dict]], number: int, size: int) -> list[dict]:
         tries = int(self.options.get("tries", "3"))
         for n in range(tries):
             try:
-                rows = fetch(partition.number, int(self.options.get("page_size", "1000")))
-                break
+                return fetch(number, size)
+            except NoCoverage:
+                if number >= int(self.options.get("lanes", "1")):
+                    raise  # it had rows before, so this is a failure
+                return []
             except OSError:
                 if n + 1 == tries:
                     raise
                 time.sleep(0.1 * 2**n)
-        for row in rows:
-            yield tuple(row.get(k) if not isinstance(row.get(k), (dict, list)) else json.dumps(row[k]) for k in self.names)
+        return []
+
+    def read(self, partition: Page) -> Iterator[tuple]:
+        from importlib import import_module
+
+        module, _, name = self.options["fetch"].rpartition(".")
+        fetch = getattr(import_module(module), name)
+        size, lanes = int(self.options.get("page_size", "1000")), int(self.options.get("lanes", "1"))
+        ends = time.monotonic() + float(self.options.get("budget_s", "inf"))
+        number = partition.number
+        while True:
+            rows = self._fetched(fetch, number, size)
+            for row in rows:
+                yield tuple(row.get(k) if not isinstance(row.get(k), (dict, list)) else json.dumps(row[k]) for k in self.names)
+            if self.options.get("pages") or len(rows) < size:
+                return
+            if time.monotonic() > ends:
+                raise TimeoutError("the service did not end within its budget; nothing of it is kept")
+            number += lanes
 
 
 class PagedSource(DataSource):
-    """Pages of a feature service, a partition each. Options: fetch (dotted name of a function of page and page size that gives rows as dicts), pages, page_size, tries. A page that keeps failing fails the read, so a pull is whole or not at all."""
+    """Pages of a feature service. Options: fetch (dotted name of a function of page and page size that gives rows as dicts), page_size, tries, and either pages (a partition each) or lanes.
+
+    Each of the lanes reads every lanes-th page up to its first short one, so the number of pages need not be known. A page that keeps
+    failing, or a lane that is not through after budget_s seconds, fails the read: a pull is whole or not at all. Where the
+    first page of a lane is answered by NoCoverage, the lane has no rows.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -118,9 +143,30 @@ class PagedSource(DataSource):
         return PagedReader(schema, self.options)
 
 
-def read_pages(spark: SparkSession, schema: str, fetch: str, pages: int, page_size: int = 1000) -> DataFrame:
+def read_pages(spark: SparkSession, schema: str, fetch: str, pages: int | None = None, page_size: int = 1000, lanes: int = 4, budget_s: float | None = None) -> DataFrame:
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged_features").schema(schema).option("fetch", fetch).option("pages", pages).option("page_size", page_size).load()
+    out = spark.read.format("paged_features").schema(schema).option("fetch", fetch).option("page_size", page_size)
+    out = out.option("lanes", lanes) if pages is None else out.option("pages", pages)
+    return (out if budget_s is None else out.option("budget_s", budget_s)).load()
+
+
+# Values of a tag that make a feature one of a named kind; None stands for any value.
+FEATURES = {
+    "roads": {"highway": ("motorway", "trunk", "primary", "secondary", "tertiary", "unclassified", "residential", "track", "service")},
+    "trails": {"highway": ("path", "footway", "bridleway", "cycleway")},
+    "rail": {"railway": ("rail", "narrow_gauge", "light_rail")},
+    "waterways": {"waterway": ("river", "stream", "canal", "tidal_channel", "rapids")},
+    "waterbodies": {"natural": ("water",), "landuse": ("reservoir",)},
+    "builtup": {"landuse": ("residential", "farmland", "farmyard", "industrial", "commercial", "retail", "quarry", "cemetery", "allotments", "village_green", "recreation_ground"), "building": None, "leisure": ("park", "golf_course")},
+}
+
+
+def is_feature(kind: str, tag: Callable[[str], Column]) -> Column:
+    """Whether the tags of a feature (a column by tag name) make it one of a kind of FEATURES; a filter that Parquet can push down."""
+    out = F.lit(False)
+    for name, values in FEATURES[kind].items():
+        out = out | (tag(name).isNotNull() if values is None else F.coalesce(tag(name).isin(*values), F.lit(False)))
+    return out
 
 
 def season(today: Column, back: int = 3) -> Column:
