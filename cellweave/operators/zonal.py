@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.core import materialize
+
 
 def blocks(cells: DataFrame, k: int) -> DataFrame:
     """cells with block keys br, bc: k by k cells each, snapped to the origin so that tiling never changes the answer."""
@@ -49,10 +51,33 @@ def rerank(df: DataFrame, group: Sequence[str], excluded: Column, rank: str, to:
     return df.withColumn(to, F.row_number().over(Window.partitionBy(*group).orderBy(excluded, rank)).cast("int"))
 
 
+def _ranged(df: DataFrame, order: Sequence[Column | str], size: Column) -> DataFrame:
+    """df dealt into ranges (_p) of an order, each row with the size of all ranges before its own (_before).
+
+    The ranges are written down first, since dealt again they could differ. What is broadcast is one row a range.
+    """
+    at = materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = at.groupBy("_p").agg(size.alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    return at.join(F.broadcast(sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))), "_p")
+
+
+def global_rank(df: DataFrame, order: Sequence[Column | str], out: str) -> DataFrame:
+    """df with out: positions from 1 in an order over all rows, numbered within ranges. An order with ties leaves them to chance."""
+    here = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
+    return _ranged(df, order, F.count(F.lit(1))).withColumn(out, here + F.col("_before")).drop("_p", "_before")
+
+
+def running_sum(df: DataFrame, v: str, order: Sequence[Column | str], out: str) -> DataFrame:
+    """df with out: the sum of v over all rows up to this one in an order without ties, added up within ranges."""
+    here = F.sum(v).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return _ranged(df, order, F.coalesce(F.sum(v), F.lit(0))).withColumn(out, F.coalesce(here, F.lit(0)) + F.col("_before")).drop("_p", "_before")
+
+
 def spearman(df: DataFrame, a: str, b: str, tie: Sequence[str]) -> DataFrame:
     """(rho, n): rank correlation with ties broken by position."""
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = ranked.withColumn("ra", F.row_number().over(Window.orderBy(a, *tie))).withColumn("rb", F.row_number().over(Window.orderBy(b, *tie)))
+    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, *tie)
+    ranked = global_rank(global_rank(ranked, [a, *tie], "ra"), [b, *tie], "rb")
     return ranked.agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

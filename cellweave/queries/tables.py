@@ -9,6 +9,7 @@ from cellweave.core import query, table
 from cellweave.functions import geo as G
 from cellweave.grid import CELLS_SQL, demo_cells
 from cellweave.operators import vector as V
+from cellweave.operators import zonal as Z
 from cellweave.queries.shapes import components_sql
 
 _BOX = "b AS (SELECT p_partkey, (p_partkey * 37 % 1000) / 10.0 AS x0, (p_partkey * 61 % 1000) / 10.0 AS y0, p_size / 10.0 + 0.35 AS s FROM part)"
@@ -73,7 +74,7 @@ def cluster_union_find(spark, sf_dir):
     """Points in hops of at most 8, largest cluster first."""
     c = V.cluster(targets(spark, sf_dir).withColumnRenamed("s_suppkey", "id"), 8.0)
     s = c.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("x"), 8).alias("mid_x"), F.round(F.avg("y"), 8).alias("mid_y"))
-    return s.withColumn("camp", F.row_number().over(Window.orderBy(F.desc("n"), "cluster")).cast("int"))
+    return Z.global_rank(s, [F.desc("n"), "cluster"], "camp").withColumn("camp", F.col("camp").cast("int"))
 
 
 _LINE = lambda name, key, tab, ax, ay, bx, by: f"{name} AS (SELECT {key} AS id, ({key} * {ax} % 1000) / 10.0 AS x1, ({key} * {ay} % 1000) / 10.0 AS y1, ({key} * {ax} % 1000) / 10.0 + {bx} AS x2, ({key} * {ay} % 1000) / 10.0 + {by} AS y2 FROM {tab})"
@@ -156,7 +157,7 @@ def upsert_versions(spark, sf_dir):
 def retention_lru(spark, sf_dir):
     """Whole plans within a byte budget, those used last first."""
     p = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("plan")).agg(F.sum("o_totalprice").alias("bytes"), F.max("o_orderdate").alias("used"))
-    return p.withColumn("running", F.sum("bytes").over(Window.orderBy(F.desc("used"), "plan"))).select("plan", F.round("bytes", 2).alias("bytes"), (F.col("running") <= 3e8).alias("kept"))
+    return Z.running_sum(p, "bytes", [F.desc("used"), "plan"], "running").select("plan", F.round("bytes", 2).alias("bytes"), (F.col("running") <= 3e8).alias("kept"))
 
 
 @query("""WITH j AS (SELECT o_orderkey AS job, (['running', 'done', 'error', 'cancelled'])[CAST(o_orderkey % 4 + 1 AS INTEGER)] AS status, o_orderkey % 5 > 0 AS alive, date_diff('hour', o_orderdate, TIMESTAMP '2001-08-01') AS age FROM orders)

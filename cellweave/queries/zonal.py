@@ -126,7 +126,9 @@ def null_model_capture(spark, sf_dir):
     """How much of what the surface can tell apart ends up in the selected ground, against as many random, best and near-road cells."""
     df = layers(spark, sf_dir)[0].where("cls <> 80")
     order = {"i_model": [F.desc("browse"), F.desc("elev"), "r", "c"], "i_rand": [F.expr(_RAND), "r", "c"], "i_best": [F.desc("elev"), "r", "c"], "i_road": ["d_road", "r", "c"]}
-    t = df.withColumns({k: F.row_number().over(Window.orderBy(*v)) for k, v in order.items()})
+    t = df.select("r", "c", "elev", "browse", "d_road")
+    for k, v in order.items():
+        t = Z.global_rank(t, v, k)
     t = t.crossJoin(F.broadcast(df.agg(F.expr("count(*) div 10").alias("n"))))  # one row
     mean = lambda k: F.avg(F.when(F.col(k) <= F.col("n"), F.col("elev")))
     m = t.agg(mean("i_model").alias("model"), mean("i_rand").alias("random"), mean("i_best").alias("oracle"), (F.sum(F.when((F.col("i_model") <= F.col("n")) & (F.col("i_road") <= F.col("n")), 1).otherwise(0)) / F.max("n")).alias("o"))

@@ -198,3 +198,24 @@ def test_pages_end_by_themselves(spark):
     assert B.read_pages(spark, "id long", f"{__name__}.nowhere").count() == 0
     with pytest.raises(Exception, match="budget"):
         B.read_pages(spark, "id long", f"{__name__}.endless", page_size=5, lanes=1, budget_s=0.2).count()
+
+
+def test_global_rank(spark):
+    rng = random.Random(5)
+    data = [(rng.choice([None, 1.0, 2.0, 3.5]), i) for i in range(3000)]
+    df = spark.createDataFrame(data, "v double, i int").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = Z.global_rank(df, [F.desc("v"), "i"], "n")
+        got = {x.i: x.n for x in ranked.collect()}
+        assert ranked.rdd.getNumPartitions() > 1
+        sums = {x.i: x.s for x in Z.running_sum(df, "v", ["i"], "s").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    assert got == {i: n for n, (_, i) in enumerate(want, 1)}
+    total = 0.0
+    for v, i in data:
+        total += v or 0.0
+        assert sums[i] == total
+    assert Z.global_rank(df.where("false"), ["v", "i"], "n").count() == 0
