@@ -137,3 +137,14 @@ def read_shared(path: str) -> bytes:
     system, inside = fs.FileSystem.from_uri(path)
     with system.open_input_stream(inside) as f:
         return f.read()
+
+
+def open_input(path: str):
+    """A file of the shared folder to read piece by piece, whatever file system that is in."""
+    where = urlparse(path)
+    if where.scheme in ("", "file"):
+        return open(where.path, "rb")
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inside)

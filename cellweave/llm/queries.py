@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweave.llm import bpe, jaccard, lines, mixing, packing, quality, sharding, tokens, topk, warc
+from cellweave.llm import audit, bpe, chat, jaccard, lexical, lines, mixing, packing, quality, sharding, tokens, topk, warc
 
 QUERIES = {
     "op1_token_counts": tokens.op1_token_counts,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_sharding": sharding.op9_sharding,
     "op10_bpe_chunks": bpe.op10_bpe_chunks,
+    "op11_chat_format": chat.op11_chat_format,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_filter_audit": audit.op13_filter_audit,
 }
 
-ORACLE_SQL = {"op4_ngram_jaccard": jaccard.ORACLE_OP4, "op6_topk": topk.ORACLE_OP6, "op7_line_dedup": lines.ORACLE_OP7, "op8_warc": warc.ORACLE_OP8}
+ORACLE_SQL = {"op4_ngram_jaccard": jaccard.ORACLE_OP4, "op6_topk": topk.ORACLE_OP6, "op7_line_dedup": lines.ORACLE_OP7, "op8_warc": warc.ORACLE_OP8, "op11_chat_format": chat.ORACLE_OP11, "op12_lexical_search": lexical.ORACLE_OP12, "op13_filter_audit": audit.ORACLE_OP13}
