@@ -48,3 +48,26 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/cellweave-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Steps:
+    """The intermediate tables of one iteration, each written and read again; a table that nothing reads any more is dropped by name, all of them by close()."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/cellweave-{tag}-{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._delete(f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        self._delete(self.folder)

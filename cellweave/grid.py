@@ -128,6 +128,6 @@ def demo_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
 #: The same table as a SQL prefix: g(w), cells.
 CELLS_SQL = """g AS (SELECT CAST(ceil(sqrt(count(*))) AS INTEGER) AS w, count(*) AS n FROM events),
 ev AS (SELECT event_id AS i, * FROM events UNION ALL SELECT event_id + n, events.* FROM events, g WHERE event_id < w * w - n),
-cells AS (SELECT CAST(i // w AS INTEGER) AS r, CAST(i % w AS INTEGER) AS c, value AS elev,
+cells AS MATERIALIZED (SELECT CAST(i // w AS INTEGER) AS r, CAST(i % w AS INTEGER) AS c, value AS elev,
   CAST(CASE event_type WHEN 'view' THEN 10 WHEN 'click' THEN 20 WHEN 'purchase' THEN 30 WHEN 'signup' THEN 80 ELSE 90 END AS INTEGER) AS cls,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, user_id AS zone, CAST(ts AS DATE) AS d FROM ev, g)"""

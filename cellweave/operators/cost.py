@@ -1,13 +1,17 @@
 """Least-cost fields and routes on the 8-connected lattice.
 
-A step costs the mean of the two cells times its length (1 or sqrt 2). Fields are relaxed tile by tile: each round every tile runs
-Dijkstra from what it knows, its neighbours' border cells included, and rounds end when nothing changes. So a task holds one tile and
-the number of rounds follows the tiles a route crosses, not its cells.
+A step costs the mean of the two cells times its length (1 or sqrt 2). A field is settled tile by tile over a fixed table of tiles: a
+round runs only the tiles that improved border cells of a neighbour touch, and writes only the cells that fell, so that what a round
+writes follows the frontier. A cell's distance is the least of what the rounds wrote of it.
+
+Routes are traced back through the settled field. Each cell points to the neighbour that its distance came from; inside a tile these
+pointers are followed at once, and the legs between border cells are joined over tiles by pointer doubling, in as many rounds as the
+logarithm of the tiles that a route crosses. No task holds more than one tile.
 """
 
 from __future__ import annotations
 
-import heapq
+import functools
 import math
 
 import numpy as np
@@ -15,62 +19,240 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.core import materialize
+from cellweave.core import Steps, materialize
 from cellweave.functions.algebra import WALL
 
-TILE = 128
+TILE = 256
+#: Tiles of a round that are named in filters.
+NAMED_TILES = 200
 #: How far a vehicle works its way off the network, in metres, and what a cell of that costs (fixed values).
 SPUR_M, SPUR_COST = 1500.0, 0.50
 _STEPS = [(a, b, math.hypot(a, b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
 
 
-def relaxed(r: np.ndarray, c: np.ndarray, cost: np.ndarray, dist: np.ndarray) -> np.ndarray:
-    """Dijkstra over the given cells from all finite distances."""
-    dist = dist.copy()
-    at = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist()))}
-    cells, costs, best = list(at), cost.tolist(), dist.tolist()
-    todo = [(d, i) for i, d in enumerate(best) if d < math.inf]
-    heapq.heapify(todo)
-    while todo:
-        d, i = heapq.heappop(todo)
-        if d > best[i]:
-            continue
-        a, b = cells[i]
-        for da, db, step in _STEPS:
-            j = at.get((a + da, b + db))
-            if j is not None:
-                n = d + step * (costs[i] + costs[j]) / 2
-                if n < best[j]:
-                    best[j] = n
-                    heapq.heappush(todo, (n, j))
-    return np.array(best)
-
-
-def _tile(key, t: pa.Table) -> pa.Table:
-    r, c, cost = (t.column(x).to_numpy() for x in ("r", "c", "cost"))
-    dist = t.column("dist").to_numpy(zero_copy_only=False).astype(float)
-    dist = np.where(np.isnan(dist), np.inf, dist)
-    own = t.column("own").to_numpy(zero_copy_only=False)
-    new = relaxed(r, c, cost, dist)
-    at = np.flatnonzero(own)
-    better = new[at] < dist[at]
-    return pa.table({"r": pa.array(r[at]), "c": pa.array(c[at]), "cost": pa.array(cost[at]), "dist": pa.array(new[at], mask=~np.isfinite(new[at])), "better": pa.array(better)})
+class _Tile:
+    """A tile's costs and distances as arrays with a frame of one cell, which holds what neighbours sent."""
+
+    def __init__(self, tr: int, tc: int, side: int):
+        self.r0, self.c0, self.side = tr * side, tc * side, side
+        self.cost, self.dist = np.full((2, side + 2, side + 2), np.inf)
+
+    def place(self, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return t.column("r").to_numpy() - self.r0 + 1, t.column("c").to_numpy() - self.c0 + 1
+
+    def put(self, t: pa.Table) -> None:
+        """Costs where rows have them, and the least of the distances."""
+        at = self.place(t)
+        for name, into in (("cost", self.cost), ("dist", self.dist)):
+            values = t.column(name).to_numpy(zero_copy_only=False).astype(float)
+            known = ~np.isnan(values)
+            np.minimum.at(into, (at[0][known], at[1][known]), values[known])
+
+    @functools.cached_property
+    def lengths(self) -> list[np.ndarray]:
+        """What a step from each neighbour costs, for the cells inside the frame."""
+        n, inner = self.side + 1, self.cost[1:-1, 1:-1]
+        return [step * (self.cost[1 + a : n + a, 1 + b : n + b] + inner) / 2 for a, b, step in _STEPS]
+
+    def settle(self) -> None:
+        """Relax until no cell inside falls; after the first pass only around what fell."""
+        x0, x1, y0, y1 = 0, self.side, 0, self.side
+        while True:
+            inner = self.dist[1 + x0 : 1 + x1, 1 + y0 : 1 + y1]
+            before = inner.copy()
+            for (a, b, _), length in zip(_STEPS, self.lengths):
+                np.minimum(inner, self.dist[1 + x0 + a : 1 + x1 + a, 1 + y0 + b : 1 + y1 + b] + length[x0:x1, y0:y1], out=inner)
+            fell = inner < before
+            rows, cols = np.flatnonzero(fell.any(1)), np.flatnonzero(fell.any(0))
+            if not len(rows):
+                return
+            x0, x1 = max(0, x0 + rows[0] - 1), min(self.side, x0 + rows[-1] + 2)
+            y0, y1 = max(0, y0 + cols[0] - 1), min(self.side, y0 + cols[-1] + 2)
+
+    def pointers(self) -> np.ndarray:
+        """For each cell inside, which of _STEPS leads to the neighbour that its distance came from (ties: the smaller row, then column), or -1."""
+        n, inner = self.side + 1, self.dist[1:-1, 1:-1]
+        out = np.full(inner.shape, -1, np.int8)
+        for k, ((a, b, _), length) in enumerate(zip(_STEPS, self.lengths)):
+            near = self.dist[1 + a : n + a, 1 + b : n + b]
+            out[(out < 0) & np.isfinite(inner) & (near < inner) & (near + length == inner)] = k
+        return out
+
+
+_NEWS = "tr int, tc int, r int, c int, cost double, dist double"
+_FOUND = f"{_NEWS}, own boolean"
+
+
+def _round(side: int):
+    def run(key, t):
+        """What falls in a tile: rows are its cells (no dist), what earlier rounds found (known) and news from its neighbours or seeds."""
+        tile = _Tile(key[0].as_py(), key[1].as_py(), side)
+        known = t.column("known").to_numpy(zero_copy_only=False)
+        tile.put(t.filter(pa.array(known)))
+        before = tile.dist[1:-1, 1:-1].copy()
+        tile.put(t.filter(pa.array(~known)))
+        tile.settle()
+        dist, cost = tile.dist[1:-1, 1:-1], tile.cost[1:-1, 1:-1]
+        r, c = np.nonzero((dist < before) & np.isfinite(cost))
+        up, left = np.where(r == 0, -1, np.where(r == side - 1, 1, 0)), np.where(c == 0, -1, np.where(c == side - 1, 1, 0))
+        if side == 1:
+            shown = [(a, b, np.arange(len(r))) for a, b, _ in _STEPS]
+        else:  # of the other tiles, those that see a border cell are above or below it, beside it, and across the corner
+            shown = [(a, b, np.flatnonzero(((a == 0) | (up == a)) & ((b == 0) | (left == b)))) for a, b, _ in _STEPS]
+        at = np.concatenate([np.arange(len(r)), *[i for _, _, i in shown]])
+        tr, tc = (np.concatenate([np.full(len(r), key[k].as_py()), *[np.full(len(x[2]), key[k].as_py() + x[k]) for x in shown]]).astype(np.int32) for k in (0, 1))
+        columns = [tr, tc, (r + tile.r0).astype(np.int32)[at], (c + tile.c0).astype(np.int32)[at], cost[r, c][at], dist[r, c][at], np.arange(len(at)) < len(r)]
+        return pa.table(dict(zip(("tr", "tc", "r", "c", "cost", "dist", "own"), map(pa.array, columns))))
+
+    return run
+
+
+def _legs(side: int):
+    def run(key, tiles, ends):
+        """Where the way back from each border cell and each end leaves the tile: the cell it enters next, or none at a seed."""
+        tile = _Tile(key[0].as_py(), key[1].as_py(), side)
+        tile.put(tiles)
+        way = tile.pointers().ravel().astype(np.int64)
+        steps = np.array([(a, b) for a, b, _ in _STEPS] + [(0, 0)])
+        r, c = np.divmod(np.arange(side * side), side)
+        to_r, to_c = r + steps[way, 0], c + steps[way, 1]
+        stays = (way >= 0) & (to_r >= 0) & (to_r < side) & (to_c >= 0) & (to_c < side)
+        jump, count = np.where(stays, to_r * side + to_c, r * side + c), stays.astype(np.int64)
+        while True:  # pointer doubling inside the tile
+            further = jump[jump]
+            if (further == jump).all():
+                break
+            count, jump = count + count[jump], further
+        inner = tile.dist[1:-1, 1:-1].ravel()
+        border = (r == 0) | (r == side - 1) | (c == 0) | (c == side - 1)
+        asked = np.zeros(side * side, bool)
+        at = tile.place(ends)
+        asked[(at[0] - 1) * side + at[1] - 1] = True
+        entry = np.flatnonzero((border | asked) & np.isfinite(inner))
+        last = jump[entry]
+        leaves = way[last] >= 0
+        columns = [
+            pa.array((r[entry] + tile.r0).astype(np.int32)), pa.array((c[entry] + tile.c0).astype(np.int32)),
+            pa.array((to_r[last] + tile.r0).astype(np.int32), mask=~leaves), pa.array((to_c[last] + tile.c0).astype(np.int32), mask=~leaves), pa.array(count[entry] + leaves),
+        ]
+        return pa.table(dict(zip(("r", "c", "nr", "nc", "steps"), columns)))
+
+    return run
+
+
+def _walk(side: int):
+    def run(key, tiles, entries):
+        """The cells of each leg that begins in the tile, counted on from how far its entry is from the route's end."""
+        tile = _Tile(key[0].as_py(), key[1].as_py(), side)
+        tile.put(tiles)
+        way = tile.pointers()
+        out: list[tuple[int, int, int, int]] = []
+        for route, r, c, back in zip(*(entries.column(x).to_pylist() for x in ("route", "r", "c", "back"))):
+            a, b = r - tile.r0, c - tile.c0
+            while True:
+                out.append((route, back, a + tile.r0, b + tile.c0))
+                k = way[a, b]
+                if k < 0:
+                    break
+                a, b, back = a + _STEPS[k][0], b + _STEPS[k][1], back + 1
+                if not (0 <= a < side and 0 <= b < side):
+                    break
+        route, back, r, c = zip(*out) if out else ((),) * 4
+        return pa.table({"route": pa.array(route, pa.int64()), "back": pa.array(back, pa.int64()), "r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32())})
+
+    return run
+
+
+class Field:
+    """Least costs from the seeds, kept as a table of tiles so that any number of routes can be traced through it. close() deletes it."""
+
+    def __init__(self, cells: DataFrame, cost: str, seeds: Column, tile: int = TILE):
+        """Cells without cost or at WALL are closed."""
+        self.tile, self.steps = tile, Steps(cells.sparkSession, "field")
+        place = [F.expr(f"cast(floor({x} / {tile}) as int)").alias(f"t{x}") for x in ("r", "c")]
+        open_cells = cells.where(F.col(cost).isNotNull() & (F.col(cost) < WALL)).select(*place, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(cost).cast("double").alias("cost"), F.coalesce(seeds, F.lit(False)).alias("seed"))
+        self.base = self.steps.table(open_cells.repartition("tr", "tc").sortWithinPartitions("tr", "tc"), "cells")
+        low_r, low_c, high_r, high_c = self.base.agg(F.min("tr"), F.min("tc"), F.max("tr"), F.max("tc")).head()
+        self.inside = F.lit(False) if low_r is None else F.col("tr").between(low_r, high_r) & F.col("tc").between(low_c, high_c)
+        self.fallen: DataFrame | None = None
+        self.rounds = 0
+        news = self.base.where("seed").select("tr", "tc", "r", "c", "cost", F.lit(0.0).alias("dist"))
+        while True:
+            active = news.select("tr", "tc").distinct().limit(NAMED_TILES + 1).collect()
+            if not active:
+                break
+            news = self.round(news, active)
+
+    def border(self, cells: DataFrame) -> DataFrame:
+        """cells (tr, tc, r, c, ..) at the border of their tile, once for each other tile that sees them."""
+        edge = lambda x: F.pmod(F.col(x), F.lit(self.tile)).isin(0, self.tile - 1)
+        of = lambda x, d: F.floor((F.col(x) + d) / self.tile).cast("int")
+        near = F.array_distinct(F.array(*[F.struct(of("r", a).alias("tr"), of("c", b).alias("tc")) for a, b, _ in _STEPS]))
+        spread = cells.where(edge("r") | edge("c")).withColumn("t", F.explode(near)).where((F.col("t.tr") != F.col("tr")) | (F.col("t.tc") != F.col("tc")))
+        return spread.withColumns({"tr": F.col("t.tr"), "tc": F.col("t.tc")}).drop("t").where(self.inside)
+
+    def round(self, news: DataFrame, active: list) -> DataFrame:
+        """Run the tiles that have news; remembers what fell and returns what other tiles see of it. Up to NAMED_TILES tiles are named to the scans, more are joined."""
+        known = self.base.select("tr", "tc", "r", "c", "cost", F.lit(None).cast("double").alias("dist"))
+        if self.fallen is not None:
+            known = known.unionByName(self.fallen.withColumn("cost", F.lit(None).cast("double")))
+        if len(active) <= NAMED_TILES:
+            rows, cols = {x.tr for x in active}, {x.tc for x in active}
+            known = known.where(F.col("tr").isin(rows) & F.col("tc").isin(cols) & F.struct("tr", "tc").isin([F.struct(F.lit(x.tr).alias("tr"), F.lit(x.tc).alias("tc")) for x in active]))
+        else:
+            known = known.join(news.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        rows = known.withColumn("known", F.lit(True)).unionByName(news.withColumn("known", F.lit(False)))
+        found = self.steps.table(rows.groupBy("tr", "tc").applyInArrow(_round(self.tile), _FOUND), f"fallen/round={self.rounds}")
+        self.rounds += 1
+        self.fallen = self.steps.spark.read.schema(_FOUND).parquet(*[f"{self.steps.folder}/fallen/round={k}" for k in range(self.rounds)]).where("own").drop("own")
+        return found.where("not own").where(self.inside).drop("own")
+
+    def settled(self) -> DataFrame:
+        """(tr, tc, r, c, cost, dist) of every open cell; dist is null where no route leads."""
+        known = self.base.select("tr", "tc", "r", "c", "cost", F.lit(None).cast("double").alias("dist"))
+        if self.fallen is not None:
+            known = known.unionByName(self.fallen)
+        return known.groupBy("tr", "tc", "r", "c").agg(F.max("cost").alias("cost"), F.min("dist").alias("dist"))
+
+    def routes(self, ends: DataFrame) -> DataFrame:
+        """(route, step, r, c): for each of ends (route, r, c) a least-cost route from a seed (step 0) to it. Ends that no route reaches give no rows.
+
+        Ties of a step go to the smaller row, then column. A way back ends where no neighbour is cheaper, so steps between cells of cost 0 are not traced.
+        """
+        place = lambda df: df.withColumns({"tr": F.floor(F.col("r") / self.tile).cast("int"), "tc": F.floor(F.col("c") / self.tile).cast("int")})
+        settled = self.steps.table(self.settled().where("dist is not null"), f"settled-{self.rounds}")
+        framed = settled.unionByName(self.border(settled))
+        asked = place(ends.select(F.col("route").cast("long").alias("route"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c")))
+        asked = self.steps.table(asked.join(settled.select("r", "c"), ["r", "c"], "left_semi"), f"ends-{self.rounds}")
+        by = lambda df: df.groupBy("tr", "tc")
+        legs = by(framed).cogroup(by(asked)).applyInArrow(_legs(self.tile), "r int, c int, nr int, nc int, steps long")
+        legs = self.steps.table(legs, f"legs-{self.rounds}-0").where("nr is not null")
+        entries = [asked.select("route", "r", "c", F.lit(0).cast("long").alias("back"))]
+        for k in range(64):
+            reached = entries[0] if k == 0 else functools.reduce(DataFrame.unionByName, entries)
+            more = reached.join(legs, ["r", "c"]).select("route", F.col("nr").alias("r"), F.col("nc").alias("c"), (F.col("back") + F.col("steps")).alias("back"))
+            more = self.steps.table(more, f"entries-{self.rounds}-{k}")
+            if more.isEmpty():
+                break
+            entries.append(more)
+            on = legs.select(F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("nr").alias("mr"), F.col("nc").alias("mc"), F.col("steps").alias("more"))
+            legs = self.steps.table(legs.join(on, ["nr", "nc"]).select("r", "c", F.col("mr").alias("nr"), F.col("mc").alias("nc"), (F.col("steps") + F.col("more")).alias("steps")), f"legs-{self.rounds}-{k + 1}")
+        entries = place(functools.reduce(DataFrame.unionByName, entries))
+        crossed = framed.join(entries.select("tr", "tc").distinct(), ["tr", "tc"], "left_semi")
+        walked = materialize(by(crossed).cogroup(by(entries)).applyInArrow(_walk(self.tile), "route long, back long, r int, c int"), "routes")
+        length = walked.groupBy("route").agg(F.max("back").alias("length"))
+        return walked.join(length, "route").select("route", (F.col("length") - F.col("back")).cast("int").alias("step"), "r", "c")
+
+    def close(self) -> None:
+        self.steps.close()
 
 
 def cost_field(cells: DataFrame, cost: str, seeds: Column, out: str, tile: int = TILE) -> DataFrame:
-    """(r, c, out): least cost from the nearest seed; null where no route leads. Cells without cost or at WALL are closed. Rounds end when no border improves, which distances that only fall reach."""
-    state = cells.where(F.col(cost).isNotNull() & (F.col(cost) < WALL)).select("r", "c", F.col(cost).cast("double").alias("cost"), F.when(seeds, F.lit(0.0)).alias("dist"))
-    while True:
-        row, col = F.expr(f"cast(floor(r / {tile}) as int)"), F.expr(f"cast(floor(c / {tile}) as int)")
-        near = F.array_distinct(F.array(*[F.struct(F.floor((F.col("r") + a) / tile).cast("int").alias("tr"), F.floor((F.col("c") + b) / tile).cast("int").alias("tc")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        spread = state.withColumns({"_r": row, "_c": col}).withColumn("t", F.explode(near))
-        spread = spread.select(F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"), "r", "c", "cost", "dist", ((F.col("t.tr") == F.col("_r")) & (F.col("t.tc") == F.col("_c"))).alias("own"))
-        done = materialize(spread.groupBy("tr", "tc").applyInArrow(lambda key, t: _tile(key, t), "r int, c int, cost double, dist double, better boolean"), "field")
-        state = done.drop("better")
-        changed, tiles = done.agg(F.sum(F.col("better").cast("int")), F.countDistinct(row, col)).head()
-        if not changed or tiles <= 1:
-            break
-    return state.select("r", "c", F.col("dist").alias(out))
+    """(r, c, out): least cost from the nearest seed; null where no route leads. Cells without cost or at WALL are closed."""
+    field = Field(cells, cost, seeds, tile)
+    done = materialize(field.settled().select("r", "c", F.col("dist").alias(out)), "field")
+    field.close()
+    return done
 
 
 def corridor(cells: DataFrame, cost: str, start: Column, end: Column, eps: float = 1e-9) -> DataFrame:
@@ -81,30 +263,14 @@ def corridor(cells: DataFrame, cost: str, start: Column, end: Column, eps: float
     return both.crossJoin(F.broadcast(total)).where(F.col("from_start") + F.col("from_end") <= F.col("total") * (1 + eps) + eps)  # total is one row
 
 
-def _trace(key, t: pa.Table) -> pa.Table:
-    """One route through a corridor, from the end back to the start; ties go to the smaller (r, c)."""
-    r, c, d, cost = (t.column(x).to_numpy() for x in ("r", "c", "from_start", "cost"))
-    at = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist()))}
-    i = min(range(len(r)), key=lambda k: (t.column("from_end")[k].as_py(), r[k], c[k]))
-    path = [i]
-    while d[i] > 0:
-        best = None
-        for da, db, step in _STEPS:
-            j = at.get((int(r[i]) + da, int(c[i]) + db))
-            if j is not None and abs(d[j] + step * (cost[i] + cost[j]) / 2 - d[i]) <= 1e-9 * max(1.0, d[i]):
-                best = min(best, (r[j], c[j], j)) if best else (r[j], c[j], j)
-        if best is None:
-            break
-        i = best[2]
-        path.append(i)
-    path = path[::-1]
-    return pa.table({"step": pa.array(range(len(path)), pa.int32()), "r": pa.array(r[path]), "c": pa.array(c[path])})
-
-
-def least_cost_path(cells: DataFrame, cost: str, start: Column, end: Column) -> DataFrame:
-    """(step, r, c) of one least-cost route; only the corridor, a few cells wide, comes together in a task."""
-    way = corridor(cells, cost, start, end).join(cells.select("r", "c", F.col(cost).cast("double").alias("cost")), ["r", "c"])
-    return way.groupBy(F.lit(0).alias("one")).applyInArrow(lambda key, t: _trace(key, t), "step int, r int, c int")
+def least_cost_path(cells: DataFrame, cost: str, start: Column, end: Column, tile: int = TILE) -> DataFrame:
+    """(step, r, c) of one least-cost route from a start to the end that is cheapest to reach (ties: the smaller row, then column)."""
+    field = Field(cells, cost, start, tile)
+    ends = field.settled().where("dist is not null").join(cells.where(end).select("r", "c"), ["r", "c"])
+    best = ends.agg(F.min(F.struct("dist", "r", "c")).alias("e")).where("e is not null").select(F.lit(0).alias("route"), "e.r", "e.c")
+    route = field.routes(best)
+    field.close()
+    return route.select("step", "r", "c")
 
 
 def transfer(ride: DataFrame, walk: DataFrame) -> DataFrame:

@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from cellweave.grid import inside, mirrored
 
 
-def along(cells: DataFrame, axis: str, side: int, low: int, high: int, over: Callable[[Window], dict[str, Column]]) -> DataFrame:
-    """New columns from windows of low cells before to high cells after along an axis (r or c) of `side` cells, edges reflected."""
+def along(cells: DataFrame, axis: str, side: int, low: int, high: int, over: Callable[[Window], dict[str, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """New columns from windows of low cells before to high cells after along an axis (r or c) of `side` cells, edges reflected. by names the keys of grids of equal size in one table."""
     other = "c" if axis == "r" else "r"
-    w = Window.partitionBy(other).orderBy(axis).rangeBetween(-low, high)
+    w = Window.partitionBy(*by, other).orderBy(axis).rangeBetween(-low, high)
     return inside(mirrored(cells, axis, side, low, high).withColumns(over(w)), axis, side)
 
 
-def separable(cells: DataFrame, v: str, out: str, sides: tuple[int, int], low: int, high: int, agg: Callable[[Column], Column]) -> DataFrame:
+def separable(cells: DataFrame, v: str, out: str, sides: tuple[int, int], low: int, high: int, agg: Callable[[Column], Column], by: Sequence[str] = ()) -> DataFrame:
     """agg over columns, then over rows; right for means, extremes and sums."""
-    a = along(cells, "c", sides[1], low, high, lambda w: {out: agg(F.col(v)).over(w)})
-    return along(a, "r", sides[0], low, high, lambda w: {out: agg(F.col(out)).over(w)})
+    a = along(cells, "c", sides[1], low, high, lambda w: {out: agg(F.col(v)).over(w)}, by)
+    return along(a, "r", sides[0], low, high, lambda w: {out: agg(F.col(out)).over(w)}, by)
 
 
 def odd(metres: float, res: float) -> int:
@@ -32,13 +32,13 @@ def odd(metres: float, res: float) -> int:
     return max(3, int(round(metres / res)) | 1)
 
 
-def box_mean(cells: DataFrame, v: str, out: str, sides: tuple[int, int], size: int) -> DataFrame:
+def box_mean(cells: DataFrame, v: str, out: str, sides: tuple[int, int], size: int, by: Sequence[str] = ()) -> DataFrame:
     """Mean over size x size cells; an even size reaches one cell further back than forward."""
-    return separable(cells, v, out, sides, size // 2, size - size // 2 - 1, F.avg)
+    return separable(cells, v, out, sides, size // 2, size - size // 2 - 1, F.avg, by)
 
 
-def box_max(cells: DataFrame, v: str, out: str, sides: tuple[int, int], size: int) -> DataFrame:
-    return separable(cells, v, out, sides, size // 2, size - size // 2 - 1, F.max)
+def box_max(cells: DataFrame, v: str, out: str, sides: tuple[int, int], size: int, by: Sequence[str] = ()) -> DataFrame:
+    return separable(cells, v, out, sides, size // 2, size - size // 2 - 1, F.max, by)
 
 
 def gauss_weights(sigma: float) -> list[float]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,11 +19,11 @@ NECK_M, OFF_BARRIER_M = 600.0, 20.0
 BUCKET = 64
 
 
-def constriction(cells: DataFrame, barrier: Column, res: float, sides: tuple[int, int], grid_res: float | None = None) -> DataFrame:
-    """(r, c, barrier, db, strength): db is the distance to the barrier, strength is above zero on ridges of narrow, pinched ground."""
-    d = euclidean(cells.select("r", "c", barrier.alias("barrier")), F.col("barrier"), "db", res)
-    d = box_max(d, "db", "_top", sides, max(3, int(round(3 * (grid_res or res) / res)) | 1))
-    d = box_mean(d, "db", "_mean", sides, odd(600, res))
+def constriction(cells: DataFrame, barrier: Column, res: float, sides: tuple[int, int], grid_res: float | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """(.., r, c, barrier, db, strength): db is the distance to the barrier, strength is above zero on ridges of narrow, pinched ground. by names the keys of grids of equal size in one table; grid_res is what a cell of the working grid measures."""
+    d = euclidean(cells.select(*by, "r", "c", barrier.alias("barrier")), F.col("barrier"), "db", res, by)
+    d = box_max(d, "db", "_top", sides, max(3, int(round(3 * (grid_res or res) / res)) | 1), by)
+    d = box_mean(d, "db", "_mean", sides, odd(600, res), by)
     ridge = (F.col("db") >= F.col("_top") - 1e-6) & ~F.col("barrier") & (F.col("db") > max(res, OFF_BARRIER_M)) & (2 * F.col("db") < NECK_M)
     return d.withColumn("strength", F.when(ridge, funnel_strength(F.col("db"), F.col("_mean"))).otherwise(0.0)).drop("_top", "_mean")
 

@@ -7,6 +7,8 @@ than a tile.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,10 +22,10 @@ TILE = 64
 ROWS = 16
 
 
-def _down(cells: DataFrame, seed: Column) -> DataFrame:
+def _down(cells: DataFrame, seed: Column, by: Sequence[str] = ()) -> DataFrame:
     """_g: cells to the nearest seed in the same column of the grid."""
-    up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
+    up = Window.partitionBy(*by, "c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "c").orderBy("r").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(seed, F.col("r"))
     marked = cells.withColumn("_a", F.max(at).over(up)).withColumn("_b", F.min(at).over(down))
     return marked.withColumn("_g", F.least(F.col("r") - F.col("_a"), F.col("_b") - F.col("r"))).drop("_a", "_b")
@@ -80,7 +82,7 @@ def envelope(g2: np.ndarray) -> np.ndarray:
     return (np.arange(n) - j) ** 2 + g2[j]
 
 
-def _rows(key, t: pa.Table) -> pa.Table:
+def _rows(key, t: pa.Table, by: Sequence[str] = ()) -> pa.Table:
     r, c, g = (t.column(x).to_numpy(zero_copy_only=False).astype(float) for x in ("r", "c", "_g"))
     out_r, out_c, out_d = [], [], []
     for row in np.unique(r):
@@ -93,14 +95,16 @@ def _rows(key, t: pa.Table) -> pa.Table:
         out_c.append(c[at])
         out_d.append(envelope(g2)[(c[at] - low).astype(int)])
     d = np.concatenate(out_d)
-    return pa.table({"r": pa.array(np.concatenate(out_r).astype(np.int32)), "c": pa.array(np.concatenate(out_c).astype(np.int32)), "_d2": pa.array(d, mask=~np.isfinite(d))})
+    named = {name: pa.array([k.as_py()] * len(d), k.type) for name, k in zip(by, key)}
+    return pa.table(named | {"r": pa.array(np.concatenate(out_r).astype(np.int32)), "c": pa.array(np.concatenate(out_c).astype(np.int32)), "_d2": pa.array(d, mask=~np.isfinite(d))})
 
 
-def euclidean(cells: DataFrame, seed: Column, out: str, res: float = 1.0) -> DataFrame:
-    """Exact distance to the centre of the nearest seed cell; FAR without seeds."""
-    g = _down(cells.select("r", "c", seed.alias("_s")), F.col("_s")).select("r", "c", "_g")
-    d = g.groupBy(F.expr(f"r div {ROWS}").alias("_rows")).applyInArrow(lambda key, t: _rows(key, t), "r int, c int, _d2 double")
-    return cells.join(d.withColumn(out, F.coalesce(F.sqrt("_d2") * res, F.lit(FAR))).drop("_d2"), ["r", "c"])
+def euclidean(cells: DataFrame, seed: Column, out: str, res: float = 1.0, by: Sequence[str] = ()) -> DataFrame:
+    """Exact distance to the centre of the nearest seed cell, of the same grid where by names keys of grids; FAR without seeds."""
+    g = _down(cells.select(*by, "r", "c", seed.alias("_s")), F.col("_s"), by).select(*by, "r", "c", "_g")
+    keys = "".join(f"{name} {kind}, " for name, kind in g.select(*by).dtypes) if by else ""
+    d = g.groupBy(*by, F.expr(f"r div {ROWS}").alias("_rows")).applyInArrow(lambda key, t: _rows(key, t, by), f"{keys}r int, c int, _d2 double")
+    return cells.join(d.withColumn(out, F.coalesce(F.sqrt("_d2") * res, F.lit(FAR))).drop("_d2"), [*by, "r", "c"])
 
 
 def _label(key, t: pa.Table) -> pa.Table:

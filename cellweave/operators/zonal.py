@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,6 +75,62 @@ def running_sum(df: DataFrame, v: str, order: Sequence[Column | str], out: str)
     return _ranged(df, order, F.coalesce(F.sum(v), F.lit(0))).withColumn(out, F.coalesce(here, F.lit(0)) + F.col("_before")).drop("_p", "_before")
 
 
+#: Rows that one task and the driver may hold in order, and buckets of one histogram.
+IN_ORDER, BUCKETS = 1 << 16, 4096
+
+
+def nth_value(df: DataFrame, v: str, n: int) -> tuple[float, int]:
+    """(value, rows below it) of the n-th smallest of a numeric column without nulls, from 1: a histogram is refined until few values are left in its bucket. No row is ranked or moved."""
+    low, high = df.agg(F.min(v), F.max(v)).head()
+    below, x = 0, F.col(v)
+    while True:
+        left = df.where((x >= F.lit(low)) & (x <= F.lit(high)))
+        step = (float(high) - float(low)) / BUCKETS
+        if low == high or step == 0.0 or not math.isfinite(step):
+            values = left.groupBy(v).count()
+        else:
+            bucket = F.least(F.lit(BUCKETS - 1), F.floor((x.cast("double") - F.lit(float(low))) / F.lit(step)))
+            counts = left.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).orderBy("b").collect()  # BUCKETS rows
+            for row in counts:
+                if below + row.n >= n:
+                    break
+                below += row.n
+            if row.low == row.high:
+                return row.low, below
+            if row.n > IN_ORDER and (row.low, row.high) != (low, high):
+                low, high = row.low, row.high
+                continue
+            values = left.where((x >= F.lit(row.low)) & (x <= F.lit(row.high))).groupBy(v).count()
+        for value, count in values.orderBy(v).toLocalIterator():
+            if below + count >= n:
+                return value, below
+            below += count
+
+
+def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """The first n rows of df in an order of columns (ascending, without nulls, no ties over all of them), in no order themselves.
+
+    Up to IN_ORDER rows each task keeps its own first n and they are merged. Beyond, the n-th row's values are found column by column
+    by refining histograms, and the rows up to them are filtered where they are.
+    """
+    if n <= 0:
+        return df.where("false")
+    if n <= IN_ORDER:
+        return df.orderBy(*order).limit(n)
+    kinds = dict(df.dtypes)
+    order = [f"{c}.{f.name}" if kinds[c].startswith("struct") else c for c in order for f in (df.schema[c].dataType.fields if kinds[c].startswith("struct") else [None])]
+    flat = df.select("*", *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)])
+    total = df.count()
+    if n >= total:
+        return df
+    rest, keep, equal = n, F.lit(False), F.lit(True)
+    for i in range(len(order)):
+        value, below = nth_value(flat.where(equal), f"_k{i}", rest)
+        keep = keep | (equal & (F.col(f"_k{i}") < F.lit(value)))
+        equal, rest = equal & (F.col(f"_k{i}") == F.lit(value)), rest - below
+    return flat.where(keep | equal).drop(*[f"_k{i}" for i in range(len(order))])
+
+
 def spearman(df: DataFrame, a: str, b: str, tie: Sequence[str]) -> DataFrame:
     """(rho, n): rank correlation with ties broken by position."""
     ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, *tie)

@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 from cellweave.core import query
 from cellweave.grid import CELLS_SQL, demo_cells
 from cellweave.operators import cost as K
+from cellweave.operators.scan import Tracks, smoothed
 
 _OFF = "o AS (SELECT * FROM (VALUES (0,1,1.0),(1,0,1.0),(0,-1,1.0),(-1,0,1.0),(1,1,sqrt(2)),(1,-1,sqrt(2)),(-1,1,sqrt(2)),(-1,-1,sqrt(2))) t(dr,dc,l))"
 
 
 def field_sql(name: str, cost: str, seed: str, where: str = "TRUE") -> str:
     """CTEs: name(id, dist), least cost from the seeds; 1e300 where no route leads."""
-    return f"""{name}_m AS (SELECT CAST(r AS BIGINT) * w + c AS id, r, c, CAST({cost} AS DOUBLE) AS cost, {seed} AS seed FROM cells, g WHERE {where}),
-{name}_e AS (SELECT a.id AS a, b.id AS b, l * (a.cost + b.cost) / 2 AS len FROM {name}_m a, o JOIN {name}_m b ON b.r = a.r + dr AND b.c = a.c + dc),
+    return f"""{name}_m AS MATERIALIZED (SELECT CAST(r AS BIGINT) * w + c AS id, r, c, CAST({cost} AS DOUBLE) AS cost, {seed} AS seed FROM cells, g WHERE {where}),
+{name}_e AS MATERIALIZED (SELECT a.id AS a, b.id AS b, l * (a.cost + b.cost) / 2 AS len FROM {name}_m a, o JOIN {name}_m b ON b.r = a.r + dr AND b.c = a.c + dc),
 {name}(id, dist) USING KEY (id) AS (SELECT id, CASE WHEN seed THEN 0.0 ELSE 1e300 END::DOUBLE FROM {name}_m UNION SELECT e.b, min({name}.dist + e.len) FROM {name} JOIN {name}_e e ON {name}.id = e.a JOIN recurring.{name} x ON x.id = e.b WHERE {name}.dist < 1e299 AND {name}.dist + e.len < x.dist - 1e-9 GROUP BY e.b)"""
 
 
@@ -74,22 +75,18 @@ s(user_id, i, v) AS (SELECT user_id, i, o FROM e WHERE i = 1 UNION ALL SELECT e.
 
 
 def smoothed_runs(spark, sf_dir):
-    """(user_id, i, on): a track per user with single-cell flicker taken out from front to back."""
+    """Tracks of users: events in order with the state `on` of each, single-cell flicker taken out from front to back."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     on = (F.get_json_object("props", "$.k").cast("int") < 50).cast("int")
-    track = e.select("user_id", "event_id", on.alias("o")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "o"))).alias("t"))
-    fold = """aggregate(sequence(2, greatest(size(t), 2)), array(t[0].o), (acc, i) -> CASE WHEN i > size(t) THEN acc
-      WHEN i < size(t) AND element_at(acc, -1) = t[i].o AND element_at(acc, -1) <> t[i - 1].o THEN array_append(acc, element_at(acc, -1)) ELSE array_append(acc, t[i - 1].o) END)"""
-    return track.select("user_id", F.posexplode(F.expr(fold)).alias("i", "on"))
+    return smoothed(Tracks(e.select("user_id", "event_id", on.alias("o")), ["user_id"], ["event_id"]), "o", "on")
 
 
 @query(f"""WITH RECURSIVE {_SMOOTH}, b AS (SELECT user_id, i, v, CASE WHEN lag(v) OVER (PARTITION BY user_id ORDER BY i) = v THEN 0 ELSE 1 END AS cut FROM s), r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY i) AS run FROM b)
 SELECT user_id, CAST(run AS BIGINT) AS run, CASE WHEN max(v) = 1 THEN 'trail' ELSE 'bush' END AS mode, count(*) AS cells FROM r GROUP BY user_id, run""")
 def leg_runs(spark, sf_dir):
     """Runs of trail and bush along tracks, flicker of one cell smoothed."""
-    w = Window.partitionBy("user_id").orderBy("i")
-    s = smoothed_runs(spark, sf_dir)
-    s = s.withColumn("cut", F.when(F.lag("on").over(w) == F.col("on"), 0).otherwise(1)).withColumn("run", F.sum("cut").over(w))
+    s = smoothed_runs(spark, sf_dir).beside(before=("on", -1))
+    s = s.running(F.when(F.col("before") == F.col("on"), 0).otherwise(1), "run").rows
     return s.groupBy("user_id", "run").agg(F.when(F.max("on") == 1, "trail").otherwise("bush").alias("mode"), F.count(F.lit(1)).alias("cells"))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellweave.core import query
+from cellweave.core import materialize, query
 from cellweave.grid import CELLS_SQL, demo_cells
 from cellweave.operators import zonal as Z
 from cellweave.queries.layers import LAYERS_SQL, layers
@@ -124,23 +124,25 @@ n AS (SELECT count(*) // 10 AS n FROM t), m AS (SELECT avg(elev) FILTER (WHERE i
 SELECT round(model, 9) AS model, round(random, 9) AS random, round(oracle, 9) AS oracle, round((model - random) / (oracle - random), 9) AS capture, round(overlap_road, 9) AS overlap_road, (model - random) / (oracle - random) >= 0.25 AS concentrates, overlap_road < 0.75 AS beats_road FROM m""")
 def null_model_capture(spark, sf_dir):
     """How much of what the surface can tell apart ends up in the selected ground, against as many random, best and near-road cells."""
-    df = layers(spark, sf_dir)[0].where("cls <> 80")
-    order = {"i_model": [F.desc("browse"), F.desc("elev"), "r", "c"], "i_rand": [F.expr(_RAND), "r", "c"], "i_best": [F.desc("elev"), "r", "c"], "i_road": ["d_road", "r", "c"]}
-    t = df.select("r", "c", "elev", "browse", "d_road")
-    for k, v in order.items():
-        t = Z.global_rank(t, v, k)
-    t = t.crossJoin(F.broadcast(df.agg(F.expr("count(*) div 10").alias("n"))))  # one row
-    mean = lambda k: F.avg(F.when(F.col(k) <= F.col("n"), F.col("elev")))
-    m = t.agg(mean("i_model").alias("model"), mean("i_rand").alias("random"), mean("i_best").alias("oracle"), (F.sum(F.when((F.col("i_model") <= F.col("n")) & (F.col("i_road") <= F.col("n")), 1).otherwise(0)) / F.max("n")).alias("o"))
+    df = materialize(layers(spark, sf_dir)[0].where("cls <> 80").select("r", "c", "elev", "browse", "d_road", (-F.col("elev")).alias("low"), (-F.col("browse")).alias("poor"), F.expr(_RAND).alias("rand")), "pool")
+    n = df.count() // 10
+    chosen = {"model": ["poor", "low", "r", "c"], "random": ["rand", "r", "c"], "oracle": ["low", "r", "c"]}
+    first = {k: Z.first_n(df, order, n) for k, order in chosen.items()}
+    m = None
+    for k, ground in first.items():
+        one = ground.agg(F.avg("elev").alias(k))
+        m = one if m is None else m.crossJoin(one)  # one row each
+    both = first["model"].join(Z.first_n(df, ["d_road", "r", "c"], n).select("r", "c"), ["r", "c"], "left_semi")
+    m = m.crossJoin(both.agg((F.count(F.lit(1)) / F.lit(n)).alias("o")))
     cap = (F.col("model") - F.col("random")) / (F.col("oracle") - F.col("random"))
     return m.select(r9(F.col("model"), "model"), r9(F.col("random"), "random"), r9(F.col("oracle"), "oracle"), r9(cap, "capture"), r9(F.col("o"), "overlap_road"), (cap >= 0.25).alias("concentrates"), (F.col("o") < 0.75).alias("beats_road"))
 
 
 @query(f"{L} SELECT CAST(CASE WHEN GROUPING(zone) = 0 THEN zone END AS BIGINT) AS site, CAST(CASE WHEN GROUPING(d) = 0 THEN d END AS VARCHAR) AS window_day, count(*) AS n, round(max(browse), 9) AS best, round(sum(elev), 4) AS total FROM l GROUP BY GROUPING SETS ((zone), (d))")
 def site_window_rollup(spark, sf_dir):
-    df, _ = layers(spark, sf_dir)
-    df.createOrReplaceTempView("cw_rollup")
-    return spark.sql("SELECT zone AS site, cast(d as string) AS window_day, count(*) AS n, round(max(browse), 9) AS best, round(sum(elev), 4) AS total FROM cw_rollup GROUP BY GROUPING SETS ((zone), (d))")
+    df = layers(spark, sf_dir)[0].select("*", F.col("zone").alias("site"), F.col("d").cast("string").alias("window_day"))
+    sets = df.groupingSets([[F.col("site")], [F.col("window_day")]], F.col("site"), F.col("window_day"))
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.max("browse"), 9).alias("best"), F.round(F.sum("elev"), 4).alias("total"))
 
 
 @query(f"{C} SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, arg_max(CAST(r AS BIGINT) * 100000 + c, elev * 1e6 - r - c / 1e5) AS best_cell, round(avg(CASE WHEN cls IN (80, 90) THEN 1.0 ELSE 0.0 END), 9) AS barrier_share, count(DISTINCT zone) AS zones FROM cells")
