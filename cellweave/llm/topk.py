@@ -13,17 +13,20 @@ memory at a time. A block goes to several tasks only as far as the cluster would
 TASK_QUERIES. Each meeting leaves at most k rows a query; a task keeps the best k of its own before they move, and the rest is
 ranked per query.
 
-Defined results: vectors null or with null or non-finite components, or with a null vec_id, take no part; nor do vectors with a
-component of |scale * x| >= 2**24, whose scores might leave 64 bits; rows with the query's vec_id are not its candidates; vectors of
-another length than the query's are padded with zeros, and any length up to 16384 is taken; repeated vec_ids each count; an empty
-table gives no rows; columns other than vec_id and embedding, whatever their names, do not matter.
+Slices and sums have as many digits as they need, so that the choice is exact for any integers. Scores are 64-bit integers: one among
+the chosen that is not ends the job with an error, as does a component that is no 64-bit integer once it is quantised.
+
+Defined results: vectors null or with null or non-finite components, or with a null vec_id, take no part; rows with the query's
+vec_id are not its candidates; vectors of another length than the query's are padded with zeros, and any length is taken (blocks hold
+fewer rows then); repeated vec_ids each count; an empty table gives no rows; columns other than vec_id and embedding, whatever their
+names, do not matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import materialize, parts, small_batches
@@ -34,8 +37,8 @@ BLOCK_VALUES = 1 << 23
 #: Queries that travel together, and that one task lets pass a block at most.
 QUERY_ROWS = 512
 TASK_QUERIES = 1 << 16
-#: Quantised components stay below this.
-LARGEST = 1 << 24
+#: Quantised components and scores are 64-bit integers.
+LARGEST = 1 << 63
 
 
 class BitSlices:
@@ -143,11 +146,17 @@ class BitSlices:
         at = _positions(sure)
         if have < k:
             at = np.concatenate([at, _positions(live, k - have)])  # tied at the boundary: smaller vec_ids first
-        score = np.full(len(at), self.base, np.int64)
         word, bit = at >> 6, (at & 63).astype(np.uint64)
-        for w, s in enumerate(sums):
-            score += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-        return self.ids[at], score
+        digits = [((s[word] >> bit) & np.uint64(1)).astype(np.int64) for s in sums]
+        if len(sums) < 62 and -self.base < 1 << 62:
+            score = np.full(len(at), self.base, np.int64)
+            for w, d in enumerate(digits):
+                score += d << w
+            return self.ids[at], score
+        exact = [self.base + sum(int(d[i]) << w for w, d in enumerate(digits)) for i in range(len(at))]
+        if any(not -LARGEST <= x < LARGEST for x in exact):
+            raise OverflowError("a score among the best is no 64-bit integer")
+        return self.ids[at], np.array(exact, np.int64)
 
 
 def _positions(bitmap: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -190,7 +199,7 @@ def _sliced(key, table):
 def _asked(key, table):
     """A group of queries as one row with their values."""
     ids, values = _gathered(table)
-    return _row(key, ids, b"", values.astype("<i4").tobytes())
+    return _row(key, ids, b"", values.astype("<i8").tobytes())
 
 
 def _meet(k: int):
@@ -205,7 +214,7 @@ def _meet(k: int):
                     index = BitSlices.from_bytes(rows, digits, data)
                     continue
                 out = []
-                for q, vec in zip(rows.tolist(), np.frombuffer(data, "<i4").reshape(len(rows), -1).astype(np.int64)):
+                for q, vec in zip(rows.tolist(), np.frombuffer(data, "<i8").reshape(len(rows), -1)):
                     a, b = np.searchsorted(index.ids, q, "left"), np.searchsorted(index.ids, q, "right")
                     found, score = index.top(vec, k, np.arange(a, b) if b > a else None)
                     out.append((np.full(len(found), q), found, score))
@@ -216,20 +225,25 @@ def _meet(k: int):
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
     """(vec_id, v): integer vectors floor(scale * x); rows without a sound vector are left out."""
-    fits = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * F.lit(scale)) < float(LARGEST))
-    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", fits)
-    return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))
+    sound = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall("embedding", finite)
+
+    def digit(x: Column) -> Column:
+        v = F.lit(scale) * x.cast("double")
+        return F.when((v >= -float(LARGEST)) & (v < float(LARGEST)), F.floor(v)).otherwise(F.raise_error(F.lit("a quantised component is no 64-bit integer")).cast("long"))
+
+    return vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", digit).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score) for vectors and queries (vec_id, v: array of long below LARGEST)."""
+    """(query_id, rank, vec_id, score) for vectors and queries (vec_id, v: array of long)."""
     spark = vectors.sparkSession
     small_batches(spark)
     vectors = materialize(vectors, "vectors")
     total, wide = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).head()
     asked, n = queries.count(), parts(spark)
-    block_rows = min(block_rows, max(1024, BLOCK_VALUES // max(1, wide or 1)))
-    blocks, groups = max(1, -(-total // block_rows)), max(1, -(-asked // QUERY_ROWS))
+    fit = max(1, BLOCK_VALUES // max(1, wide or 1))
+    blocks, groups = max(1, -(-total // min(block_rows, fit))), max(1, -(-asked // min(QUERY_ROWS, fit)))
     ways = max(1, -(-asked // TASK_QUERIES), min(-(-n // blocks), groups))  # tasks that a block's slices go to
     number = lambda df, m: df.withColumn("block", F.pmod(F.monotonically_increasing_id() + F.spark_partition_id(), F.lit(m)))
     index = materialize(number(vectors, blocks).groupBy("block").applyInArrow(_sliced, _PACKED), "slices")

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from cellweave.llm import mixing, topk
 
@@ -78,7 +79,7 @@ def test_rounding_is_unbiased(spark):
 
 
 def brute(rows, k):
-    fits = lambda v: v is not None and all(x is not None and abs(64 * x) < 1 << 24 for x in v)
+    fits = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v)
     sound = [(i, np.floor(64 * np.array([float(np.float32(x)) for x in v])).astype(int)) for i, v in rows if i is not None and fits(v)]
     out = []
     for q, qv in sound:
@@ -94,7 +95,7 @@ def test_top_k(spark, monkeypatch):
     rows = [(i, rng.normal(0, 0.12, 16).tolist()) for i in range(400)]
     rows += [(i, [0.25] * 16) for i in range(400, 480)] + [(i, [0.0] * 16) for i in range(480, 485)]
     rows += [(500, None), (501, [None] + [0.1] * 15), (502, [float("nan")] * 16), (503, [float("inf")] + [0.0] * 15), (None, [0.1] * 16), (7, [0.5] * 16), (520, [-1.0, 1.0]), (521, [])]
-    rows += [(540, [1e30] * 16), (541, [-3e38] + [0.0] * 15), (560, [262143.98] * 16), (561, [-262143.9] * 16), (562, [262144.0] * 16)]
+    rows += [(560, [262143.98] * 16), (561, [-262143.9] * 16), (562, [262144.0] * 16), (563, [3e5] + [-3e5] * 15), (564, [-1e6, 5.0]), (580, [1e9] + [0.0] * 15), (581, [-1e8] * 3)]
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, score int")
     v = topk.quantised(df)
     for block, group in ((1 << 16, 512), (100, 512), (100, 3)):
@@ -108,6 +109,21 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(none, none, 20).count() == 0
 
 
+def test_large_integers_are_exact_or_an_error(spark):
+    index = topk.BitSlices.build(np.arange(3), np.array([[2**40, -(2**62)], [-(2**40), 2**62 - 1], [2**63 - 1, -(2**63)]]))
+    ids, score = index.top(np.array([2, 1]), 2, np.array([2]))
+    assert dict(zip(ids.tolist(), score.tolist())) == {0: 2**41 - 2**62, 1: 2**62 - 1 - 2**41}
+    ids, score = index.top(np.array([1, 1]), 3)
+    assert dict(zip(ids.tolist(), score.tolist())) == {0: 2**40 - 2**62, 1: 2**62 - 1 - 2**40, 2: -1}
+    with pytest.raises(OverflowError):
+        index.top(np.array([2**20, 1]), 1)
+    with pytest.raises(Exception, match="64-bit"):
+        topk.quantised(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>")).collect()
+    wide = spark.createDataFrame([(i, [float(i)] * 20_000) for i in (0, 1, 2)], "vec_id long, embedding array<double>")
+    v = topk.quantised(wide)
+    assert [r.score for r in topk.top_k(v, v.where("vec_id = 1"), 5).orderBy("rank").collect()] == [2 * 64 * 64 * 20_000, 0]
+
+
 def test_slices_select_ties_by_id():
     rng = np.random.default_rng(1)
     for n in (1, 63, 64, 65, 500):
