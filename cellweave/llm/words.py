@@ -3,6 +3,10 @@
 Such a tokenizer never lets a token cross white space, so that the ids of a text are those of its words in order. The library
 encodes the distinct words, many at a time with a special token between them, at whose id the result is cut again. Whether a
 tokenizer is of this kind is checked when it is loaded; texts of other tokenizers go to the library whole.
+
+If it also marks the last token of a word, takes letters and the marks behind them apart and ASCII letters of both cases alike (all
+checked when it is loaded), words of letters are encoded in lower case with single blanks between them and cut behind the last tokens
+of words; where their number is not the number of words, these words are encoded in the first way.
 """
 
 from __future__ import annotations
@@ -10,6 +14,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
+import unicodedata
 
 import numpy as np
 
@@ -39,6 +45,12 @@ class WordEncoder:
         special = [t for t in spec["added_tokens"] if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.sep, self.sep_id = (special[-1]["content"], special[-1]["id"]) if special and len(special) == len(spec["added_tokens"]) else (None, None)
         self.safe = self.sep is not None and not re.search(r"\s", "".join(t["content"] for t in special)) and self._drops_blanks(spec)
+        suffix = spec["model"].get("end_of_word_suffix") if self.safe else None
+        self.is_last = np.zeros(self.vocab, bool)
+        if suffix:
+            self.is_last[[i for token, i in self.tok.get_vocab().items() if token.endswith(suffix)]] = True
+        self.apart = bool(suffix) and not spec["model"].get("continuing_subword_prefix") and self._takes_marks_apart()
+        self.stays: dict[str, bool] = {}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -57,6 +69,14 @@ class WordEncoder:
         words = ["ab", "'s", "x1,", "...", "\u00e9t\u00e9", "\u0301a", self.sep]
         return all(ids(f"{a}{b}{c}") == ids(a) + ids(c) for a in words for c in words for b in " \t\n\x0b\x0c\r")
 
+    def _takes_marks_apart(self) -> bool:
+        """Letters, then marks, give the ids of the letters, then those of the marks; ASCII letters give the same in both cases."""
+        ids = lambda s: self.tok.encode(s, add_special_tokens=False).ids
+        marks = [*string.punctuation, *(a + b for a in string.punctuation for b in string.punctuation)]
+        if any(ids(f"ab{m}") != ids("ab") + ids(m) or ids(f"\u00e9{m}") != ids("\u00e9") + ids(m) for m in marks):
+            return False
+        return all(ids(w.upper()) == ids(w) == ids(w.capitalize()) for w in (*string.ascii_lowercase, string.ascii_lowercase, "the", "words"))
+
     def split(self, text: str) -> list[str]:
         if not self.safe:
             return [text] if text else []
@@ -86,6 +106,26 @@ class WordEncoder:
             out[i] = np.array(e.ids, self.type).tobytes()
         return out
 
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of each word of letters only."""
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        out: list[bytes] = []
+        for group, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.is_last[ids]) + 1
+            if len(ends) != len(group) or (len(ids) and ends[-1] != len(ids)):  # each word has one last token at least, so equal numbers mean one each
+                out += self.encode_many(group)
+                continue
+            data, bounds = ids.astype(self.type).tobytes(), (ends * self.type.itemsize).tolist()
+            out += [data[a:b] for a, b in zip([0, *bounds], bounds)]
+        return out
+
+    def _stays_letter(self, char: str) -> bool:
+        """Whether a letter ends in a letter when it is normalised; marks behind it would join a mark."""
+        if char not in self.stays:
+            self.stays[char] = unicodedata.normalize("NFC", unicodedata.normalize("NFC", char).lower())[-1].isalpha()
+        return self.stays[char]
+
     def learn(self, words: set[str]) -> None:
         """After this, known has these words. What it had before moves to the older generation when it grows too large, and comes back when met again."""
         if len(self.known) > REMEMBER:
@@ -96,8 +136,27 @@ class WordEncoder:
             again = new.intersection(older)
             self.known.update((w, older[w]) for w in again)
             new = new.difference(again)
-        new = list(new)
-        self.known.update(zip(new, self.encode_many(new)))
+        letters = [w for w in new if w.isalpha()] if self.apart else []
+        rest = list(new.difference(letters)) if letters else list(new)
+        self.known.update(zip(letters, self._letters(letters)))
+        self.known.update(zip(rest, self.encode_many(rest)))
+
+    def codes(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word. What is remembered are letters in lower case and the marks behind them, where the tokenizer takes them apart."""
+        if not self.apart:
+            self.learn(words)
+            return self.known
+        marks, stems, tails = string.punctuation, [], []
+        for w in words:
+            stem = w if w.isalpha() else w.rstrip(marks)
+            apart = stem.isalpha() and (stem is w or stem[-1].isascii() or self._stays_letter(stem[-1]))
+            stems.append((stem.lower() if stem.isascii() else stem) if apart else w)
+            tails.append(w[len(stem) :] if apart else "")
+        self.learn({*stems, *tails} - {""})
+        known = self.known
+        known[""] = b""
+        code = known.__getitem__
+        return dict(zip(words, map(bytes.__add__, map(code, stems), map(code, tails))))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each whole text, through the words known; what is held is bounded by groups of a few MB."""
@@ -114,8 +173,7 @@ class WordEncoder:
         words: set[str] = set()
         for g in group:
             words.update(g)
-        self.learn(words)
-        get = self.known.__getitem__
+        get = self.codes(words).__getitem__
         return [b"".join(map(get, g)) for g in group]
 
     def ids(self, data: bytes) -> np.ndarray:

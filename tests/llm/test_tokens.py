@@ -201,3 +201,24 @@ def test_long_parts_are_split_between_safe_characters(monkeypatch):
     huge = "".join(rng.choice(alphabets[1] + alphabets[2]) for _ in range(3_000_000))
     monkeypatch.setattr(tokens, "LONG", 2000)
     assert c.counts([huge]) == [len(c.sp.encode(huge))]
+
+
+def test_words_in_letters_and_marks():
+    """Ids through letters and marks are the library's, for words of all kinds and after the memory was emptied."""
+    import random
+
+    from cellweave.llm import words
+
+    enc = words.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert enc.safe and enc.apart
+    rng = random.Random(3)
+    odd = ["don't", "DON'T", "it's,", "x1,", "A", "ÉTÉ!", "İstanbul", "ΣΣ", "가", "é", "ª", "ǅx", "Ⅰ", "中文.", "a,b", "'s", "''", "...", "a_b", "_", "ab_", "́a", "<|endoftext|>", "ﬁn.", "ß", "ẞ", "K", "ſ", "\U00010400\U00010428", "กำ", "क्ष", "क़", "क़.", "יִ,", "İ'", "ǰ.", "ŉ!", "ﬃ-"]
+    alphabet = "abcXYZéÉß1.,'!-_́Σİ"
+    texts = [" ".join(rng.choice(odd) if rng.random() < 0.3 else "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 7))) for _ in range(60)) for _ in range(120)]
+    want = [np.array(e.ids, enc.type).tobytes() for e in enc.tok.encode_batch(texts, add_special_tokens=False)]
+    assert enc.encode(texts) == want
+    keep, words.REMEMBER = words.REMEMBER, 50
+    try:
+        assert [x for t in texts for x in enc.encode([t])] == want
+    finally:
+        words.REMEMBER = keep
