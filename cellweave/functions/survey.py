@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -48,11 +50,17 @@ def class_constant(stand: Column, classes: Mapping[str, Mapping[str, float]], fi
     return lookup({k: min(1.0, max(0.0, float(fallback[k] if v is None else v))) for k, v in table.items()}, stand)
 
 
+# How forest road classes begin by what the road is built for, and words of the public classes.
+ROAD_CLASSES, TRACK_CLASSES = ("CL1", "CL2", "CL3", "01", "02", "03"), ("CL4", "CL5", "04", "05")
+ARTERY_WORDS, COLLECTOR, LOCAL = ("autoroute", "nationale", "régionale", "regionale"), "collectrice", "locale"
+
+
 def official_road(forest_class: Column, route_class: Column) -> Column:
     """artery, road or track of the official network: the public class where it says so, then what the forest road is built for."""
     cf, cls = F.upper(F.coalesce(forest_class, F.lit(""))), F.lower(F.coalesce(route_class, F.lit("")))
-    built = lambda *grades: cf.rlike(f"^(CL|0)[{''.join(grades)}]")
-    return F.when(cls.rlike("autoroute|nationale|r[ée]gionale"), "artery").when(cls.contains("collectrice") | built("1", "2", "3"), "road").when(built("4", "5"), "track").when(cls.contains("locale"), "road").otherwise("track")
+    begins = lambda prefixes: functools.reduce(operator.or_, [cf.startswith(p) for p in prefixes])
+    artery = functools.reduce(operator.or_, [cls.contains(word) for word in ARTERY_WORDS])
+    return F.when(artery, "artery").when(cls.contains(COLLECTOR) | begins(ROAD_CLASSES), "road").when(begins(TRACK_CLASSES), "track").when(cls.contains(LOCAL), "road").otherwise("track")
 
 
 def waterway(kind: Column) -> tuple[Column, Column]:

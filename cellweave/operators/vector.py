@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweave.core import materialize
+from cellweave.core import Steps, materialize
 from cellweave.functions.geo import in_ring
 from cellweave.operators.graph import components
+from cellweave.operators.scan import Tracks
 
 
 def ring_box(ring: Column) -> list[Column]:
@@ -34,9 +35,12 @@ def box_buckets(x0: Column, y0: Column, x1: Column, y1: Column, size: float) ->
 def point_in_ring(points: DataFrame, rings: DataFrame, size: float) -> DataFrame:
     """points (x, y, ..) with the rings (ring, ..) that hold them."""
     x0, y0, x1, y1 = ring_box(F.col("ring"))
-    keyed = rings.withColumn("b", F.explode(box_buckets(x0, y0, x1, y1, size))).select("*", F.col("b.bx").alias("_bx"), F.col("b.by").alias("_by")).drop("b")
+    rings = materialize(rings.withColumns({"_ring": F.monotonically_increasing_id(), "_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1}), "boxes")
+    box = ["_x0", "_y0", "_x1", "_y1"]
+    keyed = rings.select("_ring", *box, F.explode(box_buckets(*map(F.col, box), size)).alias("b")).select("_ring", *box, F.col("b.bx").alias("_bx"), F.col("b.by").alias("_by"))
     at = points.withColumns({"_bx": F.floor(F.col("x") / size), "_by": F.floor(F.col("y") / size)})
-    return at.join(keyed, ["_bx", "_by"]).where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_bx", "_by")
+    near = at.join(keyed, ["_bx", "_by"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))).drop("_bx", "_by", *box)
+    return near.join(rings.drop(*box), "_ring").where(in_ring(F.col("x"), F.col("y"), F.col("ring"))).drop("_ring")  # rings themselves travel once
 
 
 def rasterise(rings: DataFrame, x0: float, y0: float, res: float, w: int, h: int, tile: int = 32) -> DataFrame:
@@ -155,39 +159,85 @@ def boundary_edges(cells: DataFrame, by: str) -> DataFrame:
     return edge.join(inner, (edge[by] == inner._by) & (edge.nr == inner._r) & (edge.nc == inner._c), "left_anti").select(by, "r1", "c1", "r2", "c2")
 
 
-def _stitch(key, t: pa.Table, by: str) -> pa.Table:
-    follow: dict[tuple, list] = {}
+#: Headings east, south, west and north; a right turn is the next one. The cell lies to the right of its edges.
+_HEADINGS = ((0, 1), (1, 0), (0, -1), (-1, 0))
+RING_TILE = 64
+
+
+def _chains(key, t: pa.Table, by: str, side: int) -> pa.Table:
+    """The boundary of a label within a tile (edges belong to the tile of their first corner) as chains: closed rings, or stretches that end where an edge leaves the tile.
+
+    At a pinch point, where two of the label's cells meet by a corner, a chain turns right, so that it stays with its own cells.
+    """
+    tr, tc = key[1].as_py() * side, key[2].as_py() * side
+    outs: dict[tuple, list[int]] = {}
     for a, b, e, f in zip(*(t.column(x).to_pylist() for x in ("r1", "c1", "r2", "c2"))):
-        follow.setdefault((a, b), []).append((e, f))
-    rings = []
-    for start in sorted(follow):
-        while follow.get(start):
-            ring, here, heading = [start], follow[start].pop(), None
-            before = start
-            while here != start:
-                ring.append(here)
-                options = follow[here]
-                if len(options) > 1:  # at a pinch point turn right, so that the ring stays with its own cells
-                    d = (here[0] - before[0], here[1] - before[1])
-                    right = (d[1], -d[0])
-                    heading = (here[0] + right[0], here[1] + right[1])
-                    nxt = heading if heading in options else options[0]
-                    options.remove(nxt)
-                else:
-                    nxt = options.pop()
-                before, here = here, nxt
-            turns = [p for i, p in enumerate(ring) if (ring[i - 1][0] - p[0], ring[i - 1][1] - p[1]) != (p[0] - ring[(i + 1) % len(ring)][0], p[1] - ring[(i + 1) % len(ring)][1])]
-            rings.append(turns + turns[:1])
-    area = [sum(p[1] * q[0] - q[1] * p[0] for p, q in zip(r, r[1:])) / 2 for r in rings]
-    return pa.table({
-        by: pa.array([key[0].as_py()] * len(rings), pa.int64()), "ring_no": pa.array(range(len(rings)), pa.int32()), "hole": pa.array([a < 0 for a in area]), "area": pa.array([abs(a) for a in area], pa.float64()),
-        "ring": pa.array([[{"x": float(c), "y": float(r)} for r, c in ring] for ring in rings], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))),
-    })
-
-
-def polygonise(cells: DataFrame, by: str) -> DataFrame:
-    """(by, ring_no, hole, area, ring) of labelled cells (by long, r, c): rings in grid corners (x = column, y = row), areas in cells. A task holds the boundary of one label."""
-    return boundary_edges(cells, by).groupBy(by).applyInArrow(lambda key, t: _stitch(key, t, by), f"{by} long, ring_no int, hole boolean, area double, ring array<struct<x: double, y: double>>")
+        outs.setdefault((a, b), []).append(_HEADINGS.index((e - a, f - b)))
+    follow: dict[tuple, tuple | None] = {}
+    for (a, b), headings in outs.items():
+        for h in headings:
+            head = a + _HEADINGS[h][0], b + _HEADINGS[h][1]
+            own = outs.get(head) if tr <= head[0] < tr + side and tc <= head[1] < tc + side else None
+            follow[a, b, h] = (*head, own[0] if len(own) == 1 else (h + 1) % 4) if own else None
+    starts = set(follow).difference(x for x in follow.values() if x)
+    out: dict[str, list] = {n: [] for n in ("fr", "fc", "fd", "pinch", "xr", "xc", "xd", "mr", "mc", "points")}
+    left = set(follow)
+    for first in [*sorted(starts), *sorted(set(follow) - starts)]:
+        if first not in left:
+            continue
+        at, points, heading, low = first, [], None, first[:2]
+        while at in left:
+            left.discard(at)
+            if at[2] != heading:
+                points.append({"r": at[0], "c": at[1], "d": at[2]})
+            low, heading, last, at = min(low, at[:2]), at[2], at, follow[at]
+        exit_ = (last[0] + _HEADINGS[last[2]][0], last[1] + _HEADINGS[last[2]][1], last[2]) if at is None else (None, None, None)
+        for name, value in zip(out, (*first, len(outs[first[:2]]) > 1, *exit_, *low, points)):
+            out[name].append(value)
+    kinds = {"pinch": pa.bool_(), "points": pa.list_(pa.struct([(x, pa.int32()) for x in "rcd"]))}
+    return pa.table({by: pa.array([key[0].as_py()] * len(out["fr"]), pa.int64())} | {n: pa.array(v, kinds.get(n, pa.int32())) for n, v in out.items()})
+
+
+def polygonise(cells: DataFrame, by: str, tile: int = RING_TILE) -> DataFrame:
+    """(by, ring_no, hole, area, ring) of labelled cells (by long, r, c): rings in grid corners (x = column, y = row), areas in cells.
+
+    Edges are stitched to chains tile by tile. Chains follow each other over tile borders in circles; by list ranking, in as many
+    rounds as the logarithm of a ring's chains, each learns the ring's first corner and how far it is from there. So a task holds the
+    boundary of one label in one tile, and of a whole ring its turns only, which are the result. Rings of a label are numbered by
+    their first corner (the smallest row, then column) and begin there.
+    """
+    steps = Steps(cells.sparkSession, "rings")
+    place = [F.floor(F.col(x) / tile).cast("int").alias(n) for x, n in (("r1", "tr"), ("c1", "tc"))]
+    edges = boundary_edges(cells, by).select(F.col(by).cast("long").alias(by), *place, "r1", "c1", "r2", "c2")
+    kinds = f"{by} long, fr int, fc int, fd int, pinch boolean, xr int, xc int, xd int, mr int, mc int, points array<struct<r: int, c: int, d: int>>"
+    chains = steps.table(edges.groupBy(by, "tr", "tc").applyInArrow(lambda key, t: _chains(key, t, by, tile), kinds).withColumn("id", F.monotonically_increasing_id()), "chains")
+    first = chains.select(F.col(by).alias("_by"), F.col("fr").alias("_r"), F.col("fc").alias("_c"), F.col("fd").alias("_d"), F.col("pinch").alias("_two"), F.col("id").alias("next"))
+    meets = (F.col(by) == F.col("_by")) & (F.col("xr") == F.col("_r")) & (F.col("xc") == F.col("_c"))
+    links = chains.where("xr is not null").join(first, meets).where(~F.col("_two") | (F.col("_d") == (F.col("xd") + 1) % 4))
+    state = steps.table(links.select("id", "next", F.struct("mr", "mc", F.lit(0).cast("long").alias("d")).alias("m")), "reach-0")
+    for k in range(64):
+        later = state.select(F.col("id").alias("next"), F.col("next").alias("_next"), F.struct("m.mr", "m.mc", (F.col("m.d") + F.lit(1 << k)).alias("d")).alias("_m"))
+        wider = state.join(later, "next").select("id", F.col("_next").alias("next"), F.least("m", "_m").alias("m"), (F.struct("_m.mr", "_m.mc") < F.struct("m.mr", "m.mc")).alias("fell"))
+        wider = steps.table(wider, f"reach-{k + 1}")
+        steps.drop(f"reach-{k}")
+        state = wider.drop("fell")
+        if wider.where("fell").isEmpty():  # twice as far and nothing lower: every chain has seen its whole ring
+            break
+    placed = chains.select(by, "points", "id").join(state.select("id", "m"), "id").select(by, "m.mr", "m.mc", F.when(F.col("m.d") == 0, F.lit(-(1 << 62))).otherwise(-F.col("m.d")).alias("_o"), "points")
+    rings = placed.groupBy(by, "mr", "mc").agg(F.array_sort(F.collect_list(F.struct("_o", "points"))).alias("p")).select(by, "mr", "mc", F.flatten("p.points").alias("p"))
+    rings = rings.unionByName(chains.where("xr is null").select(by, "mr", "mc", F.col("points").alias("p")))
+    turns = F.filter("p", lambda x, i: x["d"] != F.element_at("p", F.when(i == 0, F.size("p")).otherwise(i))["d"])
+    rings = rings.withColumn("p", turns).withColumn("_i", F.array_position(F.transform("p", lambda x: F.struct(x["r"].alias("r"), x["c"].alias("c"))), F.struct(F.col("mr").alias("r"), F.col("mc").alias("c"))).cast("int"))
+    rings = rings.withColumn("p", F.concat(F.slice("p", F.col("_i"), F.size("p")), F.slice("p", F.lit(1), F.col("_i"))))
+    pairs = F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))
+    twice = F.aggregate(pairs, F.lit(0).cast("long"), lambda s, x: s + x["a"]["c"].cast("long") * x["b"]["r"] - x["b"]["c"].cast("long") * x["a"]["r"])
+    shape = F.transform("p", lambda x: F.struct(x["c"].cast("double").alias("x"), x["r"].cast("double").alias("y")))
+    rings = rings.select(by, "mr", "mc", (twice / 2).alias("_a"), shape.alias("ring"))
+    tracks = Tracks(rings, [by], ["mr", "mc"]).running(F.lit(1), "_n")
+    done = materialize(tracks.rows.select(by, (F.col("_n") - 1).cast("int").alias("ring_no"), (F.col("_a") < 0).alias("hole"), F.abs("_a").alias("area"), "ring"), "rings")
+    tracks.close()
+    steps.close()
+    return done
 
 
 def overlap_share(cells: DataFrame, by: str, ring: str) -> DataFrame:

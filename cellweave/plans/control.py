@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 MOST_SITES, MOST_WINDOWS, MOST_RUNS = 4, 4, 2
 
 
+#: Revisions of the engine that are shown with a plan at most.
+MOST_REVISIONS = 10_000
+
+
 def plan_grid(sites: DataFrame, windows: DataFrame) -> DataFrame:
     """(request, site, win, plan): each of the first sites with each of the first windows of its request, numbered from 1. sites (request, site), windows (request, win)."""
     w = lambda by: Window.partitionBy("request").orderBy(by)
@@ -48,7 +52,11 @@ def artefact_state(asked: DataFrame, artefacts: DataFrame, budget: float) -> Dat
 
 
 def changes_since(plans: DataFrame, revisions: DataFrame) -> DataFrame:
-    """plans (.., rev) with notes: those of all later revisions (rev, note), newest first; empty where the plan's revision is unknown. The table of revisions is as long as the engine is old."""
+    """plans (.., rev) with notes: those of all later revisions (rev, note), newest first; empty where the plan's revision is unknown. Up to MOST_REVISIONS revisions, of which only those that the oldest plan has not seen travel."""
+    oldest = plans.agg(F.min("rev")).head()[0]
+    revisions = revisions.where(F.col("rev") > F.lit(oldest)) if oldest is not None else revisions.where("false")
+    if revisions.count() > MOST_REVISIONS:
+        raise ValueError(f"more than {MOST_REVISIONS} revisions after that of the oldest plan")
     all_notes = revisions.agg(F.sort_array(F.collect_list(F.struct(F.col("rev").alias("r"), "note")), asc=False).alias("_all"))
     notes = F.transform(F.filter("_all", lambda x: x["r"] > F.col("rev")), lambda x: x["note"])
     return plans.crossJoin(F.broadcast(all_notes)).withColumn("notes", F.coalesce(notes, F.array().cast("array<string>"))).drop("_all")  # one row

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.core import materialize
 from cellweave.operators.focal import gaussian, local_peaks
+from cellweave.operators.zonal import global_rank
 
 # Shares of the bar that ground must clear to belong to an area, and the steps of relaxation.
 GROW_FLOOR, GROW_PEAK, RAW_SHARE, TARGET_AREAS = 0.72, 0.80, 0.70, 3
@@ -81,7 +82,7 @@ def areas_at(cells: DataFrame, sides: tuple[int, int], smooth: str, raw: str, ba
     grown = materialize(grow(cells, p, smooth, raw, bar, gate, radius, closing), "grown")
     scored = grown.join(cells.select("r", "c", F.col(raw).alias("_v")), ["r", "c"])
     per = scored.groupBy("peak").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), 9).alias("mean")).where(F.col("n") >= least_cells)
-    per = per.withColumn("rank", F.row_number().over(Window.orderBy((F.col("n") * F.col("mean")).desc(), "peak")).cast("int"))
+    per = global_rank(per.withColumn("_worth", -(F.col("n") * F.col("mean"))), ["_worth", "peak"], "rank").withColumn("rank", F.col("rank").cast("int"))
     best = Window.partitionBy("r", "c").orderBy("rank")
     return grown.join(per.select("peak", "rank"), "peak").withColumn("_n", F.row_number().over(best)).where("_n = 1").select("rank", "peak", "r", "c")
 

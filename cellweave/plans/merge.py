@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.geo import kml_colour
+from cellweave.operators.zonal import global_rank
 
 
 def letters(n: Column) -> Column:
@@ -16,10 +17,11 @@ def letters(n: Column) -> Column:
 
 def merge_areas(areas: DataFrame) -> DataFrame:
     """areas (site, win, rank, area_km2, habitat, camp) of all plans: site_rank is the old rank, rank the new one over all, camp a letter that no two plans share."""
-    order = Window.orderBy((F.coalesce("area_km2", F.lit(0.0)) * F.coalesce("habitat", F.lit(0.0))).desc(), "site", "win", "rank")
+    worth = -(F.coalesce("area_km2", F.lit(0.0)) * F.coalesce("habitat", F.lit(0.0)))
     camps = areas.select("site", "win", "camp").where("camp is not null").distinct()
-    camps = camps.withColumn("letter", letters(F.row_number().over(Window.orderBy("site", "win", "camp"))))
-    out = areas.withColumn("site_rank", F.col("rank")).withColumn("rank", F.row_number().over(order).cast("int"))
+    camps = global_rank(camps, ["site", "win", "camp"], "_n").withColumn("letter", letters(F.col("_n"))).drop("_n")
+    out = areas.withColumn("site_rank", F.col("rank")).withColumn("_worth", worth)
+    out = global_rank(out, ["_worth", "site", "win", "site_rank"], "rank").withColumn("rank", F.col("rank").cast("int")).drop("_worth")
     return out.join(camps, ["site", "win", "camp"], "left").drop("camp").withColumnRenamed("letter", "camp")
 
 

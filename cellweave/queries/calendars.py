@@ -110,7 +110,7 @@ def stands(spark, sf_dir):
 @query(f"WITH {_DAYS}, {_STANDS}, f AS (SELECT d, area, min({_DIFF('deg', 'wind')}) AS off FROM d, s GROUP BY 1, 2) SELECT CAST(d AS VARCHAR) AS day, area, round(off, 6) AS off, row_number() OVER (PARTITION BY d ORDER BY off, area) AS place FROM f WHERE off <= 45")
 def wind_rotation(spark, sf_dir):
     """The areas that suit each day's wind, the best first."""
-    f = days(spark, sf_dir).select("d", "wind").crossJoin(stands(spark, sf_dir)).groupBy("d", "area").agg(F.min(G.angle_between(F.col("deg"), F.col("wind"))).alias("off"))  # a month of days
+    f = days(spark, sf_dir).select("d", "wind").crossJoin(F.broadcast(stands(spark, sf_dir).select("area", "deg").distinct())).groupBy("d", "area").agg(F.min(G.angle_between(F.col("deg"), F.col("wind"))).alias("off"))  # 12 areas by 360 whole degrees at most
     place = F.row_number().over(Window.partitionBy("d").orderBy("off", "area")).cast("long")
     return f.where("off <= 45").select(F.col("d").cast("string").alias("day"), "area", F.round("off", 6).alias("off"), place.alias("place"))
 
@@ -154,12 +154,12 @@ def last_n_years(spark, sf_dir):
     return topk(z, ["zone"], [F.desc("y")], 5, "k").select(F.lpad(F.col("zone").cast("string"), 2, "0").alias("zone"), "y", "n", "males")
 
 
-@query(f"""WITH {_DAYS}, want AS (SELECT CAST(unnest(generate_series(DATE '2024-01-05', DATE '2025-02-10', INTERVAL 3 DAY)) AS DATE) AS d)
+@query(f"""WITH {_DAYS}, want AS (SELECT d FROM d UNION SELECT CAST(d + INTERVAL 1 YEAR AS DATE) FROM d UNION SELECT CAST(d + INTERVAL 40 DAY AS DATE) FROM d)
 SELECT CAST(w.d AS VARCHAR) AS day, round(a.t, 6) AS t, a.d IS NULL AS missing, round(b.t, 6) AS proxy FROM want w LEFT JOIN d a ON a.d = w.d LEFT JOIN d b ON b.d = CAST(w.d - INTERVAL 1 YEAR AS DATE) AND a.d IS NULL""")
 def weather_lookup(spark, sf_dir):
-    """Target dates against the daily series; the day a year earlier stands in where there is none."""
+    """The days of the series, those a year and those 40 days later against it; the day a year earlier stands in where there is none."""
     d = days(spark, sf_dir)
-    w = spark.sql("SELECT explode(sequence(DATE '2024-01-05', DATE '2025-02-10', INTERVAL 3 DAYS)) AS w")
+    w = d.select(F.explode(F.array("d", F.add_months("d", 12), F.date_add("d", 40))).alias("w")).distinct()
     a = d.select(F.col("d").alias("a_d"), F.col("t").alias("a_t"))
     b = d.select(F.col("d").alias("b_d"), F.col("t").alias("b_t"))
     j = w.join(a, F.col("w") == F.col("a_d"), "left").join(b, (F.add_months("w", -12) == F.col("b_d")) & F.col("a_d").isNull(), "left")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cellweave.core import query, table
 from cellweave.functions.algebra import HSM_WEIGHTS
 from cellweave.grid import CELLS_SQL, demo_cells
+from cellweave.operators.zonal import global_rank
 from cellweave.plans import extract as X
 from cellweave.plans import merge as M
 from cellweave.queries.focal import box_sql, gauss_sql
@@ -26,7 +27,8 @@ def focus_areas(spark, sf_dir):
     p = local_peaks(cells, "smooth", (side, side), 6, F.lit(30.0)).withColumn("peak", F.col("r").cast("long") * side + F.col("c"))
     grown = X.grow(cells, p, "smooth", "elev", 30.0, 0.82, 8, closing=0).join(cells, ["r", "c"])
     per = grown.groupBy("peak").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg("elev"), 9).alias("m")).where("cells >= 4")
-    return per.select("peak", "cells", F.round("m", 6).alias("mean"), F.row_number().over(Window.orderBy((F.col("cells") * F.col("m")).desc(), "peak")).cast("int").alias("rank"))
+    ranked = global_rank(per.withColumn("_worth", -(F.col("cells") * F.col("m"))), ["_worth", "peak"], "rank")
+    return ranked.select("peak", "cells", F.round("m", 6).alias("mean"), F.col("rank").cast("int").alias("rank"))
 
 
 @query()

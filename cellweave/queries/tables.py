@@ -94,12 +94,13 @@ def line_crossings(spark, sf_dir):
     return c.select(F.col("a").alias("route"), F.col("b").alias("river"), F.round("x", 7).alias("x"), F.round("y", 7).alias("y"))
 
 
-@query(f"WITH {CELLS_SQL}, s AS (SELECT zone, avg(CASE WHEN abs(r - 30) + abs(c - 40) < 35 THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM cells GROUP BY 1) SELECT zone, round(share, 9) AS share, CAST(row_number() OVER (ORDER BY n DESC, zone) AS INTEGER) AS rank FROM s WHERE share >= 0.2")
+@query(f"WITH {CELLS_SQL}, s AS (SELECT zone, avg(CASE WHEN abs(20 * r - 6 * w) + abs(20 * c - 8 * w) < 7 * w THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM cells, g GROUP BY 1) SELECT zone, round(share, 9) AS share, CAST(row_number() OVER (ORDER BY n DESC, zone) AS INTEGER) AS rank FROM s WHERE share >= 0.2")
 def polygon_overlap_clip(spark, sf_dir):
-    """What of the zones stays when clipped to a ring, ranked anew."""
-    df, _ = demo_cells(spark, sf_dir)
-    s = V.overlap_share(df.withColumn("in_ring", F.abs(F.col("r") - 30) + F.abs(F.col("c") - 40) < 35), "zone", "in_ring").join(df.groupBy("zone").agg(F.count(F.lit(1)).alias("n")), "zone").where("share >= 0.2")
-    return s.select("zone", F.round("share", 9).alias("share"), F.row_number().over(Window.orderBy(F.desc("n"), "zone")).cast("int").alias("rank"))
+    """What of the zones stays when clipped to a ring that grows with the grid, ranked anew."""
+    df, side = demo_cells(spark, sf_dir)
+    ring = F.abs(20 * F.col("r") - 6 * side) + F.abs(20 * F.col("c") - 8 * side) < 7 * side
+    s = V.overlap_share(df.withColumn("in_ring", ring), "zone", "in_ring").join(df.groupBy("zone").agg(F.count(F.lit(1)).alias("n")), "zone").where("share >= 0.2")
+    return Z.global_rank(s, [F.desc("n"), "zone"], "rank").select("zone", F.round("share", 9).alias("share"), F.col("rank").cast("int").alias("rank"))
 
 
 @query(f"""WITH RECURSIVE {CELLS_SQL}, {components_sql('k < 45')}, z AS (SELECT r, c, lab FROM comp JOIN comp_m USING (id)), o AS (SELECT * FROM (VALUES (0,1),(1,0),(0,-1),(-1,0)) t(dr, dc)),
@@ -128,24 +129,24 @@ def resample(spark, sf_dir):
     return near.join(soft, ["r", "c"], "left").select("r", "c", "nearest", F.round("elev", 8).alias("bilinear"))
 
 
-@query("""WITH p AS (SELECT o_orderkey AS id, o_custkey AS uid, o_totalprice, o_orderdate FROM orders), s AS (SELECT l_orderkey AS plan_id, l_suppkey % 1500 AS who FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH p AS (SELECT o_orderkey AS id, o_custkey AS uid, o_totalprice, o_orderdate FROM orders), s AS (SELECT l_orderkey AS plan_id, l_suppkey % 1500 AS who FROM lineitem)
 SELECT p.id, p.uid, CASE WHEN p.uid = 77 THEN 'owner' ELSE 'edit' END AS role, c_mktsegment AS owner_segment FROM p LEFT JOIN customer ON c_custkey = p.uid WHERE p.uid = 77 OR p.id IN (SELECT plan_id FROM s WHERE who = 77)""")
 def shared_plans(spark, sf_dir):
     """Own plans and those shared with one, with the owner's record."""
     p = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("uid"))
-    s = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_suppkey % 1500 = 77").select(F.col("l_orderkey").alias("id"))
+    s = table(spark, sf_dir, "lineitem").where("l_suppkey % 1500 = 77").select(F.col("l_orderkey").alias("id"))
     mine = p.where("uid = 77").unionByName(p.where("uid <> 77").join(s, "id", "left_semi"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.col("c_mktsegment").alias("owner_segment"))
     return mine.join(c, "uid", "left").select("id", "uid", F.when(F.col("uid") == 77, "owner").otherwise("edit").alias("role"), "owner_segment")
 
 
-@query("""WITH a AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS version FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT c_custkey AS id, c_acctbal + 10 AS v, c_custkey % 3 AS based_on FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH a AS (SELECT c_custkey AS id, c_acctbal AS v, 1 AS version FROM customer WHERE c_custkey % 5 <> 0), b AS (SELECT c_custkey AS id, c_acctbal + 10 AS v, c_custkey % 3 AS based_on FROM customer WHERE c_custkey % 3 = 0 OR c_custkey % 5 = 0)
 SELECT coalesce(a.id, b.id) AS id, round(CASE WHEN b.id IS NULL THEN a.v WHEN a.id IS NULL THEN b.v WHEN b.based_on = a.version - 1 THEN b.v ELSE a.v END, 4) AS v, CASE WHEN b.id IS NULL THEN 'kept' WHEN a.id IS NULL THEN 'inserted' WHEN b.based_on = a.version - 1 THEN 'updated' ELSE 'conflict' END AS outcome FROM a FULL JOIN b ON a.id = b.id""")
 def upsert_versions(spark, sf_dir):
     """Insert or update with a version check."""
     c = table(spark, sf_dir, "customer")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ia"), F.col("c_acctbal").alias("va"), F.lit(1).alias("version"))
-    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("ib"), (F.col("c_acctbal") + 10).alias("vb"), (F.col("c_custkey") % 3).alias("based_on"))
+    a = c.where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("ia"), F.col("c_acctbal").alias("va"), F.lit(1).alias("version"))
+    b = c.where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select(F.col("c_custkey").alias("ib"), (F.col("c_acctbal") + 10).alias("vb"), (F.col("c_custkey") % 3).alias("based_on"))
     j = a.join(b, F.col("ia") == F.col("ib"), "full")
     fresh = F.col("based_on") == F.col("version") - 1
     v = F.when(F.col("ib").isNull(), F.col("va")).when(F.col("ia").isNull() | fresh, F.col("vb")).otherwise(F.col("va"))

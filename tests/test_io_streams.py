@@ -1,6 +1,7 @@
 """Readers, writers and streams."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -94,3 +95,49 @@ def test_streams(spark, tmp_path):
     ends = {r.job: r.status for r in run(spark, J.outcomes(events), "o", tmp_path)}
     assert ends[1] == "done" and ends[2] == "cancelled"
     assert sum(r.n for r in run(spark, J.activity(events), "a", tmp_path, "complete")) == 8
+
+
+def test_job_life_over_a_restart(spark, tmp_path):
+    """A job goes on where it was after the query stopped; a late event does not bring an ended job back."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    events = spark.readStream.schema("job long, ts timestamp, kind string").option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+    def feed(rows):
+        spark.createDataFrame(rows, "job long, ts timestamp, kind string").coalesce(1).write.mode("append").parquet(str(folder))
+
+    def go():
+        q = J.outcomes(events, "1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+        return sorted((r.job, r.status, r.polls) for r in spark.read.schema("job long, status string, polls long").parquet(str(tmp_path / "out")).collect())
+
+    feed([(1, at(0), "poll"), (2, at(0), "poll"), (3, at(0), "poll")])
+    assert go() == []
+    feed([(1, at(50), "poll"), (2, at(40), "error"), (2, at(45), "done")])
+    assert go() == [(2, "error", 3)]  # the first end counts
+    feed([(9, at(400), "poll")])
+    assert go() == [(1, "cancelled", 2), (2, "error", 3), (3, "cancelled", 1)]
+    feed([(1, at(60), "poll"), (9, at(430), "done")])  # 60 is long before the watermark
+    feed([(8, at(900), "poll")])
+    assert go() == [(1, "cancelled", 2), (2, "error", 3), (3, "cancelled", 1), (9, "done", 2)]
+
+
+def test_artefacts_are_forgotten(spark, tmp_path):
+    folder = tmp_path / "uses"
+    folder.mkdir()
+    schema = "plan long, name string, bytes long"
+    uses = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    feed = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+    feed([(1, "map", 10), (1, "track", 5), (2, "map", 7)])
+
+    def go():
+        q = J.retained(uses, 4000).writeStream.foreachBatch(lambda df, _: found.extend(map(tuple, df.collect()))).outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
+        assert q.awaitTermination(60)
+
+    found: list[tuple] = []
+    go()
+    assert set(found) == {(1, 2, 15), (2, 1, 7)}
+    time.sleep(5)
+    feed([(1, "photo", 1)])
+    go()
+    assert found[-1] == (1, 1, 1)
