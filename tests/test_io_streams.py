@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellweave.plans import merge as M
@@ -97,7 +98,15 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in run(spark, J.activity(events), "a", tmp_path, "complete")) == 8
 
 
-def test_job_life_over_a_restart(spark, tmp_path):
+@pytest.fixture
+def one_partition(spark):
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", keep)
+
+
+def test_job_life_over_a_restart(spark, tmp_path, one_partition):
     """A job goes on where it was after the query stopped; a late event does not bring an ended job back."""
     folder = tmp_path / "in"
     folder.mkdir()
@@ -122,7 +131,8 @@ def test_job_life_over_a_restart(spark, tmp_path):
     assert go() == [(1, "cancelled", 2), (2, "error", 3), (3, "cancelled", 1), (9, "done", 2)]
 
 
-def test_artefacts_are_forgotten(spark, tmp_path):
+def test_artefacts_are_forgotten(spark, tmp_path, one_partition):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)  # in processing time there is always another batch
     folder = tmp_path / "uses"
     folder.mkdir()
     schema = "plan long, name string, bytes long"
@@ -140,4 +150,5 @@ def test_artefacts_are_forgotten(spark, tmp_path):
     time.sleep(5)
     feed([(1, "photo", 1)])
     go()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert found[-1] == (1, 1, 1)
