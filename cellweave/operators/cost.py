@@ -264,13 +264,13 @@ def corridor(cells: DataFrame, cost: str, start: Column, end: Column, eps: float
 
 
 def least_cost_path(cells: DataFrame, cost: str, start: Column, end: Column, tile: int = TILE) -> DataFrame:
-    """(step, r, c) of one least-cost route from a start to the end that is cheapest to reach (ties: the smaller row, then column)."""
+    """(step, r, c), in order of step, of one least-cost route from a start to the end that is cheapest to reach (ties: the smaller row, then column)."""
     field = Field(cells, cost, start, tile)
     ends = field.settled().where("dist is not null").join(cells.where(end).select("r", "c"), ["r", "c"])
     best = ends.agg(F.min(F.struct("dist", "r", "c")).alias("e")).where("e is not null").select(F.lit(0).alias("route"), "e.r", "e.c")
     route = field.routes(best)
     field.close()
-    return route.select("step", "r", "c")
+    return route.select("step", "r", "c").orderBy("step")
 
 
 def transfer(ride: DataFrame, walk: DataFrame) -> DataFrame:
