@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cellweave.core import Steps, materialize
 from cellweave.functions.algebra import WALL
 
-TILE = 256
+TILE = 512
 #: Tiles of a round that are named in filters.
 NAMED_TILES = 200
 #: How far a vehicle works its way off the network, in metres, and what a cell of that costs (fixed values).
