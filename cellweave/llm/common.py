@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.core import shuffles_released
+
 #: The ASCII blanks of every contract of this subpackage, [\x20\x09-\x0D]; bytes.split() without arguments splits at exactly these.
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -38,7 +40,8 @@ def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_released(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

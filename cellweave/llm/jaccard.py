@@ -35,6 +35,9 @@ do not matter.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -60,6 +63,8 @@ PAIR_ROWS = 100_000
 #: Within a task: members that are compared at once, and pivots of a step.
 LEAF = 64
 PIVOTS = 4
+#: Regions are joined in parts that hold so many times the shingles of all texts, so that disk does not grow with the regions of a text.
+PART = 0.5
 #: Bits of the bitmap that tells which texts are still needed.
 MARKS = 1 << 23
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -467,10 +472,11 @@ def _in_blocks(level: DataFrame, steps: Steps, turn: int, files: int) -> DataFra
     return cores.unionByName(others).select(*_named("b", "c"), *rest, "core", (F.col("c") == 0).alias("inner"))
 
 
-def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[DataFrame], list[DataFrame]]:
+def split_regions(level: DataFrame, percent: int, steps: Steps, done: Callable[[], None] = lambda: None) -> tuple[list[DataFrame], list[DataFrame]]:
     """Regions (k_hi, k_lo, rep, core, label, names), split by pivots over tables until one task can join a part.
 
-    Gives tables of links (a, b) to pivots, and of cells (k_hi, k_lo, rep, core, label, names, inner) for one task each.
+    Gives tables of links (a, b) to pivots, and of cells (k_hi, k_lo, rep, core, label, names, inner) for one task each. done is
+    called when the first level is not read any more; sets stand on disk twice at most, in a level and placed beside its pivots.
     """
     links, ready, turn = [], [], 0
     level = level.select(*_CELL, F.lit(0).alias("tries"))
@@ -490,7 +496,9 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
             ready.append(steps.table(of("ready").select(*_CELL, F.lit(True).alias("inner")), f"ready{turn}", files))
         if "blocks" in kinds:
             ready.append(steps.table(_in_blocks(of("blocks").select(*_CELL, "most"), steps, turn, few), f"blocks{turn}", 4 * files))
+        before = (lambda turn=turn: steps.drop(f"level{turn - 1}")) if turn else done
         if "split" not in kinds:
+            before()
             return links, ready
         parted = of("split")
         first = (F.col("label").isNotNull(), F.xxhash64("rep", F.lit(turn)), F.col("rep"))
@@ -501,7 +509,9 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
         salted = parted.withColumn("salt", F.pmod(F.xxhash64("rep"), "ways").cast("int")).groupBy(*_KEY, "salt")
         placed = salted.cogroup(pivots.withColumn("salt", _upto("ways")).groupBy(*_KEY, "salt")).applyInArrow(_place(percent), _PLACED)
         placed = steps.table(placed, f"placed{turn}", files)
-        links.append(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"))
+        before()
+        steps.drop(f"pivots{turn}")
+        links.append(steps.table(placed.select(F.col("rep").alias("a"), F.explode("near").alias("b")).where("a <> b"), f"near{turn}", few))
         groups = placed.where(F.size("near") > 0).groupBy(*_KEY, "near").agg(F.min("label").alias("label")).groupBy(*_KEY).applyInArrow(_grouped, "k_hi long, k_lo long, pivot long, group long")
         ways = sizes.select(*_KEY, "ways", "m", "turns")
         groups = groups.join(ways, _KEY).select(*_KEY, "pivot", "group", _upto("ways").alias("salt"))
@@ -513,10 +523,9 @@ def split_regions(level: DataFrame, percent: int, steps: Steps) -> tuple[list[Da
         part = lambda by, whole: F.when(F.col("parts"), by).otherwise(whole)
         names = [part(x, F.col(k)).alias(k) for x, k in zip(_named("cell", F.lit(turn)), _KEY)]
         core = F.col("core") & (~F.col("parts") | (F.col("cell") == F.col("home")))
-        before = f"level{turn - 1}"
         level = steps.table(marked.select(*names, "rep", core.alias("core"), "label", "names", part(F.lit(0), F.col("turns") + 1).alias("tries")), f"level{turn}", 2 * files)
         rows = level.count()
-        steps.drop(f"pivots{turn}", *([before] if turn else []))
+        steps.drop(f"placed{turn}")
         turn += 1
 
 
@@ -532,7 +541,7 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("b"), F.xxhash64("text").alias("th"))
     survey = steps.table(rows.mapInArrow(_survey(k), "kind int, doc_id long, th long, n long, hi long, lo long"), "survey")
     own = survey.where("kind = 0").select("doc_id", "th", "n", "hi", "lo")
-    classes = steps.table(own.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = steps.table(own.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     most = survey.where("kind = 1").groupBy("hi").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "hi").limit(HEAVY).collect()  # at most HEAVY rows
     most.sort(key=lambda r: r.hi & (1 << 64) - 1)
@@ -549,9 +558,25 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
     groups = small.groupBy(*_KEY).applyInArrow(_meet(percent), "k_hi long, k_lo long, hi long, lo long").distinct().withColumn("large", F.lit(False))
     large = join_spread(members, sizes.where(F.col("m") > BLOCK), _KEY, "m").select(*_KEY, "hi", "lo", F.lit(True).alias("large"))
     named = groups.unionByName(large).join(classes, ["hi", "lo"]).where("rep is not null")
-    homes = steps.table(named.groupBy("rep", "hi", "lo").agg(F.collect_list(F.struct(*_KEY, "large")).alias("homes")), "homes")
+    homes = steps.table(named.groupBy("rep", "hi", "lo", classes.n).agg(F.collect_list(F.struct(*_KEY, "large")).alias("homes")), "homes")
     steps.drop("met", "members", "sizes")
 
+    placed, total = homes.agg(F.sum(F.size("homes") * F.col("n"))).head()[0] or 0, own.agg(F.sum("n")).head()[0] or 0
+    ways = max(1, math.ceil(placed / max(1, PART * total)))
+    links = None
+    for way in range(ways):
+        own_homes = homes
+        if ways > 1:
+            own_homes = homes.withColumn("homes", F.filter("homes", lambda h: F.pmod(F.xxhash64(h["k_hi"], h["k_lo"]), F.lit(ways)) == way)).where(F.size("homes") > 0)  # noqa: B023
+        found = _region_links(rows, own_homes, k, percent, steps, str(way))
+        links = found if links is None else links.unionByName(found)
+    steps.drop("homes")
+    return own, classes, links
+
+
+def _region_links(rows: DataFrame, homes: DataFrame, k: int, percent: int, steps: Steps, part: str) -> DataFrame:
+    """links of class_links within the regions of homes (rep, hi, lo, homes), written; sets are dropped."""
+    spark = rows.sparkSession
     wanted = spark.sparkContext.broadcast(_marks(homes))
 
     def sift(batches):
@@ -584,23 +609,21 @@ def class_links(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataF
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["rep", *_KEY, "large", "names"])
 
-    cells = steps.table(text.mapInArrow(spread, "rep long, k_hi long, k_lo long, large boolean, names binary"), "cells")
+    cells = steps.table(text.mapInArrow(spread, "rep long, k_hi long, k_lo long, large boolean, names binary"), f"cells{part}")
+    wanted.unpersist()
     cells = cells.withColumn("core", F.lit(True)).withColumn("label", F.lit(None).cast("long")).withColumn("inner", F.lit(True))
-    regions = Steps(spark, "regions")
-    todo, near = [cells.where("not large").select(*_CELL, "inner")], []
+    joined = lambda t: t.groupBy(*_KEY).applyInArrow(_join_cell(percent), _FOUND)
+    links = steps.table(joined(cells.where("not large").select(*_CELL, "inner")), f"links{part}")
     if not homes.where(F.exists("homes", lambda h: h["large"])).isEmpty():
-        near, more = split_regions(cells.where("large").select(*_CELL), percent, regions)
-        todo += more
-    everything = todo[0]
-    for t in todo[1:]:
-        everything = everything.unionByName(t)
-    links = everything.groupBy(*_KEY).applyInArrow(_join_cell(percent), _FOUND)
-    for t in near:
-        links = links.unionByName(t, True)
-    links = materialize(links, "links")
-    steps.drop("homes", "cells")
-    regions.close()
-    return own, classes, links
+        regions = Steps(spark, "regions")
+        near, todo = split_regions(cells.where("large").select(*_CELL), percent, regions, lambda: steps.drop(f"cells{part}"))
+        for i, t in enumerate(todo):  # one at a time, so that no two are shuffled at once
+            links = links.unionByName(steps.table(joined(t), f"links{part}-{i}"))
+        for i, t in enumerate(near):
+            links = links.unionByName(steps.table(t, f"near{part}-{i}"), True)
+        regions.close()
+    steps.drop(f"cells{part}")
+    return links
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellweave.llm import jaccard, quality
 
@@ -342,3 +344,35 @@ def test_components(spark):
         up[max(x, y)] = min(x, y)
     got = {r.v: r.component for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in up if root(x) != x}
+
+
+def _disk_blocks(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    from cellweave.core import Steps as GridSteps
+    from cellweave.core import materialize as grid_materialize
+    from cellweave.llm.common import materialize
+
+    df = spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count()
+    for write in (materialize, grid_materialize, GridSteps(spark, "test").table):
+        before = _disk_blocks(spark)
+        written = write(df, "released")
+        until = time.monotonic() + 10  # files are deleted in the background
+        while _disk_blocks(spark) > before and time.monotonic() < until:
+            time.sleep(0.1)
+        assert _disk_blocks(spark) <= before
+        assert len(written.collect()) == 100
+
+
+def test_regions_in_parts_give_the_same_links(spark, monkeypatch):
+    words = lambda i, skip: " ".join(f"w{i % 7}x{j}" for j in range(80) if j != skip)
+    docs = spark.createDataFrame([(i, words(i, 70 + i % 9)) for i in range(300)], "doc_id long, text string")
+    want = {tuple(r) for r in jaccard.near_duplicates(docs, 4, 85).collect()}
+    monkeypatch.setattr(jaccard, "PART", 0.1)
+    ways = []
+    links = jaccard._region_links
+    monkeypatch.setattr(jaccard, "_region_links", lambda *a: ways.append(a[-1]) or links(*a))
+    assert {tuple(r) for r in jaccard.near_duplicates(docs, 4, 85).collect()} == want
+    assert len(ways) > 1 and len({r[-1] for r in want}) == 7
