@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +54,39 @@ def _weigh(weights: Sequence[float], x: Column) -> Column:
     return F.aggregate(F.zip_with(x, ws, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
 
 
+#: Weights to a side beyond which lines are convolved by transforms, and lines in a group of these.
+LONG, LINES = 64, 16
+
+
+def _line_pass(cells: DataFrame, v: str, axis: str, side: int, weights: Sequence[float]) -> DataFrame:
+    """(r, c, _v): the weights along the lines of an axis, by Fourier transforms of whole lines; null where a cell in reach is missing."""
+    other, k = ("c" if axis == "r" else "r"), len(weights) // 2
+    n = 1 << (side + 2 * k + len(weights)).bit_length()
+
+    def run(key, t):
+        line, at, x = (t.column(name).to_numpy() for name in (other, axis, v))
+        kernel, out = np.fft.rfft(np.array(weights), n), np.empty(len(x))
+        for one in np.unique(line):
+            here = np.flatnonzero(line == one)
+            full, there = np.zeros(side), np.zeros(side, bool)
+            full[at[here]], there[at[here]] = x[here], True
+            wide = np.pad(full, k, "symmetric")
+            got = np.fft.irfft(np.fft.rfft(wide, n) * kernel, n)[2 * k : 2 * k + side]
+            if not there.all():
+                gaps = np.cumsum(np.r_[0, ~np.pad(there, k, "symmetric")])
+                got[gaps[2 * k + 1 :] > gaps[: -2 * k - 1]] = np.nan
+            out[here] = got[at[here]]
+        return pa.table({"r": t.column("r"), "c": t.column("c"), "_v": pa.array(out, mask=np.isnan(out))})
+
+    return cells.select("r", "c", F.col(v).cast("double").alias(v)).groupBy(F.expr(f"{other} div {LINES}")).applyInArrow(run, "r int, c int, _v double")
+
+
 def convolve(cells: DataFrame, v: str, out: str, sides: tuple[int, int], weights: Sequence[float]) -> DataFrame:
-    """The same weights along both axes. v must not be null."""
+    """The same weights along both axes. v must not be null. Wide kernels cost a cell the logarithm of a line's length and not their own."""
     k = len(weights) // 2
+    if k > LONG:
+        smooth = _line_pass(_line_pass(cells, v, "c", sides[1], weights), "_v", "r", sides[0], weights)
+        return cells.drop(out).join(smooth.withColumnRenamed("_v", out), ["r", "c"])
     step = lambda col: lambda w: {out: _weigh(weights, F.collect_list(col).over(w))}
     return along(along(cells, "c", sides[1], k, k, step(v)), "r", sides[0], k, k, step(out))
 

@@ -35,6 +35,7 @@ def oracle_blob(cells: DataFrame, v: str, sides: tuple[int, int], n: int) -> Dat
     ground = cells.select("r", "c", "pool", F.when(F.col("pool"), F.coalesce(v, F.lit(0.0))).otherwise(0.0).alias("_v"))
     smooth = gaussian(ground, "_v", "_s", sides, blob_sigma(n))
     at = smooth.where("pool").agg(F.max(F.struct(F.round("_s", 9).alias("s"), (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("b")).select((-F.col("b.r")).alias("_br"), (-F.col("b.c")).alias("_bc"))
+    at = materialize(at, "blob")  # not smoothed again for each histogram below
     near = cells.where("pool").select("r", "c").crossJoin(F.broadcast(at))  # one row
     near = near.select("r", "c", ((F.col("r") - F.col("_br")) ** 2 + (F.col("c") - F.col("_bc")) ** 2).alias("_d"))
     return first_n(near, ["_d", "r", "c"], n).select("r", "c")
