@@ -3,11 +3,11 @@ r"""Chat formatting with every assistant turn as an example of its own: all turn
 A turn is written as `<turn role>text</turn>` and a line end. Inside roles and texts a backslash stands before every backslash, `<` and
 `>`, so that no text can open or close a turn, nor its end together with a marker, and unescaping gives back what was there.
 
-Because turns are only ever appended, the examples of a conversation are prefixes of one another. The output keeps each turn's piece
-once, with the number of the example it ends and the span under that example's loss mask; an example is the pieces up to its own.
-A conversation of n turns so takes its own length on disk and not n times that; example_texts expands them for a reader who wants
-whole texts. Files are written by tasks in which a conversation's turns pass in order, one batch in memory at a time however long
-the conversation is, and count only when a manifest row of the task attempt is committed.
+The output has a row for each turn with its piece. The row of an assistant turn is an example, whole in itself: its number, the context
+(all pieces before it), its own piece and the span under its loss mask in both together. The examples of a conversation so take about
+its length times half its assistant turns before compression; a reader needs no other row for one. Files are written by tasks in which
+a conversation's turns pass in order, with its text so far and one batch of bounded text in memory, and count only when a manifest row of
+the task attempt is committed.
 
 Defined results: a null text or role is the empty one; turns are ordered by turn (null first), then role and text, and rows that
 occur twice are two turns; rows with a null conv_id are one conversation; a conversation without assistant turn has no example but is
@@ -37,8 +37,8 @@ CONTROL = re.compile(r"[\\<>]")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TOKEN = re.compile(r"\\.|<turn |</turn>|>", re.DOTALL)
 _OPEN, _CLOSE = "<turn ", "</turn>\n"
-_SCHEMA = pa.schema([("conv_id", pa.int64()), ("pos", pa.int64()), ("piece", pa.string()), ("start", pa.int64()), ("example", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
-#: Text in one batch of expanded examples, and rows of a batch of pieces.
+_SCHEMA = pa.schema([("conv_id", pa.int64()), ("pos", pa.int64()), ("piece", pa.string()), ("start", pa.int64()), ("example", pa.int64()), ("loss_start", pa.int64()), ("loss_end", pa.int64()), ("context", pa.string())])
+#: Text in one batch of examples (one example more at most), and rows of a batch of pieces.
 EXPANDED_CHARS = 4 << 20
 PIECES = 512
 
@@ -66,37 +66,57 @@ def parse_turn(piece: str) -> tuple[str, str]:
 
 
 class _Conversation:
-    """Where the next turn of a conversation goes."""
+    """Where the next turn of a conversation goes, and its text before that."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.pos, self.length, self.example = conv_id, 0, 0, 0
+        self.conv_id, self.pos, self.example, self.waiting, self.text = conv_id, 0, 0, [], ""
+        self.length = 0
 
     def add(self, role: str, text: str) -> tuple:
         piece, a, b = format_turn(role, text)
-        trained = role == TARGET
-        row = self.conv_id, self.pos, piece, self.length, *((self.example, self.length + a, self.length + b) if trained else (None, None, None))
-        self.pos, self.length, self.example = self.pos + 1, self.length + len(piece), self.example + trained
+        example = (None, None, None, None)
+        if role == TARGET:
+            self.text, self.waiting = "".join((self.text, *self.waiting)), []
+            example = self.example, self.length + a, self.length + b, self.text
+            self.example += 1
+        row = self.conv_id, self.pos, piece, self.length, *example
+        self.waiting.append(piece)
+        self.pos, self.length = self.pos + 1, self.length + len(piece)
         return row
 
 
+@dataclass
+class _Batch:
+    names: list[str]
+    rows: list[tuple] = field(default_factory=list)
+    size: int = 0
+
+    def take(self, schema: pa.Schema) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*self.rows), schema)], schema=schema)
+        self.rows, self.size = [], 0
+        return out
+
+
 def _writer(folder: str):
     def run(batches):
         now, writer, sink, file, rows = None, None, None, "", 0
+        out = _Batch(_SCHEMA.names)
         for batch in batches:
-            out = []
             for conv_id, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if now is None or now.conv_id != conv_id:
                     now = _Conversation(conv_id)
-                out.append(now.add(role or "", text or ""))
-            if not out:
-                continue
-            if writer is None:
-                file = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet"
-                sink = open_shared(f"{folder}/files/{file}")
-                writer = pq.ParquetWriter(sink, _SCHEMA, compression="zstd")
-            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SCHEMA)], schema=_SCHEMA))
-            rows += len(out)
+                out.rows.append(now.add(role or "", text or ""))
+                out.size += len(out.rows[-1][2]) + len(out.rows[-1][7] or "")
+                rows += 1
+                if writer is None:
+                    file = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet"
+                    sink = open_shared(f"{folder}/files/{file}")
+                    writer = pq.ParquetWriter(sink, _SCHEMA, compression="zstd", use_dictionary=False, data_page_size=EXPANDED_CHARS)
+                if out.size >= EXPANDED_CHARS or len(out.rows) >= PIECES:
+                    writer.write_batch(out.take(_SCHEMA))
         if writer is not None:
+            if out.rows:
+                writer.write_batch(out.take(_SCHEMA))
             writer.close()
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([rows])], ["file", "n_turns"])
@@ -116,40 +136,30 @@ def write_examples(turns: DataFrame, folder: str | None = None) -> tuple[str, Da
 
 @dataclass
 class Example:
-    """An assistant turn: the pieces since the example before it in the same conversation (its own last), and its span in the whole text."""
+    """An assistant turn: the text of all turns before it, its own piece, and its span in both together."""
 
     number: int
-    pieces: list[str]
+    context: str
+    piece: str
     loss_start: int
     loss_end: int
     n_context: int
 
+    def text(self) -> str:
+        return self.context + self.piece
+
     def target(self) -> str:
         """The text under the loss mask, unescaped."""
-        start = self.loss_end - self.loss_start
-        piece = self.pieces[-1]
-        tail = len(piece) - len(_CLOSE)
-        return unescape(piece[tail - start : tail])
-
-
-@dataclass
-class _Batch:
-    names: list[str]
-    rows: list[tuple] = field(default_factory=list)
-    size: int = 0
-
-    def take(self, schema: pa.Schema) -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*self.rows), schema)], schema=schema)
-        self.rows, self.size = [], 0
-        return out
+        return unescape(self.piece[self.loss_start - len(self.context) : self.loss_end - len(self.context)])
 
 
 def _read(folder: str, file: str) -> Iterator[tuple[int | None, bool, Example | str]]:
     """(conv_id, whether a conversation begins, a piece or the example that ends with it) in order."""
     with open_input(f"{folder}/files/{file}") as source:
-        for batch in pq.ParquetFile(source).iter_batches(PIECES):
-            for conv_id, pos, piece, start, example, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                yield conv_id, pos == 0, piece if example is None else Example(example, [piece], a, b, pos)
+        stored = pq.ParquetFile(source)
+        for group in range(stored.num_row_groups):  # one batch of the writer
+            for conv_id, pos, piece, start, example, a, b, context in zip(*(c.to_pylist() for c in stored.read_row_group(group).columns)):
+                yield conv_id, pos == 0, piece if example is None else Example(example, context, piece, a, b, pos)
 
 
 def _over_files(folder: str, fn, schema: pa.Schema):
@@ -166,6 +176,7 @@ def _digests(stream, batch: _Batch, schema: pa.Schema):
         def __init__(self, conv_id):
             self.conv_id, self.turns, self.n, self.chars = conv_id, hashlib.sha256(), 0, 0
             self.loss, self.loss_chars, self.examples = hashlib.sha256(), 0, 0
+            self.text, self.waiting = "", []
 
         def row(self):
             return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.examples
@@ -178,17 +189,21 @@ def _digests(stream, batch: _Batch, schema: pa.Schema):
             now = Sums(conv_id)
             if len(batch.rows) >= PIECES:
                 yield batch.take(schema)
-        piece = found if isinstance(found, str) else found.pieces[-1]
+        piece = found if isinstance(found, str) else found.piece
         role, text = parse_turn(piece)
         now.turns.update(f"{role}\n{text}\n".encode())
         now.n += 1
         if isinstance(found, Example):
-            if now.chars + piece.index(">") >= found.loss_start or found.n_context != now.n - 1:
+            now.text, now.waiting = "".join((now.text, *now.waiting)), []
+            if found.context != now.text or found.n_context != now.n - 1:
+                raise ValueError("an example's context is not the turns before it")
+            if now.chars + piece.index(">") >= found.loss_start:
                 raise ValueError("an example's span is not in its own turn")
             target = found.target()
             now.loss.update(target.encode())
             now.loss_chars += len(target)
             now.examples += 1
+        now.waiting.append(piece)
         now.chars += len(piece)
     if now:
         batch.rows.append(now.row())
@@ -197,14 +212,9 @@ def _digests(stream, batch: _Batch, schema: pa.Schema):
 
 
 def _texts(stream, batch: _Batch, schema: pa.Schema):
-    held: list[str] = []
-    for conv_id, begins, found in stream:
-        if begins:
-            held = []
-        held.append(found if isinstance(found, str) else found.pieces[-1])
+    for conv_id, _, found in stream:
         if isinstance(found, Example):
-            text = "".join(held)
-            held = [text]
+            text = found.text()
             batch.rows.append((conv_id, found.number, found.n_context, text, found.loss_start, found.loss_end))
             batch.size += len(text)
             if batch.size >= EXPANDED_CHARS:

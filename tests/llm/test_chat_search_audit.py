@@ -71,6 +71,18 @@ def test_examples_are_prefixes_with_one_target(spark):
     assert n == len(got)
 
 
+def test_an_example_is_whole_in_its_row(spark):
+    """What is written for an assistant turn holds all turns before it; no other row is needed to train on it."""
+    folder, _ = chat.write_examples(spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"))
+    stored = {(r.conv_id, r.pos): r for r in spark.read.parquet(f"{folder}/files").collect()}
+    for conv, turns in brute_turns(TURNS).items():
+        for i, (role, text) in enumerate(turns):
+            row = stored[conv, i]
+            assert row.context == ("".join(chat.format_turn(*t)[0] for t in turns[:i]) if role == "assistant" else None)
+            if role == "assistant":
+                assert chat.unescape((row.context + row.piece)[row.loss_start : row.loss_end]) == text
+
+
 def test_one_conversation_over_many_batches(spark):
     """A conversation longer than every batch keeps its order; what a later example stores is its own turn only."""
     rows = spark.range(5000).selectExpr("9 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id) as text").repartition(7)
