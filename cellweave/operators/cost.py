@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cellweave.core import Steps, materialize
 from cellweave.functions.algebra import WALL
 
-TILE = 512
+TILE = 1024
 #: Tiles of a round that are named in filters.
 NAMED_TILES = 200
 #: How far a vehicle works its way off the network, in metres, and what a cell of that costs (fixed values).
@@ -55,19 +55,35 @@ class _Tile:
         return [step * (self.cost[1 + a : n + a, 1 + b : n + b] + inner) / 2 for a, b, step in _STEPS]
 
     def settle(self) -> None:
-        """Relax until no cell inside falls; after the first pass only around what fell."""
-        x0, x1, y0, y1 = 0, self.side, 0, self.side
-        while True:
-            inner = self.dist[1 + x0 : 1 + x1, 1 + y0 : 1 + y1]
-            before = inner.copy()
-            for (a, b, _), length in zip(_STEPS, self.lengths):
-                np.minimum(inner, self.dist[1 + x0 + a : 1 + x1 + a, 1 + y0 + b : 1 + y1 + b] + length[x0:x1, y0:y1], out=inner)
-            fell = inner < before
-            rows, cols = np.flatnonzero(fell.any(1)), np.flatnonzero(fell.any(0))
-            if not len(rows):
-                return
-            x0, x1 = max(0, x0 + rows[0] - 1), min(self.side, x0 + rows[-1] + 2)
-            y0, y1 = max(0, y0 + cols[0] - 1), min(self.side, y0 + cols[-1] + 2)
+        """Relax until no cell inside falls, from what is nearest on: of the cells that fell, those within a stride of the least are spread next."""
+        n = self.side + 4  # one more frame, so that steps from the first stay in the array
+        pad = lambda a: np.pad(a, 1, constant_values=np.inf).ravel()
+        dist, cost = pad(self.dist), pad(self.cost)
+        inside = np.zeros((n, n), bool)
+        inside[2:-2, 2:-2] = True
+        inside = inside.ravel() & np.isfinite(cost)
+        todo = np.flatnonzero(np.isfinite(dist) & np.isfinite(cost))
+        usual = cost[np.isfinite(cost)]
+        stride = math.inf  # first all that is known spreads one step, and what was settled before falls out
+        waits = np.zeros(n * n, bool)
+        while len(todo):
+            far = dist[todo]
+            near = far <= far.min() + stride
+            at, rest = todo[near], todo[~near]
+            waits[at] = False
+            fell = [rest]
+            for a, b, step in _STEPS:
+                to = at + (a * n + b)
+                length = dist[at] + step * (cost[at] + cost[to]) / 2
+                less = (length < dist[to]) & inside[to]
+                to = to[less]
+                dist[to] = length[less]
+                new = to[~waits[to]]
+                waits[new] = True
+                fell.append(new)
+            waits[rest] = True
+            todo, stride = np.unique(np.concatenate(fell)), 2 * float(usual.mean())
+        self.dist = dist.reshape(n, n)[1:-1, 1:-1].copy()
 
     def pointers(self) -> np.ndarray:
         """For each cell inside, which of _STEPS leads to the neighbour that its distance came from (ties: the smaller row, then column), or -1."""
