@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cellweave.core import query, table
 from cellweave.functions import algebra as A
 from cellweave.functions import survey as S
-from cellweave.operators.zonal import exact_mean
+from cellweave.operators.zonal import ordered_means
 
 _ORIGIN = ["CT", " br ", "PLR", "ES", None, "", "CPRS_U", "X"]
 _TREAT = ["CP", "cea", "EPC", None, "CT"]
@@ -95,7 +95,8 @@ def overall_confidence(spark, sf_dir):
 SELECT user_id, t AS t_max, CASE WHEN w >= 0.66 THEN 'retreat' WHEN w >= 0.33 THEN 'partial' WHEN w IS NOT NULL THEN 'feeding' END AS midday FROM w""")
 def expected_midday(spark, sf_dir):
     """Mean high of a window's days, and what it means for noon."""
-    d = table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(exact_mean(F.when(F.col("event_type") != "error", F.col("value") / 4)), 1).alias("t"))
+    highs = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") != "error", F.col("value") / 4).alias("t"))
+    d = ordered_means(highs, "user_id", ["t"], ["event_id"]).withColumn("t", F.round(F.col("t") * 10) / 10)  # rounded as by the SQL: a mean a last bit below a half goes up
     return d.select("user_id", F.col("t").alias("t_max"), S.midday_class(F.when(F.col("t").isNotNull(), A.refuge_weight(F.col("t")))).alias("midday"))
 
 
